@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup
+from . import exactdedup, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +28,17 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256,
 """
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {"op2_simhash": op2_simhash, "op6_packing": op6_packing, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame
@@ -24,26 +25,24 @@ def build_directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataF
     overfull buckets split: others keep their local depth and several pointers
     lead to them. `key`s are distinct, so copies of one text never fill one.
     """
-    spark, n = keys.sparkSession, keys.count()
+    n = keys.count()
     depth = max(0, int(log2(max(1, n / capacity))) - 1)
     open_keys, closed = keys.select("key"), []
     while True:
         cells = saved(open_keys.groupBy(_prefix("key", depth).alias("prefix")).agg(F.count("*").alias("n")), "cells")
-        closed.append(cells.where(F.col("n") <= capacity).select("prefix", F.lit(depth).alias("depth")))
+        closed.append((cells.where(F.col("n") <= capacity), depth))
         full = cells.where(F.col("n") > capacity)
         if depth == 62 or full.isEmpty():
+            closed.append((full, depth))
             break
         open_keys = open_keys.withColumn("prefix", _prefix("key", depth)).join(small(full.select("prefix")), "prefix", "left_semi").select("key")
         depth += 1
-    if depth == 62:
-        closed.append(full.select("prefix", F.lit(depth).alias("depth")))
-    found = closed[0]
-    for x in closed[1:]:
-        found = found.union(x)
-    span = F.shiftleft(F.lit(1).cast("long"), F.lit(depth) - F.col("depth")) if depth else F.lit(1).cast("long")
-    first = F.col("prefix") * span
-    pointers = found.select(F.explode(F.sequence(first, first + span - 1)).alias("pointer"), F.format_string("%d/%d", "prefix", "depth").alias("bucket"), "depth")
-    return (saved(pointers, "directory") if n else spark.createDataFrame([], pointers.schema)), depth
+    pointers = []
+    for cells, own in closed:
+        span = 1 << (depth - own)
+        first = F.col("prefix") * span
+        pointers.append(cells.select(F.explode(F.sequence(first, first + (span - 1))).alias("pointer"), F.format_string(f"%d/{own}", "prefix").alias("bucket"), F.lit(own).alias("depth")))
+    return saved(reduce(DataFrame.union, pointers), "directory"), depth
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_KEYS) -> DataFrame:
