@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exactdedup, packing, simhash
+from . import exactdedup, linededup, mixing, packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,9 +38,53 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir), 24)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.drop_boilerplate(documents(spark, sf_dir), counts=True)
+    return found.select("doc_id", F.col("_lines").alias("lines"), F.col("_dropped").alias("dropped"), F.sha2("text", 256).alias("text_sha256"))
+
+
+OP4_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM lines),
+pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+often AS (
+  SELECT source, key, count(DISTINCT doc_id) AS n FROM keyed WHERE key <> '' GROUP BY source, key
+  HAVING count(DISTINCT doc_id) >= {linededup.MIN_PAGES}),
+boiler AS (
+  SELECT o.source, o.key FROM often o JOIN pages p ON o.source IS NOT DISTINCT FROM p.source
+  WHERE o.n > p.pages * {linededup.RATIO}::DOUBLE),
+marked AS (
+  SELECT k.*, b.key IS NOT NULL AS bad FROM keyed k
+  LEFT JOIN boiler b ON b.source IS NOT DISTINCT FROM k.source AND b.key = k.key),
+done AS (
+  SELECT doc_id, CAST(count(*) FILTER (WHERE key <> '') AS INT) AS lines, CAST(count(*) FILTER (WHERE bad) AS INT) AS dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT bad), '')) AS text_sha256
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(x.lines, 0) AS lines, coalesce(x.dropped, 0) AS dropped, x.text_sha256
+FROM documents d LEFT JOIN done x USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_simhash": op2_simhash, "op6_packing": op6_packing, "op9_exact_dedup": op9_exact_dedup}
+    return {
+        "op1_mixing": op1_mixing,
+        "op2_simhash": op2_simhash,
+        "op3_sharding": op3_sharding,
+        "op4_line_dedup": op4_line_dedup,
+        "op6_packing": op6_packing,
+        "op9_exact_dedup": op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op9_exact_dedup": OP9_SQL}
