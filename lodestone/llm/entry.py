@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, linededup, mixing, packing, sharding, simhash
+from . import exactdedup, langid, linededup, mixing, packing, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,16 @@ FROM documents d LEFT JOIN done x USING (doc_id)
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scores(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.languages(docs, langid.fit(docs))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
@@ -82,7 +92,9 @@ def queries() -> dict[str, Query]:
         "op3_sharding": op3_sharding,
         "op4_line_dedup": op4_line_dedup,
         "op6_packing": op6_packing,
+        "op8_toxicity": op8_toxicity,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_language": op10_language,
     }
 
 
