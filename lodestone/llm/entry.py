@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, langid, linededup, mixing, packing, sharding, simhash, toxicity
+from . import ann, exactdedup, langid, linededup, mixing, packing, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,11 @@ FROM documents d LEFT JOIN done x USING (doc_id)
 """
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.scores(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -91,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op2_simhash": op2_simhash,
         "op3_sharding": op3_sharding,
         "op4_line_dedup": op4_line_dedup,
+        "op5_nearest": op5_nearest,
         "op6_packing": op6_packing,
         "op8_toxicity": op8_toxicity,
         "op9_exact_dedup": op9_exact_dedup,

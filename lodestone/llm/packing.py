@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,35 +18,60 @@ from .store import numbered, saved
 
 CONTEXT = 2048
 END_ID = 1
-#: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
+#: Distinct words whose ids a worker remembers; beyond it those of the latest batch stay.
 WORD_CACHE = 300_000
+#: Distinct runs of letters or signs likewise.
+RUN_CACHE = 900_000
+_TAIL = re.compile(r"[!-/:-@\[-`{-~]*\Z")
 
 
 class WordEncoder:
     """Whole-text ids from a tokenizer whose words never span ASCII white space.
 
     The vocabulary drops white space and splits at it, so a text's ids are
-    those of its space-separated words in a row; each word is encoded once.
+    those of its space-separated words in a row. It also folds case and keeps
+    letters and signs apart, so a word of letters with signs after it is the
+    letters' ids, then the signs'. Each distinct run is encoded once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids, without the end id."""
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > WORD_CACHE:
-                self.known.clear()
-            new = list({*words} - self.known.keys())
-            found = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
-            self.known.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
-            return b"".join(map(self.known.__getitem__, words))
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def _learn(self, new: set[bytes]) -> None:
+        split = {}
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            at = _TAIL.search(text).start()
+            head, tail = text[:at], text[at:]
+            if not head.lower().isalpha():
+                head, tail = text, ""
+            split[word] = (head.lower() if head.isascii() else head, tail)
+        runs = list({x for pair in split.values() for x in pair} - self.runs.keys())
+        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        self.runs.update(zip(runs, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
+        self.words.update((w, self.runs[a] + self.runs[b]) for w, (a, b) in split.items())
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, without the end id."""
+        split = [(x or "").encode("utf-8", "surrogatepass").split() for x in texts]
+        used = set().union(*split)
+        if len(self.words) + len(used) > WORD_CACHE:
+            self.words = {w: self.words[w] for w in used & self.words.keys()}
+        if len(self.runs) > RUN_CACHE:
+            self.runs = {"": b""}
+        self._learn(used - self.words.keys())
+        return [b"".join(map(self.words.__getitem__, x)) for x in split]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One per worker process, kept between tasks."""
+    return WordEncoder(path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -56,12 +84,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cont
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids with the end id, cut every `context` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary or tokenizer_path())
+        words = encoder(vocabulary or tokenizer_path())
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(encoder.ids(text.as_py()) + end)
+            for key, found in zip(batch.column(0).to_pylist(), words.ids(batch.column(1).to_pylist()), strict=True):
+                ids = memoryview(found + end)
                 total = len(ids) // 4
                 rows += [(key, at, min(context, total - at), zlib.crc32(ids[4 * at : 4 * (at + context)]), total) for at in range(0, total, context)]
             columns = zip(*rows, strict=True) if rows else [()] * 5
