@@ -19,10 +19,9 @@ from .store import numbered, saved
 CONTEXT = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers; beyond it those of the latest batch stay.
-WORD_CACHE = 300_000
-#: Distinct runs of letters or signs likewise.
-RUN_CACHE = 900_000
+WORD_CACHE = 900_000
 _TAIL = re.compile(r"[!-/:-@\[-`{-~]*\Z")
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
 class WordEncoder:
@@ -31,7 +30,7 @@ class WordEncoder:
     The vocabulary drops white space and splits at it, so a text's ids are
     those of its space-separated words in a row. It also folds case and keeps
     letters and signs apart, so a word of letters with signs after it is the
-    letters' ids, then the signs'. Each distinct run is encoded once.
+    letters' ids, then the signs'. Each distinct word is encoded once.
     """
 
     def __init__(self, path: str):
@@ -39,33 +38,43 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _split(text: str | None) -> list[bytes]:
+        """Words in lower case, a single stop or comma after a letter apart."""
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if b"<|" in raw:  # may hold the name of a special id, which is matched as written
+            return raw.split()
+        return _STOP.sub(rb" \1", raw.lower()).split()
 
     def _learn(self, new: set[bytes]) -> None:
-        split = {}
+        pairs, wanted = {}, set()
         for word in new:
+            if word.isalpha():
+                wanted.add(word)
+                continue
             text = word.decode("utf-8", "replace")
             at = _TAIL.search(text).start()
-            head, tail = text[:at], text[at:]
-            if not head.lower().isalpha():
-                head, tail = text, ""
-            split[word] = (head.lower() if head.isascii() else head, tail)
-        runs = list({x for pair in split.values() for x in pair} - self.runs.keys())
-        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        self.runs.update(zip(runs, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
-        self.words.update((w, self.runs[a] + self.runs[b]) for w, (a, b) in split.items())
+            if 0 < at < len(text) and text[:at].lower().isalpha():
+                pairs[word] = text[:at].encode(), text[at:].encode()
+                wanted.update(pairs[word])
+            else:
+                wanted.add(word)
+        plain = list(wanted - self.known.keys())
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in plain], add_special_tokens=False)
+        self.known.update(zip(plain, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
+        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in pairs.items())
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without the end id."""
-        split = [(x or "").encode("utf-8", "surrogatepass").split() for x in texts]
+        split = [self._split(x) for x in texts]
         used = set().union(*split)
-        if len(self.words) + len(used) > WORD_CACHE:
-            self.words = {w: self.words[w] for w in used & self.words.keys()}
-        if len(self.runs) > RUN_CACHE:
-            self.runs = {"": b""}
-        self._learn(used - self.words.keys())
-        return [b"".join(map(self.words.__getitem__, x)) for x in split]
+        new = used - self.known.keys()
+        if len(self.known) + len(new) > WORD_CACHE:
+            self.known = {w: self.known[w] for w in used & self.known.keys()}
+        self._learn(new)
+        return [b"".join(map(self.known.__getitem__, x)) for x in split]
 
 
 @lru_cache(maxsize=2)

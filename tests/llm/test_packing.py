@@ -25,7 +25,7 @@ def test_word_ids_equal_whole_text_ids(spark):
     whole = Tokenizer.from_file(tokenizer_path())
     texts = ["Hello,  world's\tend\n\n  É é it's 123abc  x y", "", "a<|endoftext|>b <|startoftext|>", " lead trail ", "日本 語\x0bß İstanbul ΣΑΣ", "!!! ... ---word"]
     encoder = WordEncoder(tokenizer_path())
-    texts += ["RE. re, Re### été!! d'été's o'clock's é\u0301x. \u2014. a\u2014. x's. y'S! 1st. a1. \u0130. \u03a3.", "tail-' 's. it's' ..a.. \u00a0b\u00a0. \u3000\u3000"]
+    texts += ["RE. re, Re### été!! d'été's o'clock's é\u0301x. \u2014. a\u2014. x's. y'S! 1st. a1. \u0130. \u03a3.", "tail-' 's. it's' ..a.. w... w., it's. <|ENDOFTEXT|> E. \u00a0b\u00a0. \u3000\u3000"]
     for _ in range(2):
         for t, found in zip(texts, encoder.ids(texts), strict=True):
             assert np.frombuffer(found, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
