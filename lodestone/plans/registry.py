@@ -23,9 +23,16 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    """Import every module that registers queries."""
+    from lodestone.plans import graph_queries, mutation_queries, prose_queries, relational_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
