@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,6 @@ END_ID = 1
 #: Distinct words whose ids a worker remembers; beyond it those of the latest batch stay.
 WORD_CACHE = 900_000
 _TAIL = re.compile(r"[!-/:-@\[-`{-~]*\Z")
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
 class WordEncoder:
@@ -30,7 +30,8 @@ class WordEncoder:
     The vocabulary drops white space and splits at it, so a text's ids are
     those of its space-separated words in a row. It also folds case and keeps
     letters and signs apart, so a word of letters with signs after it is the
-    letters' ids, then the signs'. Each distinct word is encoded once.
+    letters' ids, then the signs'. Arrow splits the texts and finds the
+    distinct words; each is encoded once, and the texts' ids are gathered.
     """
 
     def __init__(self, path: str):
@@ -38,43 +39,42 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
-    @staticmethod
-    def _split(text: str | None) -> list[bytes]:
-        """Words in lower case, a single stop or comma after a letter apart."""
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if b"<|" in raw:  # may hold the name of a special id, which is matched as written
-            return raw.split()
-        return _STOP.sub(rb" \1", raw.lower()).split()
-
-    def _learn(self, new: set[bytes]) -> None:
+    def _learn(self, new: list[str]) -> None:
         pairs, wanted = {}, set()
         for word in new:
-            if word.isalpha():
-                wanted.add(word)
-                continue
-            text = word.decode("utf-8", "replace")
-            at = _TAIL.search(text).start()
-            if 0 < at < len(text) and text[:at].lower().isalpha():
-                pairs[word] = text[:at].encode(), text[at:].encode()
+            if not word.isalpha() and (at := _TAIL.search(word).start()) and word[:at].lower().isalpha():
+                pairs[word] = word[:at], word[at:]
                 wanted.update(pairs[word])
             else:
                 wanted.add(word)
         plain = list(wanted - self.known.keys())
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in plain], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
         self.known.update(zip(plain, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
         self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in pairs.items())
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without the end id."""
-        split = [self._split(x) for x in texts]
-        used = set().union(*split)
-        new = used - self.known.keys()
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, without end ids, and where each text's begin (one entry more than texts)."""
+        texts = texts.fill_null("")
+        # A text that may name a special id stays as written: those names are matched by case.
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > WORD_CACHE:
-            self.known = {w: self.known[w] for w in used & self.known.keys()}
+            self.known = {"": b""} | {w: self.known[w] for w in words if w in self.known}
         self._learn(new)
-        return [b"".join(map(self.known.__getitem__, x)) for x in split]
+        each = [self.known[w] for w in words]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        start = np.concatenate(([0], np.cumsum(size)))
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        taken = size[index]
+        upto = np.concatenate(([0], np.cumsum(taken)))
+        place = np.repeat(start[index] - upto[:-1], taken) + np.arange(upto[-1])
+        bounds = split.offsets.to_numpy(zero_copy_only=False)
+        return np.frombuffer(b"".join(each), "<u4")[place], upto[bounds - bounds[0]]
 
 
 @lru_cache(maxsize=2)
@@ -94,11 +94,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cont
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary or tokenizer_path())
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
+            flat, bounds = words.ids(batch.column(1))
             rows = []
-            for key, found in zip(batch.column(0).to_pylist(), words.ids(batch.column(1).to_pylist()), strict=True):
-                ids = memoryview(found + end)
+            for key, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                ids = memoryview(np.append(flat[a:b], np.uint32(END_ID)).astype("<u4", copy=False)).cast("B")
                 total = len(ids) // 4
                 rows += [(key, at, min(context, total - at), zlib.crc32(ids[4 * at : 4 * (at + context)]), total) for at in range(0, total, context)]
             columns = zip(*rows, strict=True) if rows else [()] * 5

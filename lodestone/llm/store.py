@@ -39,7 +39,7 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_task: int = 20_000) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_task: int = 2_000) -> DataFrame:
     """Add `out`: a gapless number from 0 within each value of `keys`.
 
     Large keys are split over buckets by a hash of `order`; a bucket's numbers

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from lodestone.llm.packing import WordEncoder, pack, pack_histogram, tokenizer_path
@@ -27,8 +28,9 @@ def test_word_ids_equal_whole_text_ids(spark):
     encoder = WordEncoder(tokenizer_path())
     texts += ["RE. re, Re### été!! d'été's o'clock's é\u0301x. \u2014. a\u2014. x's. y'S! 1st. a1. \u0130. \u03a3.", "tail-' 's. it's' ..a.. w... w., it's. <|ENDOFTEXT|> E. \u00a0b\u00a0. \u3000\u3000"]
     for _ in range(2):
-        for t, found in zip(texts, encoder.ids(texts), strict=True):
-            assert np.frombuffer(found, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+        flat, bounds = encoder.ids(pa.array([None, *texts])[1:])
+        for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+            assert flat[a:b].tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
 def test_pieces_fill_sequences_without_gaps(spark):
