@@ -238,5 +238,5 @@ def import_closure(imports: DataFrame, entrypoints: list[str]) -> DataFrame:
     while not new.isEmpty():
         step = new.join(edges, "path").select(F.col("target").alias("path"), (F.col("hops") + 1).alias("hops")).distinct()
         new = cut(step.join(reached, "path", "left_anti"))
-        reached = cut(reached.union(new))
+        reached = reached.union(new)
     return reached
