@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exactdedup, langid, linededup, mixing, packing, sharding, simhash, toxicity
+from . import ann, exactdedup, langid, linededup, mixing, packing, sharding, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,10 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.scores(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -98,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": op4_line_dedup,
         "op5_nearest": op5_nearest,
         "op6_packing": op6_packing,
+        "op7_substrings": op7_substrings,
         "op8_toxicity": op8_toxicity,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language": op10_language,
