@@ -25,8 +25,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_if_null: tuple[
     A key that new holds twice is an error.
     """
     one = Window.partitionBy(*keys)
-    clash = F.when(F.count("*").over(one) > 1, F.raise_error(F.lit("a key occurs twice in the new rows"))).otherwise(F.lit(True))
-    new = new.where(clash)
+    clash = F.raise_error(F.lit("a key occurs twice in the new rows"))
+    new = new.withColumn("_times", F.count("*").over(one)).where(F.when(F.col("_times") > 1, clash).otherwise(F.lit(True))).drop("_times")
     o, n = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
     joined = o.join(n, _on(keys), "full_outer")
 

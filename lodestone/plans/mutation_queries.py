@@ -1 +1,149 @@
-"""Registered queries."""
+"""Registered queries of loads, mutations and integrity rules: each gives the table after the change."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone import model
+from lodestone.operators import merge
+from lodestone.plans.derived import sql, tables
+from lodestone.plans.prose_queries import table
+from lodestone.plans.registry import register
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One incoming row per key from orders: every third without a segment, some keys unknown."""
+    o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") * 2).alias("c_custkey")).agg(F.max("o_orderpriority").alias("p"))
+    return o.select("c_custkey", F.concat(F.lit("new "), F.col("c_custkey").cast("string")).alias("c_name"), F.when(F.col("c_custkey") % 3 != 0, F.col("p")).alias("c_mktsegment"))
+
+
+_NEW = "n AS (SELECT k AS c_custkey, 'new ' || k AS c_name, CASE WHEN k % 3 <> 0 THEN p END AS c_mktsegment FROM (SELECT o_custkey * 2 AS k, max(o_orderpriority) AS p FROM orders GROUP BY 1))"
+
+
+@register("snk5_upsert_sources", f"""WITH {_NEW} SELECT coalesce(n.c_custkey, c.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_name ELSE c.c_name END AS c_name,
+  coalesce(n.c_mktsegment, c.c_mktsegment) AS c_mktsegment FROM customer c FULL JOIN n ON n.c_custkey = c.c_custkey""")
+def upsert_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.upsert(_customers(spark, sf_dir), _names(spark, sf_dir), ["c_custkey"], keep_if_null=("c_mktsegment",))
+
+
+@register("snk6_upsert_symbols", sql("""WITH o AS (SELECT vocabulary_id, local_name, kind, parent_symbol_id, min(type_ref) AS type_ref FROM symbols WHERE id % 3 <> 0 GROUP BY 1, 2, 3, 4),
+  n AS (SELECT vocabulary_id, local_name, kind, parent_symbol_id, min(CASE WHEN id % 5 = 0 THEN 'fixed' END) AS type_ref FROM symbols WHERE id % 2 = 0 GROUP BY 1, 2, 3, 4)
+SELECT coalesce(o.vocabulary_id, n.vocabulary_id) AS vocabulary_id, coalesce(o.local_name, n.local_name) AS local_name, coalesce(o.kind, n.kind) AS kind,
+  coalesce(o.parent_symbol_id, n.parent_symbol_id) AS parent_symbol_id, coalesce(n.type_ref, o.type_ref) AS type_ref, o.kind IS NULL AS inserted
+FROM o FULL JOIN n ON o.vocabulary_id = n.vocabulary_id AND o.local_name = n.local_name AND o.kind = n.kind AND o.parent_symbol_id IS NOT DISTINCT FROM n.parent_symbol_id""", "symbols"))
+def upsert_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables(spark, sf_dir, "symbols")["symbols"]
+    keys = ["vocabulary_id", "local_name", "kind", "parent_symbol_id"]
+    old = s.where("id % 3 <> 0").groupBy(*keys).agg(F.min("type_ref").alias("type_ref"))
+    new = s.where("id % 2 = 0").groupBy(*keys).agg(F.min(F.when(F.col("id") % 5 == 0, "fixed")).alias("type_ref"))
+    return merge.upsert(old, new, keys, keep_if_null=("type_ref",), flag=True)
+
+
+@register("snk7_insert_absent", f"WITH {_NEW} SELECT c_custkey, c_name, c_mktsegment FROM customer UNION ALL SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)")
+def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.insert_absent(_customers(spark, sf_dir), _names(spark, sf_dir), ["c_custkey"])
+
+
+@register("snk8_get_or_create", "SELECT CAST(n_nationkey AS INT) AS id, n_name AS name FROM nation UNION ALL SELECT CAST(24 + row_number() OVER (ORDER BY name) AS INT), name FROM (SELECT DISTINCT p_brand AS name FROM part)")
+def get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name"))
+    return merge.get_or_create(old, table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")), "name")
+
+
+@register("snk3_update_embedding", "SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN vec_id * 2 ELSE label END AS label FROM embeddings")
+def update_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
+    changes = rows.where("vec_id % 10 = 0").select("vec_id", (F.col("vec_id") * 2).alias("label"))
+    return merge.update_column(rows, changes, "vec_id", "label")
+
+
+@register("snk9_backfill_source", sql("SELECT id, coalesce(source_id, part_number * 100) AS source_id FROM (SELECT id, part_number, CASE WHEN id % 4 = 0 THEN 1 END AS source_id FROM spec_content)", "spec_content"))
+def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables(spark, sf_dir, "spec_content")["spec_content"].select("id", "part_number", F.when(F.col("id") % 4 == 0, 1).alias("source_id"))
+    sources = spark.range(1, 5).select(F.col("id").cast("int").alias("part_number"), (F.col("id") * 100).cast("int").alias("source_id"))
+    return merge.update_column(rows, sources, "part_number", "source_id", only_null=True).select("id", "source_id")
+
+
+@register("snk10_fill_type_ref", sql("SELECT id, coalesce(type_ref, CASE WHEN id % 2 = 0 THEN 'later' END) AS type_ref FROM symbols", "symbols"))
+def fill_type_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables(spark, sf_dir, "symbols")["symbols"].select("id", "type_ref")
+    later = s.where("id % 2 = 0").select("id", F.lit("later").alias("type_ref"))
+    return merge.update_column(s, later, "id", "type_ref", only_null=True)
+
+
+@register("snk2_replace_part", sql("SELECT id, part_number, content_type FROM spec_content WHERE part_number <> 2 UNION ALL SELECT id + 1000000, 2, 'new' FROM spec_content WHERE part_number = 3", "spec_content"))
+def replace_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables(spark, sf_dir, "spec_content")["spec_content"].select("id", "part_number", "content_type")
+    new = rows.where("part_number = 3").select((F.col("id") + 1000000).alias("id"), F.lit(2).alias("part_number"), F.lit("new").alias("content_type"))
+    return merge.replace_part(rows, new, 2)
+
+
+@register("snk12_rewrite_profile", sql("SELECT id, profile_id FROM symbol_profiles WHERE profile_id <> 2", "symbol_profiles"))
+def rewrite_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = tables(spark, sf_dir, "symbol_profiles")["symbol_profiles"].select("id", "profile_id")
+    return merge.delete_where_in(members, "profile_id", spark.createDataFrame([(2,)], "p int"), "p")
+
+
+_GRAPH = ("symbols", "symbol_profiles", "compositors", "child_edges", "attr_edges", "group_edges", "inheritance_edges", "enums")
+_GONE = """g AS (SELECT symbol_id AS id FROM symbol_profiles WHERE source_id = 2),
+  gone AS (SELECT id FROM g UNION SELECT s.id FROM symbols s JOIN g ON s.parent_symbol_id = g.id),
+  tops AS (SELECT id FROM compositors WHERE parent_symbol_id IS NOT NULL AND parent_symbol_id NOT IN (SELECT id FROM gone)),
+  live AS (SELECT id FROM tops UNION ALL SELECT c.id FROM live JOIN compositors c ON c.parent_compositor_id = live.id)"""
+
+
+@register("snk11_snk14_purge_cascade", sql(f"""WITH {_GONE}
+SELECT 'symbols' AS t, count(*) AS n FROM symbols WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'symbol_profiles', count(*) FROM symbol_profiles WHERE symbol_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'compositors', count(*) FROM live
+UNION ALL SELECT 'child_edges', count(*) FROM child_edges WHERE parent_symbol_id NOT IN (SELECT id FROM gone) AND child_symbol_id NOT IN (SELECT id FROM gone) AND compositor_id IN (SELECT id FROM live)
+UNION ALL SELECT 'attr_edges', count(*) FROM attr_edges WHERE symbol_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'group_edges', count(*) FROM group_edges WHERE parent_symbol_id NOT IN (SELECT id FROM gone) AND group_symbol_id NOT IN (SELECT id FROM gone) AND (compositor_id IS NULL OR compositor_id IN (SELECT id FROM live))
+UNION ALL SELECT 'inheritance_edges', count(*) FROM inheritance_edges WHERE symbol_id NOT IN (SELECT id FROM gone) AND base_symbol_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'enums', count(*) FROM enums WHERE symbol_id NOT IN (SELECT id FROM gone)""", *_GRAPH))
+def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = merge.purge_source(tables(spark, sf_dir, *_GRAPH), 2)
+    out = None
+    for name in _GRAPH:
+        row = left[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@register("flt11_delete_unreferenced", "SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'MACHINERY' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'))")
+def delete_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return merge.delete_unreferenced(_customers(spark, sf_dir), F.col("c_mktsegment") == "MACHINERY", orders, "c_custkey", "o_custkey").select("c_custkey")
+
+
+@register("snk16_pending_migrations", "SELECT 'm' || p_partkey AS name, md5(p_name) AS checksum FROM part WHERE p_partkey % 3 = 0")
+def pending_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = table(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("name"), F.md5(F.col("p_name").cast("binary")).alias("checksum"), "p_partkey")
+    return merge.pending_migrations(every, every.where("p_partkey % 3 <> 0"))
+
+
+@register("flt12_ddl3_domains", "SELECT count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS outside FROM orders")
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.outside_domain(table(spark, sf_dir, "orders"), "o_orderstatus", ("F", "O")).agg(F.count("*").alias("outside"))
+
+
+@register("ddl1_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.duplicate_keys(table(spark, sf_dir, "lineitem"), ("l_orderkey", "l_linenumber"))
+
+
+@register("ddl2_dangling", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
+def dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.dangling(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").where("c_nationkey < 20"), "c_custkey").select("o_orderkey")
+
+
+_CHECKED = ("symbols", "profiles", "namespaces", "symbol_profiles", "compositors", "attr_edges", "group_edges", "inheritance_edges")
+
+
+@register("ddl_all_rules")
+def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.violations(tables(spark, sf_dir, *_CHECKED))

@@ -305,7 +305,7 @@ def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F' AND l_suppkey = 7").select("l_orderkey", "l_partkey")
 
 
-@register("src14_catalog_scan", "SELECT * FROM (VALUES " + ", ".join(f"('{p.key}', {len(p.content_types)}, '{p.families[0]}')" for p in catalog.PARTS) + ") v(key, n, family)")
+@register("src14_catalog_scan", "SELECT * FROM (VALUES " + ", ".join(f"('{p.key}', CAST({len(p.content_types)} AS INT), '{p.families[0]}')" for p in catalog.PARTS) + ") v(key, n, family)")
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.parts(spark).select("key", F.size("content_types").alias("n"), F.col("families")[0].alias("family"))
 
