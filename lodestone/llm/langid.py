@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import lean
 from .toxicity import remainder
 
 DIMENSIONS = 1024
@@ -121,7 +122,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str, np.ndarra
     Rare languages give all their documents. Tasks add up their documents'
     vectors; the driver gets one vector per language.
     """
-    learn = docs.where((remainder("doc_id", PARTS) != HELD) & F.col("lang").isNotNull())
+    learn = lean(docs).where((remainder("doc_id", PARTS) != HELD) & F.col("lang").isNotNull())
     share = learn.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_share"))
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("lang")), 11) / F.lit(float(1 << 53))
     drawn = learn.join(F.broadcast(share.limit(10_000)), "lang").where(draw < F.col("_share")).select("lang", "text")
@@ -170,5 +171,5 @@ def identify(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
 def languages(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score. Repeated rows get the same; other columns are ignored."""
     held = (remainder("doc_id", PARTS) == HELD).alias("held_out")
-    done = docs.select("doc_id", held, identify(F.col("text"), prototypes).alias("_found"))
+    done = lean(docs).select("doc_id", held, identify(F.col("text"), prototypes).alias("_found"))
     return done.select("doc_id", "held_out", "_found.lang_pred", "_found.score")

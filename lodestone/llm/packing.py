@@ -15,12 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import numbered, saved
+from .store import lean, numbered, saved
 
 CONTEXT = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers; beyond it those of the latest batch stay.
-WORD_CACHE = 900_000
+WORD_CACHE = 400_000
 _TAIL = re.compile(r"[!-/:-@\[-`{-~]*\Z")
 
 
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cont
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary or tokenizer_path())
-        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
+        for batch in batches:
             flat, bounds = words.ids(batch.column(1))
             rows = []
             for key, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cont
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, schema)
+    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, schema)
 
 
 def pack_histogram(counts: dict[int, int], context: int = CONTEXT) -> list[tuple[int, tuple[int, ...]]]:

@@ -34,6 +34,15 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(texts: DataFrame, rows: int = 1_000) -> DataFrame:
+    """texts, with Arrow batches of at most `rows` rows in this session: long texts come in batches of some megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = texts.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return texts
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it was counted to hold at most `limit` rows, else df for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

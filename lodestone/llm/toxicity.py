@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import lean, saved
 
 #: Labelled rows that a model is fitted on at most, drawn by a hash of doc_id.
 SAMPLE_ROWS = 12_000
@@ -199,10 +199,10 @@ def score(text: Column, model: Model) -> Column:
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted. Repeated rows score alike; other columns are ignored."""
     held = (remainder("doc_id", HOLD_OUT) == 0).alias("held_out")
-    done = docs.select("doc_id", held, score(F.col("text"), model).alias("score"))
+    done = lean(docs).select("doc_id", held, score(F.col("text"), model).alias("score"))
     return done.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """docs whose score is below `limit`, all columns kept."""
-    return docs.withColumn("_score", score(F.col("text"), model)).where(F.col("_score") < limit).drop("_score")
+    return lean(docs).withColumn("_score", score(F.col("text"), model)).where(F.col("_score") < limit).drop("_score")
