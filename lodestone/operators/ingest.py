@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.qname import BUILTIN, attribute_use, clark, parse_max_occurs, parse_min_occurs, resolve_qname, vocabulary_of
 from lodestone.operators.graph import _recursive
+from lodestone.staging import cut
 
 COMPOSITORS = ("sequence", "choice", "all")
 #: The order in which the kinds of a base type are tried.
@@ -35,7 +36,7 @@ class Walk:
         self.declarations = declared
         owner = declared.select("doc", "place", F.col("kind").alias("owner_kind"), F.col("local_name").alias("owner"), F.col("vocabulary_id").alias("owner_vocabulary"), "namespace", "ordinal", "prefixes")
         nodes = tables["nodes"].where(F.size("path") >= 1)
-        self.nodes = nodes.withColumn("place", F.col("path")[0]).join(owner, ["doc", "place"]).persist()
+        self.nodes = cut(nodes.withColumn("place", F.col("path")[0]).join(owner, ["doc", "place"]))
 
     def children(self, parents: DataFrame, *tags: str) -> DataFrame:
         """Child nodes of (doc, path) rows."""
@@ -96,12 +97,12 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
     built = built.join(top.select("vocabulary_id", "local_name"), ["vocabulary_id", "local_name"], "left_anti")
     built = built.select("vocabulary_id", "local_name", F.lit("simpleType").alias("kind"), F.lit(None).cast("string").alias("type_ref"), "namespace")
     every = top.unionByName(built)
-    ids = every.withColumn("id", F.row_number().over(Window.orderBy(*keys))).persist()
+    ids = cut(every.withColumn("id", F.row_number().over(Window.orderBy(*keys))))
     id_of = lambda name, *on: ids.select(F.col("id").alias(name), *[F.col(k).alias(o) for k, o in zip(keys, on, strict=True)])
     rank = F.array_position(F.array(*map(F.lit, BASE_KINDS)), F.col("_kind"))
     bases = ids.select(F.col("vocabulary_id").alias("base_vocabulary"), F.col("local_name").alias("base_name"), F.col("kind").alias("_kind"), F.col("id").alias("base_symbol_id"))
     bases = _first(bases.withColumn("_rank", rank), ["base_vocabulary", "base_name"], "_rank").drop("_rank", "_kind")
-    linked = derived.join(bases, ["base_vocabulary", "base_name"], "left").persist()
+    linked = cut(derived.join(bases, ["base_vocabulary", "base_name"], "left"))
     inheritance = linked.where("base_symbol_id IS NOT NULL").join(id_of("symbol_id", "owner_vocabulary", "owner", "owner_kind"), ["owner_vocabulary", "owner", "owner_kind"])
     inheritance = _first(inheritance, ["symbol_id"], "ordinal", "place").select("symbol_id", "base_symbol_id", "relation")
 
@@ -109,7 +110,7 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
     content = walk.parents("group", "complexContent")
     particle = walk.nodes.where(F.col("tag").isin("element", "group", *COMPOSITORS)).withColumn("_parent", _parent(F.col("path")))
     slim = particle.where(F.col("tag").isin(*COMPOSITORS)).select("doc", "path", "_parent")
-    inside = _recursive(
+    inside = cut(_recursive(
         {"nodes": slim, "tops": content},
         """
         WITH RECURSIVE c(doc, path, parent) AS (
@@ -117,7 +118,7 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
           UNION ALL
           SELECT n.doc, n.path, c.path FROM c JOIN {nodes} n ON n.doc = c.doc AND n._parent = c.path)
         SELECT doc, path, parent FROM c""",
-    ).persist()
+    ))
     owner = ["owner_vocabulary", "owner", "owner_kind"]
     among = Window.partitionBy("doc", "_parent").orderBy("path")
     # Direct children of all content parents of a declaration share one count.
@@ -127,7 +128,7 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
     deep_order = deep.select("doc", "path", (F.row_number().over(among) - 1).alias("order_index"))
     order = top_order.union(deep_order)
     rows = walk.nodes.join(inside, ["doc", "path"]).join(order, ["doc", "path"]).join(id_of("owner_id", *owner), owner)
-    rows = rows.withColumn("id", F.row_number().over(Window.orderBy("ordinal", "doc", "path"))).persist()
+    rows = cut(rows.withColumn("id", F.row_number().over(Window.orderBy("ordinal", "doc", "path"))))
     number = rows.select("doc", F.col("path").alias("_parent"), F.col("id").alias("compositor_id"))
     up = number.withColumnsRenamed({"_parent": "parent", "compositor_id": "parent_compositor_id"})
     occurs = [parse_min_occurs(_attr("minOccurs")).alias("min_occurs"), parse_max_occurs(_attr("maxOccurs")).alias("max_occurs")]
@@ -140,12 +141,12 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
     named_type = F.min_by("own_type", F.when(F.col("own_type").isNotNull(), F.struct("ordinal", "doc", "path")))
     local_symbols = local.groupBy("owner_id", "owner_vocabulary", "name", "namespace").agg(named_type.alias("type_ref"))
     most = ids.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_most"))
-    local_symbols = local_symbols.join(F.broadcast(most)).withColumn("id", F.row_number().over(Window.orderBy("owner_id", "name")) + F.col("_most")).persist()
+    local_symbols = cut(local_symbols.join(F.broadcast(most)).withColumn("id", F.row_number().over(Window.orderBy("owner_id", "name")) + F.col("_most")))
     symbols = ids.select("id", *keys, "type_ref", F.lit(None).cast("int").alias("parent_symbol_id")).union(
         local_symbols.select("id", F.col("owner_vocabulary"), F.col("name"), F.lit("element"), "type_ref", "owner_id")
     )
     globals_ = ids.where("kind = 'element'").select(F.col("vocabulary_id").alias("ref_vocabulary"), F.col("local_name").alias("ref_name"), F.col("id").alias("child_symbol_id"))
-    by_ref = marked.where("has_ref").join(globals_, ["ref_vocabulary", "ref_name"], "left").persist()
+    by_ref = cut(marked.where("has_ref").join(globals_, ["ref_vocabulary", "ref_name"], "left"))
     by_name = local.join(local_symbols.select("owner_id", "name", F.col("id").alias("child_symbol_id")), ["owner_id", "name"])
     edge = [F.col("owner_id").alias("parent_symbol_id"), "compositor_id", "child_symbol_id", *occurs, "order_index"]
     child_edges = by_ref.where("child_symbol_id IS NOT NULL").select(*edge).union(by_name.select(*edge))
@@ -164,7 +165,7 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
     lost_group = (F.col("tag") == "attributeGroup") & (F.col("ref").isNull() | F.col("target_id").isNull())
     counted = carried.withColumn("counts", (F.col("tag") == "attribute") | ~lost_group)
     before = Window.partitionBy("doc", "place").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("order_index", F.coalesce(F.sum(F.col("counts").cast("int")).over(before), F.lit(0)).cast("int")).persist()
+    counted = cut(counted.withColumn("order_index", F.coalesce(F.sum(F.col("counts").cast("int")).over(before), F.lit(0)).cast("int")))
     attr_decl = _first(declared.where("kind = 'attribute'"), ["namespace", "local_name"], "ordinal", "place").select(
         F.col("namespace").alias("ref_namespace"), F.col("local_name").alias("ref_name"), F.col("type_ref").alias("d_type"), _attr("default").alias("d_default"), _attr("fixed").alias("d_fixed")
     )
@@ -176,7 +177,7 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
         F.coalesce(_attr("fixed"), F.when(by, F.col("d_fixed"))).alias("fixed_value"), F.when(by, F.col("d_type")).otherwise(_type_ref()).alias("type_ref"), "order_index",
     ).where("local_name IS NOT NULL")
     refs = refs.withColumns({"ref_vocabulary": vocabulary(ref), "ref_name": ref["local_name"]})
-    refs = refs.join(id_of("group_symbol_id", "ref_vocabulary", "ref_name", "ref_kind"), ["ref_vocabulary", "ref_name", "ref_kind"], "left").persist()
+    refs = cut(refs.join(id_of("group_symbol_id", "ref_vocabulary", "ref_name", "ref_kind"), ["ref_vocabulary", "ref_name", "ref_kind"], "left"))
     columns = [F.col("owner_id").alias("parent_symbol_id"), "compositor_id", "group_symbol_id", "ref_kind"]
     one = F.lit(1)
     used = counted.where((F.col("tag") == "attributeGroup") & ~lost_group)
@@ -188,7 +189,7 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
 
     # Namespaces, memberships and ids.
     spaces = tables["documents"].select(F.col("target_namespace").alias("uri")).union(built.select("namespace")).distinct()
-    spaces = spaces.select(F.row_number().over(Window.orderBy("uri")).alias("id"), "uri").persist()
+    spaces = cut(spaces.select(F.row_number().over(Window.orderBy("uri")).alias("id"), "uri"))
     members = ids.select(F.col("id").alias("symbol_id"), "namespace").union(local_symbols.select("id", "namespace"))
     members = members.join(spaces.select(F.col("uri").alias("namespace"), F.col("id").alias("namespace_id")), "namespace")
     spark = ids.sparkSession
