@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .store import saved, small
 
 TABLES = 8
-#: Axes of each table that a query looks up, of the 2 * dimensions there are.
-PROBES = 16
+#: Share of each table's axes that a query looks up; there are two a dimension.
+PROBES = 1 / 8
 SEED = 7
 #: Rows and queries of one bucket that a task compares at once; larger buckets are dealt out.
 CHUNK_ROWS, CHUNK_QUERIES = 8192, 2048
@@ -110,7 +110,7 @@ def _rank(k: int, width: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, share: float = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, by inner product, ties to smaller ids.
 
     Vectors that are null, zero or hold null or non-finite components take no
@@ -135,6 +135,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get("v", i), F.lit(0.0)))
         rows, asked = rows.withColumn("v", filled), asked.withColumn("v", filled)
     bound = None if high - low <= 1e-6 * high else float(high)
+    axes = 2 << max(0, (width if bound is None else width + 1) - 1).bit_length()
+    probes = max(2, round(axes * share))
     kind = f"table int, axis int, id long, v {rows.schema['v'].dataType.simpleString()}"
     index = rows.mapInArrow(_lookup(width, bound, tables, 1), kind)
 
@@ -161,5 +163,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     short = saved(asked.join(full, "id", "left_anti"), "short")
     if short.isEmpty():
         return done
-    again = search(short, 2 << max(0, (width if bound is None else width + 1) - 1).bit_length())
+    again = search(short, axes)
     return done.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(again)

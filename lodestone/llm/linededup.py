@@ -50,18 +50,18 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
     """
     lists = saved(boilerplate(docs, site_col, text_col, ratio, min_pages), "boilerplate")
     size, most = lists.agg(F.sum(F.size("keys")), F.max("pages")).first()
-    lists = lists.select(F.col("site").alias("_site"), F.col("keys").alias("_keys"))
-    same = F.col(site_col).eqNullSafe(F.col("_site"))
+    lists = lists.select(F.col("site").alias("__lodestone_site"), F.col("keys").alias("__lodestone_keys"))
+    same = F.col(site_col).eqNullSafe(F.col("__lodestone_site"))
     if (size or 0) <= BROADCAST_LINES:
         joined = docs.join(F.broadcast(lists), same, "left")
     else:
         salts = -(-most // 20_000)
-        salted = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = docs.withColumn("_at", F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int"))
-        joined = spread.join(salted, same & (F.col("_at") == F.col("_salt")), "left")
+        salted = lists.withColumn("__lodestone_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = docs.withColumn("__lodestone_at", F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int"))
+        joined = spread.join(salted, same & (F.col("__lodestone_at") == F.col("__lodestone_salt")), "left")
     lines = F.split(text_col, "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_keys"), _key(x)))
-    text = F.when(F.col("_keys").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__lodestone_keys"), _key(x)))
+    text = F.when(F.col("__lodestone_keys").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     out = {c: text.alias(c) if c == text_col else F.col(c) for c in docs.columns}
     if counts:
         count = lambda x: F.coalesce(F.size(F.filter(x, lambda y: F.btrim(y, F.lit(_BLANKS)) != "")), F.lit(0))

@@ -159,11 +159,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     from .store import small
 
     found = saved(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "classes")
-    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(small(drop), F.col(id_col).cast("long").eqNullSafe(F.col("_drop")), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lodestone_drop")).distinct()
+    kept = docs.join(small(drop), F.col(id_col).cast("long").eqNullSafe(F.col("__lodestone_drop")), "left_anti")
+    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__lodestone_twice"))
     if repeated.isEmpty():
         return kept
-    again = F.col(id_col).cast("long").eqNullSafe(F.col("_twice"))
+    again = F.col(id_col).cast("long").eqNullSafe(F.col("__lodestone_twice"))
     repeated = small(saved(repeated, "repeated"))
     return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col]))

@@ -205,4 +205,4 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """docs whose score is below `limit`, all columns kept."""
-    return lean(docs).withColumn("_score", score(F.col("text"), model)).where(F.col("_score") < limit).drop("_score")
+    return lean(docs).withColumn("__lodestone_score", score(F.col("text"), model)).where(F.col("__lodestone_score") < limit).drop("__lodestone_score")
