@@ -19,9 +19,25 @@ from .store import lean, numbered, saved
 
 CONTEXT = 2048
 END_ID = 1
-#: Distinct words whose ids a worker remembers; beyond it those of the latest batch stay.
-WORD_CACHE = 400_000
+#: Distinct words whose ids a worker remembers, at some 40 bytes each; beyond it those of the latest batch stay.
+WORD_CACHE = 2_000_000
 _TAIL = re.compile(r"[!-/:-@\[-`{-~]*\Z")
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string's bytes and length, computed on Arrow's buffers."""
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    out, size = np.zeros(len(words), np.uint64), np.diff(bounds)
+    some = size > 0
+    with np.errstate(over="ignore"):
+        if some.any():
+            raw = np.frombuffer(words.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].astype(np.uint64) + np.uint64(1)
+            powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(size.max()) - 1, _ODD))), dtype=np.uint64)
+            place = np.arange(len(raw)) - np.repeat(bounds[:-1] - bounds[0], size)
+            out[some] = np.add.reduceat(raw * powers[place], (bounds[:-1] - bounds[0])[some])
+        out = (out ^ (out >> np.uint64(29)) ^ size.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(32))
 
 
 class WordEncoder:
@@ -32,6 +48,7 @@ class WordEncoder:
     letters and signs apart, so a word of letters with signs after it is the
     letters' ids, then the signs'. Arrow splits the texts and finds the
     distinct words; each is encoded once, and the texts' ids are gathered.
+    What is known of words lies in arrays, sorted by hash.
     """
 
     def __init__(self, path: str):
@@ -39,20 +56,48 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, new: list[str]) -> None:
-        pairs, wanted = {}, set()
-        for word in new:
-            if not word.isalpha() and (at := _TAIL.search(word).start()) and word[:at].lower().isalpha():
-                pairs[word] = word[:at], word[at:]
-                wanted.update(pairs[word])
-            else:
-                wanted.add(word)
-        plain = list(wanted - self.known.keys())
-        found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-        self.known.update(zip(plain, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in pairs.items())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in a row, and how many each has."""
+        split: list[tuple[str, str]] = []
+        for word in words:
+            at = 0 if word.isalpha() else _TAIL.search(word).start()
+            split.append((word[:at], word[at:]) if at and word[:at].lower().isalpha() else (word, ""))
+        runs = list({x for pair in split for x in pair} - {""})
+        ids = {"": b""} | dict(zip(runs, (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)), strict=True))
+        each = [ids[a] + ids[b] for a, b in split]
+        return np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash is in the table; -1 if it is not."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where(self.hash[at] == hashes, at, -1)
+
+    def _learn(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Places of the words in the table, after those it lacks are encoded."""
+        at = self._known(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(self.hash) + len(new) > WORD_CACHE:
+            self._forget()
+            new = np.arange(len(hashes))
+        if len(new):
+            flat, size = self._encode(words.take(pa.array(new)).to_pylist())
+            start = len(self.flat) + np.concatenate(([0], np.cumsum(size)[:-1]))
+            order = np.argsort(hashes[new], kind="stable")
+            spot = np.searchsorted(self.hash, hashes[new][order])
+            self.hash = np.insert(self.hash, spot, hashes[new][order])
+            self.start = np.insert(self.start, spot, start[order])
+            self.size = np.insert(self.size, spot, size[order].astype(np.int32))
+            self.flat = np.concatenate((self.flat, flat))
+            at = self._known(hashes)
+        return at
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, without end ids, and where each text's begin (one entry more than texts)."""
@@ -61,20 +106,12 @@ class WordEncoder:
         lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(lowered)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > WORD_CACHE:
-            self.known = {"": b""} | {w: self.known[w] for w in words if w in self.known}
-        self._learn(new)
-        each = [self.known[w] for w in words]
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        start = np.concatenate(([0], np.cumsum(size)))
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        taken = size[index]
+        at = self._learn(coded.dictionary, word_hashes(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
+        taken = self.size[at].astype(np.int64)
         upto = np.concatenate(([0], np.cumsum(taken)))
-        place = np.repeat(start[index] - upto[:-1], taken) + np.arange(upto[-1])
+        place = np.repeat(self.start[at] - upto[:-1], taken) + np.arange(upto[-1])
         bounds = split.offsets.to_numpy(zero_copy_only=False)
-        return np.frombuffer(b"".join(each), "<u4")[place], upto[bounds - bounds[0]]
+        return self.flat[place], upto[bounds - bounds[0]]
 
 
 @lru_cache(maxsize=2)
@@ -105,7 +142,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cont
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, schema)
+    return lean(docs, 2_000).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, schema)
 
 
 def pack_histogram(counts: dict[int, int], context: int = CONTEXT) -> list[tuple[int, tuple[int, ...]]]:
