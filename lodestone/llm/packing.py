@@ -8,6 +8,7 @@ import zlib
 from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,13 @@ def word_hashes(words: pa.Array) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The pieces of flat that begin at start[i] with size[i] entries, for each i of at in turn."""
+    taken = size[at].astype(np.int64)
+    upto = np.concatenate(([0], np.cumsum(taken)))
+    return flat[np.repeat(start[at] - upto[:-1], taken) + np.arange(upto[-1])]
+
+
 class WordEncoder:
     """Whole-text ids from a tokenizer whose words never span ASCII white space.
 
@@ -56,22 +64,48 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         self.tokenizer = Tokenizer.from_file(path)
+        self.stop = self.tokenizer.encode(".", add_special_tokens=False).ids[0]
         self._forget()
 
     def _forget(self) -> None:
         self.hash, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint32)
 
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The runs' ids in a row, and how many each has.
+
+        Letters go to the tokenizer many at a time, a full stop after each:
+        that is an id of its own, which no run of letters holds.
+        """
+        plain = [len(x) < 1000 and x.lower().isalpha() for x in runs]
+        words = [x for x, p in zip(runs, plain, strict=True) if p]
+        texts = [" . ".join(words[k : k + 64]) + " ." for k in range(0, len(words), 64)]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([*texts, *(x for x, p in zip(runs, plain, strict=True) if not p)], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(found[: len(texts)]), np.uint32)
+        ends = np.flatnonzero(flat == self.stop)
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary does not keep a full stop apart")
+        size, rest = np.zeros(len(runs), np.int64), found[len(texts) :]
+        plain_at, other_at = np.flatnonzero(plain), np.flatnonzero(~np.array(plain, bool))
+        size[plain_at] = np.diff(np.concatenate(([-1], ends))) - 1
+        size[other_at] = [len(x) for x in rest]
+        both = np.concatenate((flat[flat != self.stop], np.fromiter(chain.from_iterable(rest), np.uint32)))
+        start = np.zeros(len(runs), np.int64)
+        by = np.concatenate((plain_at, other_at))
+        start[by] = np.concatenate(([0], np.cumsum(size[by])[:-1])) if len(by) else start[by]
+        return gathered(both, start, size, np.arange(len(runs))), size
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids in a row, and how many each has."""
-        split: list[tuple[str, str]] = []
-        for word in words:
+        place: dict[str, int] = {}
+        pairs = np.zeros((len(words), 2), np.int64)
+        for i, word in enumerate(words):
             at = 0 if word.isalpha() else _TAIL.search(word).start()
-            split.append((word[:at], word[at:]) if at and word[:at].lower().isalpha() else (word, ""))
-        runs = list({x for pair in split for x in pair} - {""})
-        ids = {"": b""} | dict(zip(runs, (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)), strict=True))
-        each = [ids[a] + ids[b] for a, b in split]
-        return np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+            head, tail = (word[:at], word[at:]) if at and word[:at].lower().isalpha() else (word, "")
+            pairs[i] = place.setdefault(head, len(place)), place.setdefault(tail, len(place))
+        flat, size = self._runs(list(place))
+        start = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
+        return gathered(flat, start, size, pairs.ravel()), size[pairs].sum(axis=1)
 
     def _known(self, hashes: np.ndarray) -> np.ndarray:
         """Where each hash is in the table; -1 if it is not."""
@@ -107,11 +141,9 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(lowered)
         coded = split.flatten().dictionary_encode()
         at = self._learn(coded.dictionary, word_hashes(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
-        taken = self.size[at].astype(np.int64)
-        upto = np.concatenate(([0], np.cumsum(taken)))
-        place = np.repeat(self.start[at] - upto[:-1], taken) + np.arange(upto[-1])
+        upto = np.concatenate(([0], np.cumsum(self.size[at], dtype=np.int64)))
         bounds = split.offsets.to_numpy(zero_copy_only=False)
-        return self.flat[place], upto[bounds - bounds[0]]
+        return gathered(self.flat, self.start, self.size, at), upto[bounds - bounds[0]]
 
 
 @lru_cache(maxsize=2)
