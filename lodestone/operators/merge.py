@@ -155,3 +155,10 @@ def pending_migrations(available: DataFrame, applied: DataFrame) -> DataFrame:
     )
     checked = joined.where(F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.lit(True)))
     return checked.where("_was IS NULL").select("name", "checksum").orderBy("name")
+
+
+def insert(old: DataFrame, new: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
+    """The new rows with ids that go on from the largest in old, in the given order."""
+    most = old.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_most"))
+    place = F.row_number().over(Window.orderBy(*order)) + F.col("_most")
+    return new.join(F.broadcast(most)).withColumn(id_col, place.cast(old.schema[id_col].dataType)).select(*old.columns)

@@ -147,3 +147,41 @@ _CHECKED = ("symbols", "profiles", "namespaces", "symbol_profiles", "compositors
 @register("ddl_all_rules")
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.violations(tables(spark, sf_dir, *_CHECKED))
+
+
+def _schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One schema: a type per region, and a type per nation that extends it with an element per supplier."""
+    from lodestone.functions.qname import DEFAULT_NAMESPACE
+
+    region = table(spark, sf_dir, "region").select(F.concat(F.lit("0"), F.lpad(F.col("r_regionkey").cast("string"), 9, "0")).alias("k"), F.format_string('<xs:complexType name="R%d"><xs:attribute name="area" type="xs:string"/></xs:complexType>', "r_regionkey").alias("x"))
+    element = F.format_string('<xs:element name="%s" type="R0" minOccurs="%d" maxOccurs="unbounded"/>', "s_name", F.col("s_suppkey") % 2)
+    inside = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", element.alias("e")))), lambda p: p["e"]), "").alias("e"))
+    body = F.format_string('<xs:complexType name="N%d"><xs:complexContent><xs:extension base="R%d"><xs:sequence>%s</xs:sequence></xs:extension></xs:complexContent></xs:complexType>', "n_nationkey", "n_regionkey", F.coalesce("e", F.lit("")))
+    nation = table(spark, sf_dir, "nation").join(inside, "n_nationkey", "left").select(F.concat(F.lit("1"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("k"), body.alias("x"))
+    whole = region.union(nation).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]), "").alias("all"))
+    head = f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns="{DEFAULT_NAMESPACE}" targetNamespace="{DEFAULT_NAMESPACE}">'
+    return whole.select(F.lit("one.xsd").alias("path"), F.concat(F.lit(head), "all", F.lit("</xs:schema>")).alias("xml"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from lodestone.operators.ingest import ingest
+    from lodestone.sources.schema_set import schema_set
+
+    return ingest(schema_set(_schema_files(spark, sf_dir), ["one.xsd"]), "transitional")
+
+
+@register("gr17_ingest_stats", """SELECT * FROM (VALUES ('documents', 1::BIGINT), ('namespaces', 1), ('inheritance_unresolved', 0), ('child_edges_unresolved', 0), ('group_refs', 0), ('group_refs_unresolved', 0), ('attr_edges_unresolved', 0), ('attr_group_refs', 0), ('attr_group_refs_unresolved', 0), ('enums', 0)) v(counter, n)
+UNION ALL SELECT 'symbols', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier)
+UNION ALL SELECT 'memberships', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier)
+UNION ALL SELECT 'inheritance_edges', count(*) FROM nation UNION ALL SELECT 'compositors', count(*) FROM nation
+UNION ALL SELECT 'child_edges', count(*) FROM supplier UNION ALL SELECT 'local_elements', count(*) FROM supplier UNION ALL SELECT 'attr_edges', count(*) FROM region""")
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(spark, sf_dir)["stats"]
+
+
+@register("gr22_ingest_children", "SELECT 'N' || s_nationkey AS owner, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS ordinal, s_name AS local_name, CAST(s_suppkey % 2 AS INT) AS min_occurs FROM supplier")
+def ingest_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.operators.graph import content_model
+
+    found = content_model(_ingested(spark, sf_dir), "transitional")
+    return found.select(F.col("owner_name").alias("owner"), "ordinal", "local_name", "min_occurs")

@@ -132,3 +132,14 @@ def test_section_wildcards(spark):
     df = spark.createDataFrame([(1, "17.3", 1), (2, "17.30", 2), (3, "1773", 1), (4, None, 1)], "id int, section_id string, part_number int")
     ids = lambda x: [r.id for r in x.collect()]
     assert ids(prose.section(df, "17.3")) == [1, 2] and ids(prose.section(df, "17_3")) == [1, 2, 3] and ids(prose.section(df, "17_3", escape=True)) == [] and ids(prose.section(df, "17", 1)) == [1, 3]
+
+
+def test_insert_and_clear(spark, tmp_path):
+    old = spark.createDataFrame([(4, "a")], "id int, v string")
+    new = merge.insert(old, spark.createDataFrame([("c",), ("b",)], "v string"), ["v"])
+    assert sorted((r.id, r.v) for r in new.collect()) == [(5, "b"), (6, "c")]
+    path = f"file:{tmp_path}/t"
+    old.union(new).write.parquet(path)
+    merge.clear(path, old)
+    read = spark.read.parquet(path)
+    assert read.count() == 0 and read.columns == ["id", "v"]
