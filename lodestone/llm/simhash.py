@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import lean, saved
+from .store import lean, saved, small
 
 MAX_BITS = 3
 _EVEN = np.uint64(0x5555555555555555)
 _ONE = np.uint64(1)
+#: Fingerprints at home in one cell that a task compares at once; fuller cells go in pairs of blocks.
+CELL_MEMBERS = 4096
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 16
 
@@ -99,7 +101,7 @@ def spanning_links(home: np.ndarray, guests: np.ndarray) -> list[tuple[int, int]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell, homes first: verified links of each cell. Holds one cell's fingerprints at a time."""
+    """Rows sorted by cell and block pair, homes first: verified links of each. Holds one cell's (or pair's) fingerprints at a time."""
     held = None
 
     def flush(cell: np.ndarray, visits: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -114,11 +116,14 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        now = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "visits", "fp")]
+        if len(now[0]):  # a block pair counts as a cell of its own
+            pair = batch.column("x").to_numpy(zero_copy_only=False).astype(np.int64) << 20 | batch.column("y").to_numpy(zero_copy_only=False)
+            now[0] = now[0] * 1_000_003 + pair * 0x9E3779B1
         held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
         if not len(held[0]):
             continue
-        last = int(np.searchsorted(held[0], held[0][-1]))
+        last = int(np.flatnonzero(held[0] != held[0][-1]).max(initial=-1)) + 1
         if last:
             yield flush(held[0][:last], held[1][:last], held[2][:last].view(np.uint64))
             held = [x[last:] for x in held]
@@ -126,6 +131,16 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held[0], held[1], held[2].view(np.uint64))
 
 
+def in_blocks(cells: DataFrame, crowded: DataFrame) -> DataFrame:
+    """cells with x and y: the homes of a crowded cell (cell, blocks) go in pairs of blocks, its guests to each block."""
+    split = cells.join(small(crowded), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    each = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low = F.when(F.col("visits"), F.col("other")).otherwise(F.least("own", "other"))
+    high = F.when(F.col("visits"), F.col("other")).otherwise(F.greatest("own", "other"))
+    return each.select("cell", low.alias("x"), high.alias("y"), "visits", "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, prints: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, fp (long), fingerprint (16 hex digits), component_id.
 
@@ -136,13 +151,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal fingerprints are collapsed before anything is compared, so groups of
     copies count once; a cell yields at most a spanning tree of its members,
-    never all pairs, and components come from those trees.
+    never all pairs, and components come from those trees. A crowded cell is
+    dealt out in pairs of blocks, so that no task holds it whole.
     """
     prints = saved(fingerprints(docs, id_col, text_col, words), "fingerprints") if prints is None else prints
     nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = nodes.select("fp").repartition("fp").mapInArrow(_cells, "cell long, visits boolean, fp long")
-    links = cells.repartition(parts, "cell").sortWithinPartitions("cell", "visits", "fp").mapInArrow(_links, "a long, b long")
+    homes = cells.where("NOT visits").groupBy("cell").agg(F.ceil(F.count("*") / CELL_MEMBERS).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = in_blocks(cells, saved(homes, "crowded")).repartition(parts, "cell", "x", "y")
+    links = dealt.sortWithinPartitions("cell", "x", "y", "visits", "fp").mapInArrow(_links, "a long, b long")
     groups = saved(connected_components(links).withColumnsRenamed({"node": "fp", "component": "root"}), "groups")
     rooted = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -156,8 +174,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The ids to drop are broadcast if counted to be few, else joined by shuffle.
     Rows that repeat the smallest id are told apart only where such rows exist.
     """
-    from .store import small
-
     found = saved(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "classes")
     drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lodestone_drop")).distinct()
     kept = docs.join(small(drop), F.col(id_col).cast("long").eqNullSafe(F.col("__lodestone_drop")), "left_anti")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from lodestone.llm import simhash
@@ -37,7 +38,9 @@ def classes(prints):
     return [find(i) for i in ids]
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("members", [4096, 2])
+def test_components_equal_brute_force(spark, monkeypatch, members):
+    monkeypatch.setattr(simhash, "CELL_MEMBERS", members)
     rng = random.Random(5)
     prints = []
     for _ in range(60):
