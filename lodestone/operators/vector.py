@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import importable
+
 DIMENSIONS = 1024
 
 
@@ -61,4 +63,5 @@ def embed(df: DataFrame, text_col: str = "embedding_text", out: str = "embedding
         for batch in batches:
             yield batch.map(lambda x: None if x is None else embed_text(x, dimensions))
 
+    importable(df.sparkSession)
     return df.withColumn(out, run(F.col(text_col)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,3 +24,12 @@ def allow_recursion(spark: SparkSession) -> SparkSession:
     for key, value in RECURSION.items():
         spark.conf.set(key, value)
     return spark
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package, wherever the driver was started; a cluster ships it."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark

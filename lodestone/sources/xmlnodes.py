@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import importable
+
 NODE_SCHEMA = "doc string, path array<int>, tag string, attrs map<string,string>, text string"
 
 
@@ -57,6 +59,7 @@ def parse(files: DataFrame, path_col: str = "path", text_col: str = "xml") -> Da
                     part.insert(0, "doc", name)
                     yield part
 
+    importable(files.sparkSession)
     return files.select(path_col, text_col).mapInPandas(run, NODE_SCHEMA)
 
 
