@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import importable
+
 from .store import saved, small
 
 TABLES = 8
@@ -124,6 +126,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     all rows is spread; a part yields at most k rows a query.
     """
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
+    importable(vectors.sparkSession)
     rows, asked = pick(vectors), pick(queries)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     widths = rows.select(F.size("v").alias("n"), norm.alias("norm")).union(asked.select(F.size("v"), F.lit(None).cast("double")))

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import importable
+
 #: Most rows of narrow keys that any operator broadcasts; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -37,7 +39,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 def lean(texts: DataFrame, rows: int = 1_000) -> DataFrame:
     """texts, with Arrow batches of at most `rows` rows in this session: long texts come in batches of some megabytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = texts.sparkSession.conf
+    conf = importable(texts.sparkSession).conf
     conf.set(key, str(rows))
     return texts
 
