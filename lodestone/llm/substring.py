@@ -1,17 +1,17 @@
-"""Repeated passages within documents: near-duplicate paragraphs by MinHash banding, and phrases of copied passages.
+"""Repeated passages within documents: near-duplicate paragraphs by MinHash banding, and copied passages exactly.
 
 A paragraph is a line. Paragraphs long enough to have a near-duplicate at the
 required similarity are banded over five-word shingles, with bands so short
 that six pairs in a thousand are missed at the threshold; those that
 collide are compared by exact Jaccard similarity and clustered by components.
 Passages are often copied into the middle of another paragraph, where the
-paragraphs differ. So phrases of eight words are matched too, by equality:
-those that begin where a hash of two words is smallest among its neighbours,
-which depends on the words around alone, so copies of a passage pick the same.
-Matches that follow each other in a document form a passage, and only passages
-of `passage_words` or more, counted from the first match to the end of the
-last, are repeats. As a match begins a few words into a copy and ends a few
-before its end, this finds copies of 50 words and passes over single lines.
+paragraphs differ. So every run of `passage_words` words (a window) that is in
+another document as well is found, by equality. To move few rows, windows that
+follow each other and share the phrase of eight words with the smallest hash
+go as one stretch under that phrase. A window's phrase depends on its words
+alone, so equal windows meet under one phrase: stretches that are the only one
+of their phrase are settled whole, others window by window. Matches that
+overlap or follow each other closely in a document form a passage.
 """
 
 from __future__ import annotations
@@ -33,20 +33,19 @@ SIMILARITY = 0.8
 BANDS, ROWS = 5, 2
 #: Words of a phrase, of a paragraph that is banded (a shorter one has no near-duplicate but its equals), and of a passage.
 PHRASE_WORDS, PARAGRAPH_WORDS, PASSAGE_WORDS = 8, 13, 28
-#: Words to either side that a phrase's beginning is the smallest among.
-NEIGHBOURS = 3
 #: Words between two matches of one passage at most.
 GAP_WORDS = 8
 #: Paragraphs of one bucket that are compared in one go; larger buckets go in pairs of blocks.
 BLOCK_MEMBERS = 2_000
 _BREAK = "\ue0ff"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”«»"
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(n: int, base: np.uint64 = _ODD) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(0, n - 1), _ODD))), dtype=np.uint64)
+        return np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(0, n - 1), base))), dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -89,24 +88,29 @@ class Words:
         first = np.flatnonzero(np.concatenate(([True], np.diff(self.line) > 0))) if len(self.line) else np.zeros(0, np.int64)
         return first, np.diff(np.concatenate((first, [len(self.line)])))
 
-    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of each picked phrase."""
-        n, k = len(self.code), PHRASE_WORDS
-        if n < k:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    def grams(self, k: int) -> np.ndarray:
+        """A hash of the k words that begin at each word, across texts too; there must be k words."""
+        n = len(self.code)
         with np.errstate(over="ignore"):
-            pair = _mixed(self.code + np.concatenate((self.code[1:], [np.uint64(0)])) * _ODD)
-            least = pair.copy()
-            for d in range(1, NEIGHBOURS + 1):
-                least[d:] = np.minimum(least[d:], pair[:-d])
-                least[:-d] = np.minimum(least[:-d], pair[d:])
-            first = np.flatnonzero(pair == least)
-            first = first[first + k <= n]
-            first = first[self.text[first + k - 1] == self.text[first]]
-            total = np.zeros(len(first), np.uint64)
-            for d, p in enumerate(_powers(k)):
-                total += self.code[first + d] * p
-        return first, _mixed(total)
+            total = np.concatenate(([np.uint64(0)], np.cumsum(self.code * _powers(n), dtype=np.uint64)))
+            return _mixed((total[k:] - total[:-k]) * _powers(n - k + 1, _INVERSE))
+
+    def stretches(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word, number of windows of `size` words and phrase hash of each stretch; the hashes of all their windows in a row."""
+        n = len(self.code) - size + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        phrase = self.grams(PHRASE_WORDS)
+        least, at, width, wanted = phrase, np.arange(len(phrase)), 1, size - PHRASE_WORDS + 1
+        while width < wanted:  # the last smallest of `width` phrases, at the first of them
+            step = min(width, wanted - width)
+            later = least[step:] <= least[:-step]
+            least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
+            width += step
+        inside = np.flatnonzero(self.text[:n] == self.text[size - 1 :])
+        at = at[inside]
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 0) | (np.diff(inside) > 1)))) if len(at) else np.zeros(0, np.int64)
+        return inside[new], np.diff(np.concatenate((new, [len(at)]))), phrase[at[new]], self.grams(size)[inside]
 
     def hashed(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         """A hash of each run's words in order."""
@@ -143,24 +147,40 @@ def _bands(shingles: np.ndarray, each: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per picked phrase (bands null) and per banded paragraph."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
+def _units(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """A row per stretch (bands null) and per banded paragraph (whole null). whole: a hash of all the stretch's words."""
+    for batch_of in batches:
+        for at in range(0, batch_of.num_rows, 500):
+            batch = batch_of.slice(at, 500)
             words, ids = Words(batch.column(1)), batch.column(0)
-            first, key = words.phrases()
-            found = [(0, first, np.full(len(first), PHRASE_WORDS), key, pa.nulls(len(first), pa.list_(pa.int64())))]
+            first, n, key, windows = words.stretches(size)
+            begin = np.cumsum(n) - n
+            with np.errstate(over="ignore"):  # first and last window overlap: they hold every word
+                whole = _mixed(windows[begin] * _ODD + _mixed(windows[begin + n - 1] + n.astype(np.uint64)))
+            found = [(0, first, n + (size - 1), key, pa.array(whole.view(np.int64)), pa.nulls(len(first), pa.list_(pa.int64())))]
             first, count = words.lines()
             key = words.hashed(first, count)
             use = count >= PARAGRAPH_WORDS
             first, count, key = first[use], count[use], key[use]
             flat = pa.array(_bands(*words.shingles(first, count)).reshape(-1))
-            found.append((1, first, count, key, pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * BANDS), flat)))
-            for kind, first, count, key, bands in found:
+            found.append((1, first, count, key, pa.nulls(len(first), pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * BANDS), flat)))
+            for kind, first, count, key, whole, bands in found:
                 owner = ids.take(pa.array(words.text[first]))
-                columns = [owner, pa.array(np.full(len(first), kind, np.int8)), pa.array(words.start[first].astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key.view(np.int64)), bands]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "start", "words", "key", "bands"])
+                columns = [owner, pa.array(np.full(len(first), kind, np.int8)), pa.array(words.start[first].astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key.view(np.int64)), whole, bands]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "start", "words", "key", "whole", "bands"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, at, key, windows): first word, phrase and window hashes of each stretch."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            words = Words(batch.column(1))
+            first, n, key, windows = words.stretches(size)
+            offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(windows.view(np.int64)))
+            columns = [batch.column(0).take(pa.array(words.text[first])), pa.array(words.start[first].astype(np.int32)), pa.array(key.view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "key", "windows"])
 
 
 def _paragraph_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +263,34 @@ def near_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return members.sortWithinPartitions("band", "bucket", "x", "y", "key").mapInArrow(_verify, "a long, b long").distinct()
 
 
+def _seen(rows: DataFrame) -> DataFrame:
+    """(key, keep_doc_id): keys in two documents or more, and the first of these."""
+    return rows.groupBy("key").agg(F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("_last")).where("keep_doc_id <> _last").drop("_last")
+
+
+def copied_runs(docs: DataFrame, stretches: DataFrame, size: int) -> DataFrame:
+    """(doc_id, start, words, key, keep_doc_id): runs that hold each window of `size` words found in two documents or more, and no other.
+
+    stretches: doc_id, start, words, key, whole. A run's windows have the same
+    first document; a longer copy is a chain of runs that overlap.
+    """
+    least = [F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("_last"), F.min("whole").alias("_low"), F.max("whole").alias("_high")]
+    phrases = saved(stretches.groupBy("key").agg(*least).where("keep_doc_id <> _last").select("key", "keep_doc_id", (F.col("_low") != F.col("_high")).alias("_mixed")), "phrases")
+    same = stretches.drop("whole").join(phrases.where("NOT _mixed").drop("_mixed"), "key")  # grows with the corpus: not for broadcast
+    windows = docs.mapInArrow(lambda batches: _windows(batches, size), "doc_id long, at int, key long, windows array<long>")
+    windows = windows.join(small(phrases.where("_mixed").select("key")), "key", "left_semi")
+    windows = saved(windows.select("doc_id", "at", F.posexplode("windows").alias("_n", "key")).select("doc_id", "at", (F.col("at") + F.col("_n")).alias("start"), "key"), "windows")
+    found = windows.join(saved(_seen(windows), "repeated"), "key")
+    by = Window.partitionBy("doc_id", "at").orderBy("start", "key")
+    breaks = (F.col("start") > F.lag("start").over(by) + 1) | (F.col("keep_doc_id") != F.lag("keep_doc_id").over(by))
+    parted = found.withColumn("_run", F.sum(F.coalesce(breaks.cast("int"), F.lit(1))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = parted.groupBy("doc_id", "at", "_run", "keep_doc_id").agg(F.min("start").alias("start"), F.max("start").alias("_last"), F.min_by("key", "start").alias("_a"), F.max_by("key", "start").alias("_b"))
+    words = (F.col("_last") - F.col("start") + size).cast("int")
+    return same.select("doc_id", "start", "words", "key", "keep_doc_id").unionByName(runs.select("doc_id", "start", words.alias("words"), F.xxhash64("_a", "_b", words).alias("key"), "keep_doc_id"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """A row per repeated phrase or paragraph within a repeated passage.
+    """A row per copied run or near-duplicate paragraph within a repeated passage.
 
     Columns: doc_id, start and words (of the match, in words of the text),
     passage_start, passage_words, cluster_id, keep_doc_id (document of the
@@ -253,23 +299,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     count as one document. Null, empty and short texts have no rows, nor has
     an empty table; other columns are ignored.
 
-    Equal phrases and paragraphs are reduced to one row per key before
+    A copied run is exact: whatever two documents share in `passage_words`
+    words or more (8 at least) is covered word by word, and nothing else is;
+    keep_doc_id is the first document that has its windows.
+
+    Equal stretches and paragraphs are reduced to one row per key before
     anything is compared, buckets yield spanning trees instead of pairs, and
     what is kept of a text between passes is its hashes.
     """
     named = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    units = saved(named.mapInArrow(_units, "doc_id long, kind byte, start int, words int, key long, bands array<long>"), "units")
+    size = max(passage_words, PHRASE_WORDS)
+    units = saved(named.mapInArrow(lambda batches: _units(batches, size), "doc_id long, kind byte, start int, words int, key long, whole long, bands array<long>"), "units")
     paragraphs = units.where("kind = 1")
     links = connected_components(near_paragraphs(named, paragraphs.select("key", "bands")))
     near = saved(links, "near")
-    phrases = units.where("kind = 0").select("doc_id", "start", "words", "key")
-    seen = lambda df: df.groupBy("key").agg(F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("_last")).where("keep_doc_id <> _last").drop("_last")
-    repeated = phrases.join(saved(seen(phrases), "repeated"), "key")  # grows with the corpus: not for broadcast
+    copied = copied_runs(named, units.where("kind = 0").select("doc_id", "start", "words", "key", "whole"), size)
     clustered = paragraphs.select("doc_id", "start", "words", "key").join(small(near.withColumnRenamed("node", "key")), "key")
     clustered = clustered.select("doc_id", "start", "words", F.col("component").alias("key"))
     clustered = saved(clustered, "clustered")
-    alike = clustered.join(small(seen(clustered)), "key")
-    matches = saved(repeated.unionByName(alike), "matches")
+    alike = clustered.join(small(_seen(clustered)), "key")
+    matches = saved(copied.unionByName(alike), "matches")
     # Matches that overlap or follow each other closely form a passage.
     by = Window.partitionBy("doc_id").orderBy("start", "words", "key")
     ends = F.col("start") + F.col("words")

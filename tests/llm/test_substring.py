@@ -84,3 +84,55 @@ def test_copies_and_repeated_rows(spark):
     assert {(r.doc_id, r.keep_doc_id) for r in substring.repeated_passages(df).collect()} == {(1, 1), (2, 1)}
     alone = spark.createDataFrame([(2, body), (2, body)], "doc_id long, text string")
     assert substring.repeated_passages(alone).collect() == []
+
+
+def test_every_copy_of_28_words_is_found_word_by_word(spark):
+    rng = random.Random(28)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5000)]
+    rows, spans = [], {}
+    for i in range(120):
+        n = (27, 28, 29, 32, 40, 51)[i % 6]
+        copy = [rng.choice(words) for _ in range(n)]
+        for k, d in enumerate((2 * i, 2 * i + 1)):
+            before, after = ([f"{w}{d}" for w in rng.choices(words, k=rng.randrange(5, 60))] for _ in range(2))
+            rows.append((d, " ".join(before) + ("\n" if k else " ") + " ".join(copy) + ("\n" if k else " ") + " ".join(after)))
+            if n >= 28:
+                spans[d] = (len(before), n)
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.passage_start, r.passage_words) for r in got} == {(d, *x) for d, x in spans.items()}
+    assert all(r.keep_doc_id == r.doc_id // 2 * 2 and r.removed == bool(r.doc_id % 2) for r in got)
+
+
+def test_copied_words_agree_with_brute_force(spark):
+    rng = random.Random(6)
+    pool = [[rng.choice("abcdefg") + str(rng.randrange(90)) for _ in range(70)] for _ in range(12)]
+    rows = []
+    for i in range(80):
+        body = []
+        for _ in range(rng.randrange(4)):
+            part = rng.choice(pool)
+            at = rng.randrange(45)
+            body += part[at : at + rng.randrange(20, 60)] + [f"u{rng.randrange(1 << 40)}" for _ in range(rng.randrange(20))]
+        rows.append((i, " ".join(body)))
+    rows += [(90, " ".join(["la"] * 100)), (91, " ".join(["la"] * 60)), (91, " ".join(["la"] * 60))]
+    windows = {}
+    for i, t in rows:
+        w = t.split()
+        for a in range(len(w) - 27):
+            windows.setdefault(tuple(w[a : a + 28]), set()).add((i, a))
+    want, first = set(), {}
+    for places in windows.values():
+        if len({i for i, _ in places}) > 1:
+            for i, a in places:
+                want |= {(i, a + k) for k in range(28)}
+                first[i, a] = min(places)[0]
+    units = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.repeated_passages(units).collect()
+    exact = [r for r in got if r.words >= 28 and all((r.doc_id, r.start + k) in first for k in range(r.words - 27))]
+    assert {(r.doc_id, r.start + k) for r in exact for k in range(r.words)} == want
+    assert {(r.doc_id, r.start + k) for r in got for k in range(r.words)} >= want
+    least = {}
+    for r in exact:
+        for k in range(r.words - 27):
+            least.setdefault((r.doc_id, r.start + k), set()).add(r.keep_doc_id)
+    assert all(first[k] in least[k] for k in first)
