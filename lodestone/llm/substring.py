@@ -290,7 +290,7 @@ def copied_runs(docs: DataFrame, stretches: DataFrame, size: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """A row per copied run or near-duplicate paragraph within a repeated passage.
+    """A row per copied run, or equal or near-duplicate paragraph, within a repeated passage.
 
     Columns: doc_id, start and words (of the match, in words of the text),
     passage_start, passage_words, cluster_id, keep_doc_id (document of the
@@ -314,8 +314,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = connected_components(near_paragraphs(named, paragraphs.select("key", "bands")))
     near = saved(links, "near")
     copied = copied_runs(named, units.where("kind = 0").select("doc_id", "start", "words", "key", "whole"), size)
-    clustered = paragraphs.select("doc_id", "start", "words", "key").join(small(near.withColumnRenamed("node", "key")), "key")
-    clustered = clustered.select("doc_id", "start", "words", F.col("component").alias("key"))
+    # A paragraph without near-duplicates is a cluster with its equals.
+    clustered = paragraphs.select("doc_id", "start", "words", "key").join(small(near.withColumnRenamed("node", "key")), "key", "left")
+    clustered = clustered.select("doc_id", "start", "words", F.coalesce("component", "key").alias("key"))
     clustered = saved(clustered, "clustered")
     alike = clustered.join(small(_seen(clustered)), "key")
     matches = saved(copied.unionByName(alike), "matches")

@@ -136,3 +136,19 @@ def test_copied_words_agree_with_brute_force(spark):
         for k in range(r.words - 27):
             least.setdefault((r.doc_id, r.start + k), set()).add(r.keep_doc_id)
     assert all(first[k] in least[k] for k in first)
+
+
+def test_equal_paragraphs_are_clusters_at_full_length(spark):
+    rng = random.Random(27)
+    words = [f"w{i}x" for i in range(4000)]
+    plain = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    near, same, whole = plain(20), plain(20), plain(60)
+    edited = " ".join([*near.split()[:-1], "changed"])
+    rows = [(1, f"{plain(30)}\n{near}\n{same}\n{plain(30)}"), (2, f"{plain(30)}\n{edited}\n{same}\n{plain(30)}"), (3, f"{plain(9)}\n{whole}"), (4, f"{whole}\n{plain(9)}"), (5, plain(9) + "\n" + plain(60))]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.passage_start, r.passage_words) for r in got} == {(1, 30, 40), (2, 30, 40), (3, 9, 60), (4, 0, 60)}
+    clusters = {}
+    for r in got:
+        if r.words in (20, 60):
+            clusters.setdefault(r.cluster_id, []).append((r.doc_id, r.start, r.words, r.keep_doc_id))
+    assert sorted(map(sorted, clusters.values())) == [[(1, 30, 20, 1), (2, 30, 20, 1)], [(1, 50, 20, 1), (2, 50, 20, 1)], [(3, 9, 60, 3), (4, 0, 60, 3)]]
