@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import linededup, mixing, packing, simhash, toxicity
+from lodestone.llm import linededup, mixing, nearcopies, packing, toxicity
 from lodestone.llm.store import saved
 
 
@@ -23,8 +23,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each near-duplicate group stays: five-word shingles at Jaccard 0.8, or fingerprints within 3 bits."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

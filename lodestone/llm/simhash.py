@@ -141,13 +141,14 @@ def in_blocks(cells: DataFrame, crowded: DataFrame) -> DataFrame:
     return each.select("cell", low.alias("x"), high.alias("y"), "visits", "fp")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, prints: DataFrame | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, prints: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, fp (long), fingerprint (16 hex digits), component_id.
 
     Null, empty and wordless texts have fingerprint zero and are linked like
     any other. Repeated rows share their values. component_id is the smallest
     id reachable; null ids are passed over unless a component has no other.
-    Empty tables give empty results; other columns are ignored.
+    Empty tables give empty results; other columns are ignored. `more` holds
+    further links (a, b) between fingerprints.
 
     Equal fingerprints are collapsed before anything is compared, so groups of
     copies count once; a cell yields at most a spanning tree of its members,
@@ -161,6 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     homes = cells.where("NOT visits").groupBy("cell").agg(F.ceil(F.count("*") / CELL_MEMBERS).cast("int").alias("blocks")).where("blocks > 1")
     dealt = in_blocks(cells, saved(homes, "crowded")).repartition(parts, "cell", "x", "y")
     links = dealt.sortWithinPartitions("cell", "x", "y", "visits", "fp").mapInArrow(_links, "a long, b long")
+    links = links if more is None else links.unionByName(more)
     groups = saved(connected_components(links).withColumnsRenamed({"node": "fp", "component": "root"}), "groups")
     rooted = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -168,13 +170,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the smallest id. All columns stay.
 
+    prints, more: as near_duplicates takes them.
+
     The ids to drop are broadcast if counted to be few, else joined by shuffle.
     Rows that repeat the smallest id are told apart only where such rows exist.
     """
-    found = saved(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "classes")
+    found = saved(near_duplicates(docs, id_col, text_col, prints=prints, more=more).select("doc_id", "component_id"), "classes")
     drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lodestone_drop")).distinct()
     kept = docs.join(small(drop), F.col(id_col).cast("long").eqNullSafe(F.col("__lodestone_drop")), "left_anti")
     repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__lodestone_twice"))

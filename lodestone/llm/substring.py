@@ -134,16 +134,16 @@ class Words:
         return _mixed(total), each
 
 
-def _bands(shingles: np.ndarray, each: np.ndarray) -> np.ndarray:
+def band_keys(shingles: np.ndarray, each: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A row of band keys per run."""
     rng = np.random.Generator(np.random.PCG64(5))
-    factors = rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
+    factors = rng.integers(1, 1 << 63, bands * rows, np.uint64) | np.uint64(1)
     starts = np.concatenate(([0], np.cumsum(each)[:-1])).astype(np.int64)
-    out = np.zeros((len(each), BANDS), np.uint64)
+    out = np.zeros((len(each), bands), np.uint64)
     with np.errstate(over="ignore"):
         for k, f in enumerate(factors):
             least = np.minimum.reduceat(shingles * f, starts) if len(each) else np.zeros(0, np.uint64)
-            out[:, k // ROWS] = _mixed(out[:, k // ROWS] * _ODD + least + np.uint64(k))
+            out[:, k // rows] = _mixed(out[:, k // rows] * _ODD + least + np.uint64(k))
     return out.view(np.int64)
 
 
@@ -162,7 +162,7 @@ def _units(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             key = words.hashed(first, count)
             use = count >= PARAGRAPH_WORDS
             first, count, key = first[use], count[use], key[use]
-            flat = pa.array(_bands(*words.shingles(first, count)).reshape(-1))
+            flat = pa.array(band_keys(*words.shingles(first, count)).reshape(-1))
             found.append((1, first, count, key, pa.nulls(len(first), pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * BANDS), flat)))
             for kind, first, count, key, whole, bands in found:
                 owner = ids.take(pa.array(words.text[first]))
@@ -246,13 +246,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(a, b): links between keys of paragraphs that are near-duplicates but not equal; paragraphs: key, bands."""
-    spark = docs.sparkSession
+    return near_sets(paragraphs, docs.select("text").mapInArrow(_paragraph_shingles, "key long, shingles array<long>"))
+
+
+def near_sets(paragraphs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): verified links between keys that meet in a bucket; paragraphs: key, bands; sets: key, shingles."""
+    spark = paragraphs.sparkSession
     banded = paragraphs.select("key", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("band", "bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "bucket")
     met = saved(banded.join(small(saved(shared, "buckets")), ["band", "bucket"], "left_semi").distinct(), "collisions")
     met = met.join(small(saved(met.groupBy("band", "bucket").agg(F.count("*").alias("n")), "sizes")), ["band", "bucket"])
     wanted = met.select("key").distinct()
-    sets = docs.select("text").mapInArrow(_paragraph_shingles, "key long, shingles array<long>").join(small(saved(wanted, "wanted")), "key", "left_semi")
+    sets = sets.join(small(saved(wanted, "wanted")), "key", "left_semi")
     sets = saved(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     block = F.pmod(F.xxhash64("key"), blocks).cast("int")

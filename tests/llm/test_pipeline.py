@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -5,6 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from lodestone.llm import linededup, packing
+from lodestone.llm.simhash import fingerprint
 
 
 def test_stages_keep_what_they_should(spark):
@@ -39,3 +41,27 @@ def test_run_packs_what_the_mix_took(spark):
     for r in got:
         own = ids[r.doc_id]
         assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+
+
+def test_near_copies_of_five_word_jaccard_go(spark):
+    rng = random.Random(5)
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows = []
+    for i in range(60):
+        body = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 200))]
+        rows.append((2 * i, " ".join(body)))
+        edited = list(body)
+        for _ in range(1 + len(body) // 60):
+            edited[rng.randrange(len(body))] = "changed"
+        rows.append((2 * i + 1, " ".join(edited if i % 2 else edited[: len(body) // 2])))
+    rows += [(200, "one two"), (201, "one two"), (202, "one three"), (203, None), (204, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = dict((i, grams(t)) for i, t in rows[:120])
+    alike = {2 * i + 1 for i in range(60) if jaccard(sets[2 * i], sets[2 * i + 1]) >= 0.8}
+    bits = lambda i: (fingerprint(rows[i][1]) ^ fingerprint(rows[i - 1][1])).bit_count()
+    assert len(alike) >= 15 and any(bits(i) > 3 for i in alike)
+    near = {i for i in range(1, 120, 2) if bits(i) <= 3}
+    left = P.drop_near_copies(spark, docs, "")
+    assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - alike - near - {201, 204}
+    assert left.columns == docs.columns and P.drop_near_copies(spark, docs.limit(0), "").collect() == []
