@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import lean
+from .store import lean, saved, small
 from .toxicity import remainder
 
 DIMENSIONS = 1024
@@ -116,17 +116,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def drawn(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
+    """(lang, text): about `per_language` documents of every language, all of rare ones, outside the held-out part."""
+    learn = lean(docs).where((remainder("doc_id", PARTS) != HELD) & F.col("lang").isNotNull())
+    share = saved(learn.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_share")), "shares")
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("lang")), 11) / F.lit(float(1 << 53))
+    return learn.join(small(share), "lang").where(draw < F.col("_share")).select("lang", "text")
+
+
 def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
     """Prototypes by language, from about `per_language` documents each outside the held-out part.
 
     Rare languages give all their documents. Tasks add up their documents'
     vectors; the driver gets one vector per language.
     """
-    learn = lean(docs).where((remainder("doc_id", PARTS) != HELD) & F.col("lang").isNotNull())
-    share = learn.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_share"))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("lang")), 11) / F.lit(float(1 << 53))
-    drawn = learn.join(F.broadcast(share.limit(10_000)), "lang").where(draw < F.col("_share")).select("lang", "text")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -139,7 +142,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str, np.ndarra
         vectors = [np.round(sums[x], 6).tolist() for x in names]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(vectors, pa.list_(pa.float64()))], ["lang", "v"])
 
-    parts = drawn.mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("at", "x"))
+    parts = drawn(docs, per_language).mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("at", "x"))
     summed = parts.groupBy("lang", "at").agg(F.sum(F.col("x").cast("decimal(24,6)")).cast("double").alias("x"))
     rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).orderBy("lang").collect()
     return {r["lang"]: np.array([p["x"] for p in r["v"]]) for r in rows}

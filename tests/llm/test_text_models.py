@@ -84,3 +84,11 @@ def test_languages(spark):
     by = {r.doc_id: r.lang_pred for r in got}
     assert by[500] == by[501] == "und" and by[502] == "aa"
     assert langid.languages(df.limit(0), langid.fit(df.limit(0))).collect() == []
+
+
+def test_no_language_is_cut_away(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), F.col("id") % 20_000).alias("lang"))
+    learn = docs.where(langid.remainder("doc_id", langid.PARTS) != langid.HELD).select("lang").distinct().count()
+    assert learn > 10_000 and langid.drawn(docs).select("lang").distinct().count() == learn
