@@ -23,24 +23,31 @@ END_ID = 1
 #: Distinct words whose ids a worker remembers, at some 40 bytes each; beyond it those of the latest batch stay.
 WORD_CACHE = 2_000_000
 _TAIL = re.compile(r"[!-/:-@\[-`{-~]*\Z")
+_PROBE = re.compile(r"[^\W\d_]+|[\W\d_]+")
+_PROBES = ("One  two\tthree.\n\nFour, five. ", " \x0b Ninety Words. The end.", "hello Hello HELLO hello. x . y.")
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string's bytes and length, computed on Arrow's buffers."""
-    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    out, size = np.zeros(len(words), np.uint64), np.diff(bounds)
-    some = size > 0
+    """A 64-bit hash of each string's bytes and length, computed on Arrow's buffers. Different words may share one."""
+    raw, size = _letters(words)
+    out, some, first = np.zeros(len(words), np.uint64), size > 0, np.cumsum(size) - size
     with np.errstate(over="ignore"):
         if some.any():
-            raw = np.frombuffer(words.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].astype(np.uint64) + np.uint64(1)
             powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(size.max()) - 1, _ODD))), dtype=np.uint64)
-            place = np.arange(len(raw)) - np.repeat(bounds[:-1] - bounds[0], size)
-            out[some] = np.add.reduceat(raw * powers[place], (bounds[:-1] - bounds[0])[some])
+            place = np.arange(len(raw)) - np.repeat(first, size)
+            out[some] = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * powers[place], first[some])
         out = (out ^ (out >> np.uint64(29)) ^ size.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(32))
 
 
+def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes in a row, and how many each has."""
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    raw = words.buffers()[2] if len(words) else None
+    return (np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw else np.zeros(0, np.uint8)), np.diff(bounds)
+
+
 def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The pieces of flat that begin at start[i] with size[i] entries, for each i of at in turn."""
     taken = size[at].astype(np.int64)
@@ -56,20 +63,28 @@ class WordEncoder:
     letters and signs apart, so a word of letters with signs after it is the
     letters' ids, then the signs'. Arrow splits the texts and finds the
     distinct words; each is encoded once, and the texts' ids are gathered.
-    What is known of words lies in arrays, sorted by hash.
+    What is known of words lies in arrays, sorted by hash; a word is known
+    only if the bytes there are its own. Vocabularies of another kind, told by
+    a few probes, encode whole texts.
     """
 
+    hashes = staticmethod(word_hashes)
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         self.tokenizer = Tokenizer.from_file(path)
-        self.stop = self.tokenizer.encode(".", add_special_tokens=False).ids[0]
+        plain = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.stop = (plain(".") or [-1])[0]
+        # Words apart, folded and with their signs apart must give the ids of the whole.
+        self.by_word = all(plain(x) == [i for word in x.lower().split() for part in _PROBE.findall(word) for i in plain(part)] for x in _PROBES)
         self._forget()
 
     def _forget(self) -> None:
         self.hash, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.uint32)
+        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.letters = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The runs' ids in a row, and how many each has.
@@ -115,35 +130,59 @@ class WordEncoder:
         return np.where(self.hash[at] == hashes, at, -1)
 
     def _learn(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
-        """Places of the words in the table, after those it lacks are encoded."""
+        """Places in the table of the words' hashes, after words with hashes that it lacks are encoded."""
         at = self._known(hashes)
         new = np.flatnonzero(at < 0)
         if len(self.hash) + len(new) > WORD_CACHE:
             self._forget()
             new = np.arange(len(hashes))
         if len(new):
-            flat, size = self._encode(words.take(pa.array(new)).to_pylist())
-            start = len(self.flat) + np.concatenate(([0], np.cumsum(size)[:-1]))
-            order = np.argsort(hashes[new], kind="stable")
-            spot = np.searchsorted(self.hash, hashes[new][order])
-            self.hash = np.insert(self.hash, spot, hashes[new][order])
-            self.start = np.insert(self.start, spot, start[order])
-            self.size = np.insert(self.size, spot, size[order].astype(np.int32))
-            self.flat = np.concatenate((self.flat, flat))
+            lacking, first = np.unique(hashes[new], return_index=True)
+            fresh = words.take(pa.array(new[first]))
+            flat, size = self._encode(fresh.to_pylist())
+            letters, length = _letters(fresh)
+            begins = lambda known, sizes: len(known) + np.cumsum(sizes) - sizes
+            spot = np.searchsorted(self.hash, lacking)
+            self.start = np.insert(self.start, spot, begins(self.flat, size))
+            self.begin = np.insert(self.begin, spot, begins(self.letters, length))
+            self.hash, self.size, self.length = np.insert(self.hash, spot, lacking), np.insert(self.size, spot, size.astype(np.int32)), np.insert(self.length, spot, length.astype(np.int32))
+            self.flat, self.letters = np.concatenate((self.flat, flat)), np.concatenate((self.letters, letters))
             at = self._known(hashes)
         return at
 
+    def _others(self, words: pa.Array, at: np.ndarray) -> np.ndarray:
+        """Words that are not, byte by byte, the word at their place in the table."""
+        letters, length = _letters(words)
+        same = np.flatnonzero(self.length[at] == length)
+        mine = gathered(letters, np.cumsum(length) - length, length, same)
+        wrong = np.concatenate(([0], np.cumsum(mine != gathered(self.letters, self.begin, self.length, at[same]))))
+        ends = np.cumsum(length[same])
+        differs = np.ones(len(words), bool)
+        differs[same] = wrong[ends] != wrong[ends - length[same]]
+        return np.flatnonzero(differs)
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, without end ids, and where each text's begin (one entry more than texts)."""
         texts = texts.fill_null("")
+        if not self.by_word:
+            found = [x.ids for a in range(0, len(texts), 64) for x in self.tokenizer.encode_batch_fast(texts[a : a + 64].to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
         # A text that may name a special id stays as written: those names are matched by case.
         lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(lowered)
         coded = split.flatten().dictionary_encode()
-        at = self._learn(coded.dictionary, word_hashes(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
-        upto = np.concatenate(([0], np.cumsum(self.size[at], dtype=np.int64)))
+        place = self._learn(coded.dictionary, self.hashes(coded.dictionary))
+        flat, start, size = self.flat, self.start[place], self.size[place]
+        # Words whose hash is another word's are encoded for this batch alone.
+        odd = self._others(coded.dictionary, place)
+        if len(odd):
+            more, each = self._encode(coded.dictionary.take(pa.array(odd)).to_pylist())
+            start[odd], size[odd] = len(flat) + np.cumsum(each) - each, each
+            flat = np.concatenate((flat, more))
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        upto = np.concatenate(([0], np.cumsum(size[at], dtype=np.int64)))
         bounds = split.offsets.to_numpy(zero_copy_only=False)
-        return gathered(self.flat, self.start, self.size, at), upto[bounds - bounds[0]]
+        return gathered(flat, start, size, at), upto[bounds - bounds[0]]
 
 
 @lru_cache(maxsize=2)

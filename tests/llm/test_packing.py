@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from lodestone.llm.packing import WordEncoder, pack, pack_histogram, tokenizer_path
+from lodestone.llm.packing import WordEncoder, pack, pack_histogram, tokenizer_path, word_hashes
 
 
 def test_histogram_is_placed_exactly_and_tightly():
@@ -57,3 +57,39 @@ def test_pieces_fill_sequences_without_gaps(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def thue_morse(n, a, b):
+    return [(a, b)[i.bit_count() % 2] for i in range(n)]
+
+
+def test_words_of_one_hash_have_their_own_ids():
+    whole = Tokenizer.from_file(tokenizer_path())
+    pairs = [("".join(thue_morse(n, "a", "b")), "".join(thue_morse(n, "b", "a"))) for n in (1024, 4096)]
+    texts = [x for pair in pairs for x in pair] + ["one two ab ba"]
+    encoder = WordEncoder(tokenizer_path())
+    hashes = word_hashes(pa.array(texts[:4]))
+    assert hashes[0] == hashes[1] and hashes[2] == hashes[3]
+    encoder.hashes = lambda words: np.zeros(len(words), np.uint64)
+    for one in (WordEncoder(tokenizer_path()), encoder):
+        for batch in (texts, texts[::-1], [" ".join(texts), "", texts[1], "two"]):
+            flat, bounds = one.ids(pa.array(batch))
+            for t, a, b in zip(batch, bounds[:-1], bounds[1:], strict=True):
+                assert flat[a:b].tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_encode_whole_texts():
+    import glob
+    import os
+
+    import public_tokenizers
+
+    texts = ["Hello,  World's\tend\n\n  É 123abc. x", "", " lead trail ", "日本 語 ß", "a. B. ab."]
+    for path in glob.glob(os.path.join(os.path.dirname(public_tokenizers.__file__), "*.json")):
+        try:
+            whole = Tokenizer.from_file(path)
+        except Exception:  # not a tokenizer's file
+            continue
+        flat, bounds = WordEncoder(path).ids(pa.array([None, *texts]))
+        for t, a, b in zip(["", *texts], bounds[:-1], bounds[1:], strict=True):
+            assert flat[a:b].tolist() == whole.encode(t, add_special_tokens=False).ids, path
