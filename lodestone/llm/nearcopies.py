@@ -1,6 +1,6 @@
 """Near copies among documents: five-word shingles at Jaccard similarity 0.8, besides SimHash.
 
-Documents are banded by MinHash, with bands so many that four pairs in 100,000
+Documents are banded by MinHash, with bands so many that three pairs in 100,000
 are missed at the threshold and fewer above; those that collide are compared by
 exact Jaccard similarity. The links found join those of equal and near
 fingerprints, so that one document of each group stays by either measure.
@@ -16,12 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import drop_near_duplicates, fingerprint
+from .simhash import drop_near_duplicates, fingerprint, text_key
 from .store import lean, saved, small
 from .substring import band_keys, near_sets
 
 SHINGLE = 5
-BANDS, ROWS = 10, 2
+BANDS, ROWS = 20, 4
 
 
 def shingles(text: str | None) -> tuple[int, np.ndarray]:
@@ -42,34 +42,39 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
-        keys, sets = zip(*map(shingles, texts), strict=True) if texts else ((), ())
-        long = [x for x in sets if len(x) > 1]
-        rows = iter(band_keys(np.concatenate(long), np.array([*map(len, long)]), BANDS, ROWS).view(np.uint64) if long else ())
-        bands = [next(rows) if len(x) > 1 else x[:0] for x in sets]
-        columns = [batch.column(0), pa.array(prints.view(np.int64)), pa.array(np.array(keys, np.uint64).view(np.int64)), _lists(bands)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "key", "bands"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 250):
+            batch = whole.slice(at, 250)
+            texts = batch.column(2).to_pylist()
+            prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+            keys, sets = zip(*map(shingles, texts), strict=True)
+            long = [x for x in sets if len(x) > 1]
+            rows = iter(band_keys(np.concatenate(long), np.array([*map(len, long)]), BANDS, ROWS).view(np.uint64) if long else ())
+            bands = [next(rows) if len(x) > 1 else x[:0] for x in sets]
+            columns = [batch.column(0), batch.column(1), pa.array(prints.view(np.int64)), pa.array(np.array(keys, np.uint64).view(np.int64)), _lists(bands)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "fp", "key", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, sets = zip(*map(shingles, batch.column(0).to_pylist()), strict=True) if batch.num_rows else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), _lists(list(sets))], ["key", "shingles"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 250):
+            keys, sets = zip(*map(shingles, whole.column(0).slice(at, 250).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), _lists(list(sets))], ["key", "shingles"])
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies, the one with the smallest id. All columns stay.
+    """docs with one row of each group of near copies. All columns stay.
 
     Near copies have five-word shingles of Jaccard similarity 0.8 or more, or
-    fingerprints within 3 bits; groups are connected by either.
+    fingerprints within 3 bits; groups are connected by either. Which row
+    stays, and what null, empty and repeated rows do, is as in
+    drop_near_duplicates.
     """
-    texts = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    banded = saved(texts.mapInArrow(_banded, "doc_id long, fp long, key long, bands array<long>"), "banded")
+    texts = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    banded = saved(texts.mapInArrow(_banded, "doc_id long, text_key binary, fp long, key long, bands array<long>"), "banded")
     links = saved(near_sets(banded.select("key", "bands"), texts.select("text").mapInArrow(_sets, "key long, shingles array<long>")), "copies")
-    ends = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).distinct()
+    ends = saved(links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).distinct(), "ends")
     known = saved(banded.join(small(ends), "key", "left_semi").groupBy("key").agg(F.first("fp").alias("fp")), "known")
     one = lambda end, fp: small(known.select(F.col("key").alias(end), F.col("fp").alias(fp)))
     more = links.join(one("a", "x"), "a").join(one("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return drop_near_duplicates(docs, id_col, text_col, prints=banded.select("doc_id", "fp"), more=more)
+    return drop_near_duplicates(docs, id_col, text_col, prints=banded.select("doc_id", "text_key", "fp"), more=more)

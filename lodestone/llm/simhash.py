@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -60,6 +60,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, becomes its fingerprint."""
+    for batch in batches:
+        bits = np.fromiter((fingerprint(x.as_py()) for x in batch.column(batch.num_columns - 1)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bits.view(np.int64))], [*batch.schema.names[:-1], "fp"])
+
+
 def thermometer(fp: np.ndarray) -> np.ndarray:
     """The segment counts, two bits each: 0 as 00, 1 as 01, 2 as 11, so that Manhattan distance is popcount of xor."""
     low, high = fp & _EVEN, (fp >> _ONE) & _EVEN
@@ -141,21 +148,18 @@ def in_blocks(cells: DataFrame, crowded: DataFrame) -> DataFrame:
     return each.select("cell", low.alias("x"), high.alias("y"), "visits", "fp")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, prints: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long), fingerprint (16 hex digits), component_id.
+def classes(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """prints (saved: doc_id, fp and others) with component_id and root, the component itself.
 
-    Null, empty and wordless texts have fingerprint zero and are linked like
-    any other. Repeated rows share their values. component_id is the smallest
-    id reachable; null ids are passed over unless a component has no other.
-    Empty tables give empty results; other columns are ignored. `more` holds
-    further links (a, b) between fingerprints.
+    component_id is the smallest id of the component; null ids are passed over
+    unless it has no other, so components may share one. `more` holds further
+    links (a, b) between fingerprints.
 
     Equal fingerprints are collapsed before anything is compared, so groups of
     copies count once; a cell yields at most a spanning tree of its members,
     never all pairs, and components come from those trees. A crowded cell is
     dealt out in pairs of blocks, so that no task holds it whole.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, words), "fingerprints") if prints is None else prints
     nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = nodes.select("fp").repartition("fp").mapInArrow(_cells, "cell long, visits boolean, fp long")
@@ -166,24 +170,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = saved(connected_components(links).withColumnsRenamed({"node": "fp", "component": "root"}), "groups")
     rooted = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, prints: DataFrame | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, fp (long), fingerprint (16 hex digits), component_id.
+
+    Null, empty and wordless texts have fingerprint zero and are linked like
+    any other. Repeated rows share their values. component_id is the smallest
+    id reachable; null ids are passed over unless a component has no other.
+    Empty tables give empty results; other columns are ignored.
+    """
+    prints = saved(fingerprints(docs, id_col, text_col, words), "fingerprints") if prints is None else prints
+    return classes(prints).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def text_key(text_col: str) -> Column:
+    """Tells texts apart; null is a text of its own."""
+    return F.coalesce(F.unhex(F.sha2(F.col(text_col), 256)), F.lit(b""))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
-    """docs with one row of each group of near-duplicates: the one with the smallest id. All columns stay.
+    """docs with one row of each group of near-duplicates. All columns stay.
 
-    prints, more: as near_duplicates takes them.
+    The row with the smallest id stays, null ids last; of several rows with
+    that id the one whose text has the smallest SHA-256, and of rows that agree
+    in both the first by its columns in JSON. Ids need not be unique: rows are
+    told apart by id and text. Groups of null, empty and wordless texts keep one
+    row too; an empty table stays empty.
 
-    The ids to drop are broadcast if counted to be few, else joined by shuffle.
-    Rows that repeat the smallest id are told apart only where such rows exist.
+    prints: doc_id, text_key and fp of each row, saved; more: as classes takes it.
     """
-    found = saved(near_duplicates(docs, id_col, text_col, prints=prints, more=more).select("doc_id", "component_id"), "classes")
-    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lodestone_drop")).distinct()
-    kept = docs.join(small(drop), F.col(id_col).cast("long").eqNullSafe(F.col("__lodestone_drop")), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__lodestone_twice"))
-    if repeated.isEmpty():
+    if prints is None:
+        named = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col))
+        prints = saved(named.mapInArrow(_keyed, "doc_id long, text_key binary, fp long"), "fingerprints")
+    found = saved(classes(prints, more).select("doc_id", "text_key", "root"), "classes")
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    best = found.groupBy("root").agg(F.min(own).alias("best"))
+    rows = found.groupBy("doc_id", "text_key", "root").agg(F.count("*").alias("times"))
+    judged = saved(rows.join(best, "root").select("doc_id", "text_key", "times", own.eqNullSafe(F.col("best")).alias("stays")), "judged")
+    mark = lambda df: df.select(F.col("doc_id").alias("__lodestone_id"), F.col("text_key").alias("__lodestone_text"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__lodestone_id")) & (text_key(text_col) == F.col("__lodestone_text"))
+    kept = docs.join(small(mark(judged.where("NOT stays"))), same, "left_anti")
+    twice = mark(judged.where("stays AND times > 1"))
+    if twice.isEmpty():
         return kept
-    again = F.col(id_col).cast("long").eqNullSafe(F.col("__lodestone_twice"))
-    repeated = small(saved(repeated, "repeated"))
-    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col]))
+    twice = small(twice)
+    row = F.struct(*docs.columns)
+    again = docs.join(twice, same).groupBy("__lodestone_id", "__lodestone_text").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return kept.join(twice, same, "left_anti").unionByName(again)

@@ -6,14 +6,16 @@ import os
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.session import importable
 
-#: Most rows of narrow keys that any operator broadcasts; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Most rows and bytes that any operator broadcasts, both measured; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,9 +46,26 @@ def lean(texts: DataFrame, rows: int = 1_000) -> DataFrame:
     return texts
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it was counted to hold at most `limit` rows, else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _bytes(field: T.StructField) -> Column:
+    """What a value takes, at least a word each."""
+    col, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + F.lit(16)
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+        return F.greatest(F.size(col), F.lit(0)) * F.lit(8) + F.lit(16)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)) + F.lit(16)
+    return F.lit(8)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it is measured to hold at most `limit` rows and `most` bytes, else df for a shuffled join.
+
+    df should be a saved table or a plain selection of one: it is read to be measured.
+    """
+    each = reduce(lambda a, b: a + b, map(_bytes, df.schema.fields), F.lit(16)).cast("long")
+    rows, size = df.select(each.alias("size")).agg(F.count("*"), F.sum("size")).first()
+    return F.broadcast(df) if rows <= limit and (size or 0) <= most else df
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_task: int = 2_000) -> DataFrame:

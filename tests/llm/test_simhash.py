@@ -67,3 +67,32 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 9]
     empty = docs.limit(0)
     assert simhash.near_duplicates(empty).collect() == [] and simhash.drop_near_duplicates(empty).collect() == []
+
+
+def test_rows_with_shared_or_missing_ids_keep_one_of_every_group(spark):
+    texts = {k: f"{k} " + " ".join(f"{k}{i}word" for i in range(40)) for k in "ABCDE"}
+    data = [(7, "A"), (7, "B"), (1, "B"), (None, "C"), (None, "D"), (0, "D"), (9, "E"), (9, "E"), (None, "E"), (3, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, texts.get(t, t), n) for n, (i, t) in enumerate(data)], "doc_id long, text string, root int")
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted((r.text or "")[:1] + str(r.doc_id) for r in kept) == ["3", "A7", "B1", "CNone", "D0", "E9"]
+    assert next(r.root for r in kept if r.doc_id == 9) == 6
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(25):
+        base = [f"g{g}w{i}" for i in range(400)]
+        for _ in range(rng.randrange(1, 6)):
+            own = list(base)
+            if rng.random() < 0.5:
+                own[rng.randrange(400)] = "edit"
+            rows.append((rng.choice([None, rng.randrange(40)]), " ".join(own)))
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    group = classes(prints)
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    best = {}
+    for (i, t), c in zip(rows, group, strict=True):
+        best[c] = min(best.get(c, (True, 0)), (i is None, i or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(best.values())
+    assert sorted(classes([simhash.fingerprint(r.text) for r in kept])) == list(range(len(best)))
