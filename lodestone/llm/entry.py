@@ -81,7 +81,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_passages(documents(spark, sf_dir))
+    return substring.repeated_passages(documents(spark, sf_dir), least_words=substring.PASSAGE_WORDS)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

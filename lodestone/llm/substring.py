@@ -1,16 +1,16 @@
-"""Repeated passages within documents: near-duplicate paragraphs by MinHash banding, and copied passages exactly.
-
-A paragraph is a line. Paragraphs long enough to have a near-duplicate at the
-required similarity are banded over five-word shingles, with bands so short
-that six pairs in a thousand are missed at the threshold; those that
-collide are compared by exact Jaccard similarity and clustered by components.
-Passages are often copied into the middle of another paragraph, where the
-paragraphs differ. So every run of `passage_words` words (a window) that is in
-another document as well is found, by equality. To move few rows, windows that
-follow each other and share the phrase of eight words with the smallest hash
-go as one stretch under that phrase. A window's phrase depends on its words
-alone, so equal windows meet under one phrase: stretches that are the only one
-of their phrase are settled whole, others window by window. Matches that
+"""Repeated passages within documents: paragraphs banded by MinHash, verified and clustered.
+
+Paragraphs are of two kinds. Lines are banded over five-word shingles, with
+bands so short that six pairs in a thousand are missed at the threshold; those
+that collide are compared by exact Jaccard similarity and clustered by
+components. Passages are often copied into the middle of a line, where the
+lines differ, so every run of `passage_words` words (a window) is a paragraph
+too. A window has one band: its MinHash over phrases of eight words, that is
+the phrase with the smallest hash. Equal windows always collide, and windows
+that collide are compared by equality, a similarity of 1; a copy with edits
+is found by its unedited runs. To move few rows, windows that follow each
+other and share their band go as one stretch: stretches that are the only one
+in their bucket are settled whole, others window by window. Matches that
 overlap or follow each other closely in a document form a passage.
 """
 
@@ -31,12 +31,12 @@ from .store import lean, saved, small
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 5, 2
-#: Words of a phrase, of a paragraph that is banded (a shorter one has no near-duplicate but its equals), and of a passage.
+#: Words of a phrase, of a line that counts (a shorter one has no near-duplicate but its equals), and of a window.
 PHRASE_WORDS, PARAGRAPH_WORDS, PASSAGE_WORDS = 8, 13, 28
 #: Words between two matches of one passage at most.
 GAP_WORDS = 8
-#: Paragraphs of one bucket that are compared in one go; larger buckets go in pairs of blocks.
-BLOCK_MEMBERS = 2_000
+#: Paragraphs of one bucket, and shingles in them, that are compared in one go; larger buckets go in pairs of blocks.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2_000, 1_000_000
 _BREAK = "\ue0ff"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -113,24 +113,23 @@ class Words:
         return inside[new], np.diff(np.concatenate((new, [len(at)]))), phrase[at[new]], self.grams(size)[inside]
 
     def hashed(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """A hash of each run's words in order."""
-        if not len(first):
-            return np.zeros(0, np.uint64)
-        inside = np.arange(len(self.code)) - np.repeat(first, count)
-        with np.errstate(over="ignore"):
-            total = np.add.reduceat(self.code * _powers(int(count.max()))[inside], first, dtype=np.uint64)
-            return _mixed(total + count.astype(np.uint64))
+        """A row per run: two 64-bit hashes of its words in order."""
+        codes = memoryview(self.code.tobytes())
+        found = b"".join(xxhash.xxh3_128_digest(codes[8 * a : 8 * (a + n)]) for a, n in zip(first.tolist(), count.tolist(), strict=True))
+        return np.frombuffer(found, ">u8").astype(np.uint64).reshape(-1, 2)
 
     def shingles(self, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the five-word shingles of runs of five words or more, in a row, and how many each run has."""
-        each = count - (SHINGLE - 1)
+        """Hashes of the runs' five-word shingles in a row, and how many each has; a run below five words is one shingle."""
+        each = np.maximum(count - (SHINGLE - 1), 1)
         if not len(first):
             return np.zeros(0, np.uint64), each
         place = np.repeat(first - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
+        ends = np.repeat(first + count, each)
         total = np.zeros(len(place), np.uint64)
         with np.errstate(over="ignore"):
             for k, p in enumerate(_powers(SHINGLE)):
-                total += self.code[place + k] * p
+                inside = place + k < ends
+                total += np.where(inside, self.code[np.minimum(place + k, len(self.code) - 1)], np.uint64(0)) * p
         return _mixed(total), each
 
 
@@ -147,8 +146,8 @@ def band_keys(shingles: np.ndarray, each: np.ndarray, bands: int = BANDS, rows:
     return out.view(np.int64)
 
 
-def _units(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """A row per stretch (bands null) and per banded paragraph (whole null). whole: a hash of all the stretch's words."""
+def _units(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[pa.RecordBatch]:
+    """A row per stretch (bands null) and per line of `least` words. whole: a second hash of all the words."""
     for batch_of in batches:
         for at in range(0, batch_of.num_rows, 500):
             batch = batch_of.slice(at, 500)
@@ -159,14 +158,14 @@ def _units(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
                 whole = _mixed(windows[begin] * _ODD + _mixed(windows[begin + n - 1] + n.astype(np.uint64)))
             found = [(0, first, n + (size - 1), key, pa.array(whole.view(np.int64)), pa.nulls(len(first), pa.list_(pa.int64())))]
             first, count = words.lines()
-            key = words.hashed(first, count)
-            use = count >= PARAGRAPH_WORDS
-            first, count, key = first[use], count[use], key[use]
+            use = count >= least
+            first, count = first[use], count[use]
+            key, second = words.hashed(first, count).T
             flat = pa.array(band_keys(*words.shingles(first, count)).reshape(-1))
-            found.append((1, first, count, key, pa.nulls(len(first), pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * BANDS), flat)))
+            found.append((1, first, count, key, pa.array(second.copy().view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * BANDS), flat)))
             for kind, first, count, key, whole, bands in found:
                 owner = ids.take(pa.array(words.text[first]))
-                columns = [owner, pa.array(np.full(len(first), kind, np.int8)), pa.array(words.start[first].astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key.view(np.int64)), whole, bands]
+                columns = [owner, pa.array(np.full(len(first), kind, np.int8)), pa.array(words.start[first].astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(np.ascontiguousarray(key).view(np.int64)), whole, bands]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "start", "words", "key", "whole", "bands"])
 
 
@@ -183,23 +182,30 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "key", "windows"])
 
 
-def _paragraph_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paragraph_shingles(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(key, shingles): the distinct shingles of each banded paragraph."""
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             words = Words(whole.column(0).slice(at, 1000))
             first, count = words.lines()
-            key = words.hashed(first, count)
-            use = count >= PARAGRAPH_WORDS
+            use = count >= least
+            key = words.hashed(first[use], count[use])[:, 0]
             flat, each = words.shingles(first[use], count[use])
-            offsets = np.concatenate(([0], np.cumsum(each))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), lists], ["key", "shingles"])
+            owner = np.repeat(np.arange(len(each)), each)
+            order = np.lexsort((flat, owner))
+            flat, owner = flat[order], owner[order]
+            new = np.concatenate((np.ones(min(1, len(flat)), bool), (np.diff(owner) > 0) | (flat[1:] != flat[:-1])))
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=len(each))))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[new].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key).view(np.int64)), lists], ["key", "shingles"])
 
 
-def spanning_links(keys: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that connect all members whose exact Jaccard similarity, directly or through others, reaches the threshold."""
-    label, out = np.arange(len(keys)), []
+def spanning_links(keys: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all members whose exact Jaccard similarity, directly or through others, reaches the threshold.
+
+    Members of equal labels count as connected.
+    """
+    label, out = np.arange(len(keys)) if labels is None else np.unique(labels, return_inverse=True)[1], []
     sizes = np.array([len(x) for x in sets])
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -225,52 +231,71 @@ def spanning_links(keys: np.ndarray, sets: list[np.ndarray], similarity: float =
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group: verified links of each. Holds one group at a time."""
-    group, keys, sets = None, [], []
+    group, keys, labels, sets = None, [], [], []
 
     def links() -> pa.RecordBatch:
-        found = spanning_links(np.array(keys, np.int64), sets)
+        found = spanning_links(np.array(keys, np.int64), sets, labels=np.array(labels, np.int64))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for g, k, s in zip(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True), batch.column(4).to_pylist(), batch.column(5), strict=True):
+        for *g, k, label, s in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6), strict=True):
             if g != group:
                 if len(keys) > 1:
                     yield links()
-                group, keys, sets = g, [], []
+                group, keys, labels, sets = g, [], [], []
             keys.append(k)
-            sets.append(np.unique(s.values.to_numpy(zero_copy_only=False)))
+            labels.append(label)
+            sets.append(s.values.to_numpy(zero_copy_only=False).copy())
     if len(keys) > 1:
         yield links()
 
 
-def near_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def near_paragraphs(docs: DataFrame, paragraphs: DataFrame, least: int = PARAGRAPH_WORDS) -> DataFrame:
     """(a, b): links between keys of paragraphs that are near-duplicates but not equal; paragraphs: key, bands."""
-    return near_sets(paragraphs, docs.select("text").mapInArrow(_paragraph_shingles, "key long, shingles array<long>"))
+    return near_sets(paragraphs, docs.select("text").mapInArrow(lambda batches: _paragraph_shingles(batches, least), "key long, shingles array<long>"))
 
 
 def near_sets(paragraphs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): verified links between keys that meet in a bucket; paragraphs: key, bands; sets: key, shingles."""
+    """(a, b): verified links between keys that meet in a bucket; paragraphs: key, bands; sets: key, shingles (distinct).
+
+    Each member is compared with its bucket's first, pair by pair. Buckets
+    that this does not connect are compared in full, in pairs of blocks that
+    are bounded in members and bytes; members already connected are not
+    compared again.
+    """
     spark = paragraphs.sparkSession
     banded = paragraphs.select("key", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("band", "bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "bucket")
-    met = saved(banded.join(small(saved(shared, "buckets")), ["band", "bucket"], "left_semi").distinct(), "collisions")
-    met = met.join(small(saved(met.groupBy("band", "bucket").agg(F.count("*").alias("n")), "sizes")), ["band", "bucket"])
+    shared = banded.groupBy("band", "bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "bucket", "low")
+    met = saved(banded.join(small(saved(shared, "buckets")), ["band", "bucket"]).distinct(), "collisions")
     wanted = met.select("key").distinct()
     sets = sets.join(small(saved(wanted, "wanted")), "key", "left_semi")
     sets = saved(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
-    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-    block = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    dealt = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    pairs = dealt.select("band", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "key")
+    star = met.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
+    one = lambda end, own: sets.select(F.col("key").alias(end), F.col("shingles").alias(own))
+    common = F.size(F.array_intersect("x", "y"))
+    alike = common >= SIMILARITY * (F.size("x") + F.size("y") - common) - 1e-9
+    near = saved(star.join(one("a", "x"), "a").join(one("b", "y"), "b").where(alike).select("a", "b"), "first_links")
+    labels = saved(connected_components(near), "labels").select(F.col("node").alias("key"), "component")
+    mass = sets.select("key", F.size("shingles").alias("mass"))
+    labelled = met.join(small(labels), "key", "left").join(small(mass), "key").select("band", "bucket", "key", "mass", F.coalesce("component", "key").alias("label"))
+    open_ = labelled.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"), F.min("label").alias("low"), F.max("label").alias("high"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("mass") / BLOCK_SHINGLES)).cast("int")
+    open_ = saved(open_.where("n > 2 AND low <> high").select("band", "bucket", blocks.alias("blocks")), "open")
+    if open_.isEmpty():
+        return near
+    dealt = labelled.join(small(open_), ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("band", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "key", "label")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = pairs.join(sets, "key").select("band", "bucket", "x", "y", "key", "shingles").repartition(parts, "band", "bucket", "x", "y")
-    return members.sortWithinPartitions("band", "bucket", "x", "y", "key").mapInArrow(_verify, "a long, b long").distinct()
+    members = pairs.join(sets, "key").select("band", "bucket", "x", "y", "key", "label", "shingles").repartition(parts, "band", "bucket", "x", "y")
+    rest = members.sortWithinPartitions("band", "bucket", "x", "y", "key").mapInArrow(_verify, "a long, b long").distinct()
+    return near.unionByName(rest)
 
 
-def _seen(rows: DataFrame) -> DataFrame:
-    """(key, keep_doc_id): keys in two documents or more, and the first of these."""
-    return rows.groupBy("key").agg(F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("_last")).where("keep_doc_id <> _last").drop("_last")
+def _seen(rows: DataFrame, *more: str) -> DataFrame:
+    """(key, keep_doc_id): keys in two documents or more, and the first of these. more: columns that are part of the key."""
+    return rows.groupBy("key", *more).agg(F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("_last")).where("keep_doc_id <> _last").drop("_last")
 
 
 def copied_runs(docs: DataFrame, stretches: DataFrame, size: int) -> DataFrame:
@@ -294,36 +319,38 @@ def copied_runs(docs: DataFrame, stretches: DataFrame, size: int) -> DataFrame:
     return same.select("doc_id", "start", "words", "key", "keep_doc_id").unionByName(runs.select("doc_id", "start", words.alias("words"), F.xxhash64("_a", "_b", words).alias("key"), "keep_doc_id"))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """A row per copied run, or equal or near-duplicate paragraph, within a repeated passage.
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int = PASSAGE_WORDS, paragraph_words: int = PARAGRAPH_WORDS, least_words: int = 0) -> DataFrame:
+    """A row per copied run, and per equal or near-duplicate line.
 
     Columns: doc_id, start and words (of the match, in words of the text),
     passage_start, passage_words, cluster_id, keep_doc_id (document of the
     cluster's first occurrence), removed (every other occurrence). A cluster
-    repeats if it is in two documents or more, by id; rows that repeat an id
-    count as one document. Null, empty and short texts have no rows, nor has
-    an empty table; other columns are ignored.
+    repeats if it is in two documents or more, by id; rows that repeat an id,
+    or have none, count as one document. Null, empty and short texts have no
+    rows, nor has an empty table; other columns are ignored.
 
     A copied run is exact: whatever two documents share in `passage_words`
     words or more (8 at least) is covered word by word, and nothing else is;
-    keep_doc_id is the first document that has its windows.
-
-    Equal stretches and paragraphs are reduced to one row per key before
-    anything is compared, buckets yield spanning trees instead of pairs, and
-    what is kept of a text between passes is its hashes.
+    keep_doc_id is the first document that has its windows. Lines count from
+    `paragraph_words` words on, each on its own, whatever stands beside it; at
+    1 every line does. Lines below 13 words are alike only if equal.
+    `least_words` leaves out passages that are shorter, all matches together.
+
+    Equal stretches and lines are reduced to one row per key before anything
+    is compared, buckets yield spanning trees instead of pairs, and what is
+    kept of a text between passes is its hashes.
     """
     named = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = max(passage_words, PHRASE_WORDS)
-    units = saved(named.mapInArrow(lambda batches: _units(batches, size), "doc_id long, kind byte, start int, words int, key long, whole long, bands array<long>"), "units")
+    size, least = max(passage_words, PHRASE_WORDS), max(paragraph_words, 1)
+    units = saved(named.mapInArrow(lambda batches: _units(batches, size, least), "doc_id long, kind byte, start int, words int, key long, whole long, bands array<long>"), "units")
     paragraphs = units.where("kind = 1")
-    links = connected_components(near_paragraphs(named, paragraphs.select("key", "bands")))
-    near = saved(links, "near")
+    near = saved(connected_components(near_paragraphs(named, paragraphs.select("key", "bands"), least)), "near").withColumnRenamed("node", "key")
     copied = copied_runs(named, units.where("kind = 0").select("doc_id", "start", "words", "key", "whole"), size)
-    # A paragraph without near-duplicates is a cluster with its equals.
-    clustered = paragraphs.select("doc_id", "start", "words", "key").join(small(near.withColumnRenamed("node", "key")), "key", "left")
-    clustered = clustered.select("doc_id", "start", "words", F.coalesce("component", "key").alias("key"))
-    clustered = saved(clustered, "clustered")
-    alike = clustered.join(small(_seen(clustered)), "key")
+    # A line without near-duplicates is a cluster with its equals, told by both hashes.
+    alone = F.col("component").isNull()
+    clustered = paragraphs.select("doc_id", "start", "words", "key", "whole").join(small(near), "key", "left")
+    clustered = saved(clustered.select("doc_id", "start", "words", F.coalesce("component", "key").alias("key"), F.when(alone, F.col("whole")).otherwise(F.lit(0)).alias("whole")), "clustered")
+    alike = clustered.join(small(saved(_seen(clustered, "whole"), "alike")), ["key", "whole"]).drop("whole")
     matches = saved(copied.unionByName(alike), "matches")
     # Matches that overlap or follow each other closely form a passage.
     by = Window.partitionBy("doc_id").orderBy("start", "words", "key")
@@ -333,5 +360,4 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parted = parted.withColumn("_p", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("doc_id", "_p")
     spans = parted.withColumn("passage_start", F.min("start").over(whole)).withColumn("passage_words", F.max(ends).over(whole) - F.col("passage_start"))
-    kept = spans.where(F.col("passage_words") >= passage_words)
-    return kept.select("doc_id", "start", "words", "passage_start", "passage_words", F.col("key").alias("cluster_id"), "keep_doc_id", (F.col("doc_id") != F.col("keep_doc_id")).alias("removed"))
+    return spans.where(F.col("passage_words") >= least_words).select("doc_id", "start", "words", "passage_start", "passage_words", F.col("key").alias("cluster_id"), "keep_doc_id", (F.col("doc_id") != F.col("keep_doc_id")).alias("removed"))

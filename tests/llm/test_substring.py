@@ -152,3 +152,59 @@ def test_equal_paragraphs_are_clusters_at_full_length(spark):
         if r.words in (20, 60):
             clusters.setdefault(r.cluster_id, []).append((r.doc_id, r.start, r.words, r.keep_doc_id))
     assert sorted(map(sorted, clusters.values())) == [[(1, 30, 20, 1), (2, 30, 20, 1)], [(1, 50, 20, 1), (2, 50, 20, 1)], [(3, 9, 60, 3), (4, 0, 60, 3)]]
+
+
+def test_lines_of_equal_hash_sums_are_told_apart(spark):
+    for n in (1024, 4096):
+        one, other = ([("alpha", "beta")[(i.bit_count() + k) % 2] for i in range(n)] for k in (0, 1))
+        words = substring.Words(__import__("pyarrow").array([" ".join(one), " ".join(other)]))
+        keys = words.hashed(*words.lines())
+        assert keys[0, 0] != keys[1, 0] and keys[0, 1] != keys[1, 1]
+
+
+def test_each_length_on_both_sides_of_its_limit(spark):
+    rng = random.Random(12)
+    words = [f"w{i}x" for i in range(9000)]
+    plain = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, lines = [], {}
+    for i, n in enumerate((1, 4, 5, 10, 12, 13, 20, 27, 28)):
+        lines[n] = plain(n)
+        rows += [(2 * i, f"{plain(40)}\n{lines[n]}\n{plain(40)}"), (2 * i + 1, f"{plain(30)}\n{lines[n]}")]
+    middle = {n: plain(n) for n in (20, 27, 28)}
+    rows += [(100 + 2 * i + k, f"{plain(20 + k)} {middle[n]} {plain(20)}") for i, n in enumerate(middle) for k in (0, 1)]
+    docs = spark.createDataFrame([*rows, (None, None), (None, "")], "doc_id long, text string")
+    found = lambda **more: {(r.doc_id, r.passage_words) for r in substring.repeated_passages(docs, **more).collect()}
+    both = lambda first, n: {(first, n), (first + 1, n)}
+    exact = both(104, 28)
+    assert found() == both(10, 13) | both(12, 20) | both(14, 27) | both(16, 28) | exact
+    every = found(paragraph_words=1)
+    assert every == exact.union(*(both(2 * i, n) for i, n in enumerate(lines)))
+    assert found(least_words=28) == both(16, 28) | exact
+    assert found(passage_words=20, paragraph_words=100) == both(12, 20) | both(14, 27) | both(16, 28) | both(100, 20) | both(102, 27) | exact
+
+
+def test_crowded_buckets_connect_what_blocks_connect(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sets, keys = [], list(range(90))
+    for _ in range(6):
+        base = rng.integers(0, 1 << 40, 60)
+        for _ in range(15):
+            own = base.copy()
+            own[: rng.integers(0, 12)] = rng.integers(0, 1 << 40)
+            sets.append(sorted({int(x) for x in own}))
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    edges = [(i, j) for i in keys for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    bands = spark.createDataFrame([(k, [k // 30, 7]) for k in keys], "key long, bands array<long>")
+    table = spark.createDataFrame(list(zip(keys, sets, strict=True)), "key long, shingles array<long>")
+
+    def groups(links):
+        label = list(keys)
+        for a, b in links:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+        return label
+
+    for members, shingles in ((2000, 1_000_000), (7, 1_000_000), (2000, 400)):
+        monkeypatch.setattr(substring, "BLOCK_MEMBERS", members)
+        monkeypatch.setattr(substring, "BLOCK_SHINGLES", shingles)
+        assert groups([(r.a, r.b) for r in substring.near_sets(bands, table).collect()]) == groups(edges)
