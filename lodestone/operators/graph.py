@@ -93,12 +93,12 @@ def compositor_tree(graph: Graph, profile: str) -> DataFrame:
     return _recursive(
         {"nodes": nodes},
         """
-        WITH RECURSIVE tree(owner, compositor_id, kind, place, path) AS (
-          SELECT parent_symbol_id, id, kind, array(ord, 2, id), array(step) FROM {nodes} WHERE parent_symbol_id IS NOT NULL
+        WITH RECURSIVE tree(owner, compositor_id, kind, place, path, seen) AS (
+          SELECT parent_symbol_id, id, kind, array(ord, 2, id), array(step), array(id) FROM {nodes} WHERE parent_symbol_id IS NOT NULL
           UNION ALL
-          SELECT t.owner, n.id, n.kind, t.place || array(n.ord, 2, n.id), array_append(t.path, n.step)
+          SELECT t.owner, n.id, n.kind, t.place || array(n.ord, 2, n.id), array_append(t.path, n.step), array_append(t.seen, n.id)
           FROM tree t JOIN {nodes} n ON n.parent_compositor_id = t.compositor_id
-          WHERE size(t.path) < 1000)
+          WHERE NOT array_contains(t.seen, n.id))
         SELECT owner, compositor_id, kind, place, path FROM tree""",
     )
 
@@ -140,29 +140,39 @@ def content_model(graph: Graph, profile: str, roots: DataFrame | None = None) ->
     )
 
 
+def _first_visits(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, node, grouped, place): what each root reaches, at the first place in document order.
+
+    Level by level: of all ways to a node only the least place goes on, so the
+    rows are as many as root and node pairs, not as paths. Groups lead to groups
+    alone.
+    """
+    key = ["root", "node", "grouped"]
+    seen = cut(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(False).alias("grouped"), F.array().cast("array<int>").alias("place")))
+    new = seen
+    while not new.isEmpty():
+        step = new.join(edges, (F.col("src") == F.col("node")) & (F.col("to_group") | ~F.col("grouped")))
+        step = step.select("root", F.col("dst").alias("node"), F.col("to_group").alias("grouped"), F.concat("place", "step").alias("place")).groupBy(*key).agg(F.min("place").alias("place"))
+        before = seen.select(*key, F.col("place").alias("_before"))
+        new = cut(step.join(before, key, "left").where(F.col("_before").isNull() | (F.col("place") < F.col("_before"))).drop("_before"))
+        seen = cut(seen.unionByName(new).groupBy(*key).agg(F.min("place").alias("place")))
+    return seen
+
+
 def attributes(graph: Graph, profile: str, roots: DataFrame | None = None) -> DataFrame:
     """Attributes of every root, each name once: own first, then those of attribute groups, then the base's.
 
     Columns: root, ordinal (from 1), local_name, attr_use, default_value,
     fixed_value, type_ref, source (self, inherited or attributeGroup),
-    owner_name. Prohibited attributes stay and hide the base's. A walk ends at
-    a symbol it has met, so cycles of groups or bases are harmless.
+    owner_name. Prohibited attributes stay and hide the base's. A root visits
+    each group and base once, at its first place, so cycles and lattices of
+    groups are harmless.
     """
     groups = in_profile(graph, "group_edges", profile).where("ref_kind = 'attributeGroup'")
     groups = groups.select(F.col("parent_symbol_id").alias("src"), F.col("group_symbol_id").alias("dst"), F.lit(True).alias("to_group"), F.array(F.lit(1), "order_index", "id").alias("step"))
     bases = in_profile(graph, "inheritance_edges", profile).select(F.col("symbol_id").alias("src"), F.col("base_symbol_id").alias("dst"), F.lit(False).alias("to_group"), F.array(F.lit(2), F.lit(0), F.lit(0)).alias("step"))
     roots = graph["symbols"].select("id") if roots is None else roots.select("id")
-    walk = _recursive(
-        {"edges": groups.union(bases), "roots": roots},
-        """
-        WITH RECURSIVE walk(root, node, grouped, place, seen) AS (
-          SELECT id, id, false, CAST(array() AS ARRAY<INT>), array(id) FROM {roots}
-          UNION ALL
-          SELECT w.root, e.dst, e.to_group, w.place || e.step, array_append(w.seen, e.dst)
-          FROM walk w JOIN {edges} e ON e.src = w.node
-          WHERE (e.to_group OR NOT w.grouped) AND NOT array_contains(w.seen, e.dst))
-        SELECT root, node, grouped, place FROM walk""",
-    )
+    walk = _first_visits(roots, cut(groups.union(bases)))
     own = in_profile(graph, "attr_edges", profile).select(F.col("symbol_id").alias("node"), "local_name", "attr_use", "default_value", "fixed_value", "type_ref", F.array(F.lit(0), "order_index", "id").alias("own"))
     owners = graph["symbols"].select(F.col("id").alias("node"), F.col("local_name").alias("owner_name"))
     found = walk.join(own, "node").join(owners, "node").withColumn("place", F.concat("place", "own"))

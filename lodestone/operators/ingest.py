@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.qname import BUILTIN, attribute_use, clark, parse_max_occurs, parse_min_occurs, resolve_qname, vocabulary_of
 from lodestone.operators.graph import _recursive
+from lodestone.operators.number import numbered
 from lodestone.staging import cut
 
 COMPOSITORS = ("sequence", "choice", "all")
@@ -97,7 +98,7 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
     built = built.join(top.select("vocabulary_id", "local_name"), ["vocabulary_id", "local_name"], "left_anti")
     built = built.select("vocabulary_id", "local_name", F.lit("simpleType").alias("kind"), F.lit(None).cast("string").alias("type_ref"), "namespace")
     every = top.unionByName(built)
-    ids = cut(every.withColumn("id", F.row_number().over(Window.orderBy(*keys))))
+    ids = cut(numbered(every, keys, "id").withColumn("id", (F.col("id") + 1).cast("int")))
     id_of = lambda name, *on: ids.select(F.col("id").alias(name), *[F.col(k).alias(o) for k, o in zip(keys, on, strict=True)])
     rank = F.array_position(F.array(*map(F.lit, BASE_KINDS)), F.col("_kind"))
     bases = ids.select(F.col("vocabulary_id").alias("base_vocabulary"), F.col("local_name").alias("base_name"), F.col("kind").alias("_kind"), F.col("id").alias("base_symbol_id"))
@@ -128,7 +129,7 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
     deep_order = deep.select("doc", "path", (F.row_number().over(among) - 1).alias("order_index"))
     order = top_order.union(deep_order)
     rows = walk.nodes.join(inside, ["doc", "path"]).join(order, ["doc", "path"]).join(id_of("owner_id", *owner), owner)
-    rows = cut(rows.withColumn("id", F.row_number().over(Window.orderBy("ordinal", "doc", "path"))))
+    rows = cut(numbered(rows, ["ordinal", "doc", "path"], "id").withColumn("id", (F.col("id") + 1).cast("int")))
     number = rows.select("doc", F.col("path").alias("_parent"), F.col("id").alias("compositor_id"))
     up = number.withColumnsRenamed({"_parent": "parent", "compositor_id": "parent_compositor_id"})
     occurs = [parse_min_occurs(_attr("minOccurs")).alias("min_occurs"), parse_max_occurs(_attr("maxOccurs")).alias("max_occurs")]
@@ -141,7 +142,7 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
     named_type = F.min_by("own_type", F.when(F.col("own_type").isNotNull(), F.struct("ordinal", "doc", "path")))
     local_symbols = local.groupBy("owner_id", "owner_vocabulary", "name", "namespace").agg(named_type.alias("type_ref"))
     most = ids.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_most"))
-    local_symbols = cut(local_symbols.join(F.broadcast(most)).withColumn("id", F.row_number().over(Window.orderBy("owner_id", "name")) + F.col("_most")))
+    local_symbols = cut(numbered(local_symbols, ["owner_id", "name"], "id").join(F.broadcast(most)).withColumn("id", (F.col("id") + 1 + F.col("_most")).cast("int")))
     symbols = ids.select("id", *keys, "type_ref", F.lit(None).cast("int").alias("parent_symbol_id")).union(
         local_symbols.select("id", F.col("owner_vocabulary"), F.col("name"), F.lit("element"), "type_ref", "owner_id")
     )
@@ -189,14 +190,14 @@ def ingest(tables: dict[str, DataFrame], profile: str, source_id: int | None = N
 
     # Namespaces, memberships and ids.
     spaces = tables["documents"].select(F.col("target_namespace").alias("uri")).union(built.select("namespace")).distinct()
-    spaces = cut(spaces.select(F.row_number().over(Window.orderBy("uri")).alias("id"), "uri"))
+    spaces = cut(numbered(spaces, ["uri"], "id").select((F.col("id") + 1).cast("int").alias("id"), "uri"))
     members = ids.select(F.col("id").alias("symbol_id"), "namespace").union(local_symbols.select("id", "namespace"))
     members = members.join(spaces.select(F.col("uri").alias("namespace"), F.col("id").alias("namespace_id")), "namespace")
     spark = ids.sparkSession
     own = F.lit(1).alias("profile_id")
 
     def dealt(df: DataFrame, *order: str) -> DataFrame:
-        return df.select(F.row_number().over(Window.orderBy(*order)).alias("id"), *df.columns, own)
+        return numbered(df, [*order], "id").select((F.col("id") + 1).cast("int").alias("id"), *df.columns, own)
 
     graph = {
         "profiles": spark.createDataFrame([(1, profile, None)], "id int, name string, description string"),

@@ -7,11 +7,15 @@ takes the place of the old one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.number import numbered
+from lodestone.staging import cut
+
 
 def _on(keys: list[str], a: str = "o", b: str = "n") -> Column:
     return reduce(Column.__and__, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
@@ -53,8 +57,8 @@ def get_or_create(old: DataFrame, names: DataFrame, key: str, id_col: str = "id"
     """old and a row for each new name, ids going on from the largest in the order of the names."""
     fresh = names.select(key).where(F.col(key).isNotNull()).distinct().join(old.select(key), key, "left_anti")
     most = old.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_most"))
-    numbered = fresh.join(F.broadcast(most)).withColumn(id_col, (F.row_number().over(Window.orderBy(key)) + F.col("_most")).cast(old.schema[id_col].dataType))
-    return old.unionByName(numbered.drop("_most"), allowMissingColumns=True)
+    dealt = numbered(fresh, [key], "_place").join(F.broadcast(most)).withColumn(id_col, (F.col("_place") + 1 + F.col("_most")).cast(old.schema[id_col].dataType))
+    return old.unionByName(dealt.drop("_most", "_place"), allowMissingColumns=True)
 
 
 def update_column(old: DataFrame, changes: DataFrame, key: str, column: str, only_null: bool = False) -> DataFrame:
@@ -83,9 +87,9 @@ def cascade(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFr
     out = dict(tables)
     gone = doomed.select("id").distinct()
     inline = tables["symbols"].join(gone.withColumnRenamed("id", "_id"), F.col("parent_symbol_id") == F.col("_id"), "left_semi").select("id")
-    gone = gone.union(inline).distinct()
+    gone = cut(gone.union(inline).distinct())
     out["symbols"] = delete_where_in(tables["symbols"], "id", gone, "id")
-    out["compositors"] = delete_where_in(tables["compositors"], "parent_symbol_id", gone, "id")
+    out["compositors"] = cut(delete_where_in(tables["compositors"], "parent_symbol_id", gone, "id"))
     live = out["compositors"]
     tops = live.where("parent_compositor_id IS NULL").select("id")
     from lodestone.operators.graph import _recursive
@@ -94,7 +98,7 @@ def cascade(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFr
         {"tops": tops, "nodes": live.select("id", "parent_compositor_id")},
         "WITH RECURSIVE r(id) AS (SELECT id FROM {tops} UNION ALL SELECT n.id FROM r JOIN {nodes} n ON n.parent_compositor_id = r.id) SELECT id FROM r",
     )
-    out["compositors"] = live.join(reach, "id", "left_semi")
+    out["compositors"] = cut(live.join(reach, "id", "left_semi"))
     for table, columns in {"symbol_profiles": ["symbol_id"], "child_edges": ["parent_symbol_id", "child_symbol_id"], "attr_edges": ["symbol_id", "attr_symbol_id"], "group_edges": ["parent_symbol_id", "group_symbol_id"], "inheritance_edges": ["symbol_id", "base_symbol_id"], "enums": ["symbol_id"]}.items():
         if table in out:
             for column in columns:
@@ -160,5 +164,29 @@ def pending_migrations(available: DataFrame, applied: DataFrame) -> DataFrame:
 def insert(old: DataFrame, new: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
     """The new rows with ids that go on from the largest in old, in the given order."""
     most = old.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_most"))
-    place = F.row_number().over(Window.orderBy(*order)) + F.col("_most")
-    return new.join(F.broadcast(most)).withColumn(id_col, place.cast(old.schema[id_col].dataType)).select(*old.columns)
+    dealt = numbered(new, [*order], "_place").join(F.broadcast(most))
+    return dealt.withColumn(id_col, (F.col("_place") + 1 + F.col("_most")).cast(old.schema[id_col].dataType)).select(*old.columns)
+
+
+def rewrite(old: DataFrame, new: DataFrame, column: str, value: object, order: list[str], id_col: str = "id") -> DataFrame:
+    """old without the rows that hold `value` in `column`, and the new rows with ids that go on from the largest left."""
+    kept = old.where(~F.col(column).eqNullSafe(F.lit(value)))
+    return kept.unionByName(insert(kept, new, order, id_col))
+
+
+def record_migrations(applied: DataFrame, pending: DataFrame, at: Column) -> DataFrame:
+    """The migrations table after the pending ones ran: each is recorded once, with the time it was applied."""
+    return applied.unionByName(pending.select("name", "checksum", at.alias("applied_at")))
+
+
+def apply_migrations(available: DataFrame, applied: DataFrame, run: Callable[[str], None], at: Column | None = None) -> DataFrame:
+    """Run the pending migrations by name, one after the other, and record those that ended; one that fails ends the call.
+
+    There are as many as files in a folder, so the driver goes through them.
+    """
+    done = applied
+    for row in pending_migrations(available, applied).collect():
+        run(row["name"])
+        one = applied.sparkSession.createDataFrame([(row["name"], row["checksum"])], "name string, checksum string")
+        done = record_migrations(done, one, at if at is not None else F.current_timestamp())
+    return done

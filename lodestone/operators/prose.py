@@ -66,11 +66,18 @@ def matches_any(fields: list[Column], query: str) -> Column:
     return F.lower(F.concat_ws(" ", *fields)).contains(query.lower())
 
 
+def compared(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, state, sha256) of every file and every manifest entry: fine, changed, missing (no file) or unknown (no entry)."""
+    there = files.select("name", F.sha2("content", 256).alias("sha256"))
+    joined = there.join(manifest.select("name", F.col("sha256").alias("_want")), "name", "full")
+    state = F.when(F.col("sha256").isNull(), "missing").when(F.col("_want").isNull(), "unknown").when(F.col("sha256") != F.col("_want"), "changed").otherwise("fine")
+    return joined.select("name", state.alias("state"), "sha256")
+
+
 def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(name, sha256) of files whose content hashes as the manifest says; another hash is an error."""
-    joined = files.select("name", F.sha2("content", 256).alias("sha256")).join(manifest.select("name", F.col("sha256").alias("_want")), "name")
-    fault = F.concat(F.lit("sha256 of "), F.col("name"), F.lit(" is "), F.col("sha256"))
-    return joined.where(F.when(F.col("_want").isNotNull() & (F.col("_want") != F.col("sha256")), F.raise_error(fault)).otherwise(F.lit(True))).select("name", "sha256")
+    """(name, sha256) of the files, all of which must be in the manifest and as it says, and none missing; else an error."""
+    fault = F.concat(F.lit("sha256 of "), F.col("name"), F.lit(": "), F.col("state"), F.coalesce(F.concat(F.lit(", "), F.col("sha256")), F.lit("")))
+    return compared(files, manifest).where(F.when(F.col("state") != "fine", F.raise_error(fault)).otherwise(F.lit(True))).select("name", "sha256")
 
 
 def docs_index(pages: DataFrame, headings: DataFrame) -> DataFrame:

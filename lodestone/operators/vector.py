@@ -33,15 +33,30 @@ def clamp_limit(limit: int | None, default: int = 5, most: int = 20) -> int:
     return max(1, min(limit or default, most))
 
 
-def search(rows: DataFrame, query: list[float] | Column, limit: int, id_col: str = "id", column: str = "embedding", part: int | None = None, content_type: str | None = None) -> DataFrame:
-    """The `limit` embedded rows nearest to the query by cosine, with `score`; ties to the smaller id. Absent filters filter nothing."""
+def wanted(part: int | None = None, content_type: str | None = None) -> Column:
+    """The filters of a search; absent ones filter nothing."""
+    out = F.lit(True)
     if part is not None:
-        rows = rows.where(F.col("part_number") == part)
+        out = out & (F.col("part_number") == part)
     if content_type is not None:
-        rows = rows.where(F.col("content_type") == content_type)
-    vector = query if isinstance(query, Column) else F.array(*map(F.lit, query))
-    scored = rows.where(F.col(column).isNotNull()).withColumn("score", cosine(F.col(column), vector))
-    return scored.drop(column).orderBy(F.desc_nulls_last("score"), id_col).limit(limit)
+        out = out & (F.col("content_type") == content_type)
+    return out
+
+
+def search(rows: DataFrame, query: list[float] | DataFrame, limit: int, id_col: str = "id", column: str = "embedding", part: int | None = None, content_type: str | None = None) -> DataFrame:
+    """The `limit` embedded rows nearest to the query by cosine, with `score`; ties to the smaller id. Absent filters filter nothing.
+
+    query: the numbers, or a table of one row whose first column holds them.
+    It is one array literal or a broadcast row, so plans do not grow with the
+    dimension; a query's norm is computed once.
+    """
+    spark = rows.sparkSession
+    if not isinstance(query, DataFrame):
+        query = spark.range(1).select(F.from_json(F.lit(str([float(x) for x in query])), "array<double>").alias("q"))
+    asked = query.select(F.transform(F.col(query.columns[0]), lambda x: x.cast("double")).alias("__q")).withColumn("__q_norm", F.sqrt(dot(F.col("__q"), F.col("__q"))))
+    found = rows.where(wanted(part, content_type) & F.col(column).isNotNull()).crossJoin(F.broadcast(asked.limit(1)))
+    score = F.try_divide(dot(F.col(column), F.col("__q")), F.sqrt(dot(F.col(column), F.col(column))) * F.col("__q_norm"))
+    return found.withColumn("score", score).drop(column, "__q", "__q_norm").orderBy(F.desc_nulls_last("score"), id_col).limit(limit)
 
 
 def embed_text(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:

@@ -83,10 +83,30 @@ def replace_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.replace_part(rows, new, 2)
 
 
-@register("snk12_rewrite_profile", sql("SELECT id, profile_id FROM symbol_profiles WHERE profile_id <> 2", "symbol_profiles"))
+@register("snk12_rewrite_profile", sql("SELECT id, symbol_id, profile_id FROM symbol_profiles WHERE profile_id <> 2 UNION ALL SELECT (SELECT max(id) FROM symbol_profiles WHERE profile_id <> 2) + row_number() OVER (ORDER BY symbol_id), symbol_id, 2 FROM symbol_profiles WHERE profile_id = 1 AND symbol_id % 3 = 0", "symbol_profiles"))
 def rewrite_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = tables(spark, sf_dir, "symbol_profiles")["symbol_profiles"].select("id", "profile_id")
-    return merge.delete_where_in(members, "profile_id", spark.createDataFrame([(2,)], "p int"), "p")
+    """A profile's rows go, and new ones take their place with ids that go on."""
+    members = tables(spark, sf_dir, "symbol_profiles")["symbol_profiles"].select("id", "symbol_id", "profile_id")
+    new = members.where("profile_id = 1 AND symbol_id % 3 = 0").select("symbol_id", F.lit(2).alias("profile_id"))
+    return merge.rewrite(members, new, "profile_id", 2, ["symbol_id"]).withColumn("id", F.col("id").cast("long"))
+
+
+@register("snk1_insert", sql("SELECT id, section_id FROM spec_content WHERE id % 2 = 0 UNION ALL SELECT (SELECT max(id) FROM spec_content WHERE id % 2 = 0) + row_number() OVER (ORDER BY section_id NULLS FIRST, id), section_id FROM spec_content WHERE id % 2 = 1", "spec_content"))
+def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables(spark, sf_dir, "spec_content")["spec_content"].select(F.col("id").cast("long").alias("id"), "section_id")
+    old, new = rows.where("id % 2 = 0"), rows.where("id % 2 = 1").withColumnRenamed("id", "was")
+    return old.unionByName(merge.insert(old, new, ["section_id", "was"]))
+
+
+@register("snk16_apply_migrations", """SELECT p_name AS name, max(p_type) AS checksum, bool_or(p_partkey % 3 = 0) AS was_applied FROM part GROUP BY 1""")
+def apply_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Afterwards every file is recorded; those that were keep their time."""
+    part = table(spark, sf_dir, "part")
+    every = part.groupBy(F.col("p_name").alias("name")).agg(F.max("p_type").alias("checksum"))
+    old = F.lit("2020-01-01").cast("timestamp")
+    applied = every.join(part.where("p_partkey % 3 = 0").select(F.col("p_name").alias("name")).distinct(), "name", "left_semi").withColumn("applied_at", old)
+    done = merge.record_migrations(applied, merge.pending_migrations(every, applied), F.lit("2021-01-01").cast("timestamp"))
+    return done.select("name", "checksum", (F.col("applied_at") == old).alias("was_applied"))
 
 
 _GRAPH = ("symbols", "symbol_profiles", "compositors", "child_edges", "attr_edges", "group_edges", "inheritance_edges", "enums")
@@ -144,7 +164,27 @@ def dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHECKED = ("symbols", "profiles", "namespaces", "symbol_profiles", "compositors", "attr_edges", "group_edges", "inheritance_edges")
 
 
-@register("ddl_all_rules")
+_RULES = {
+    "unique": {"profiles": ["name"], "namespaces": ["uri"], "symbols": ["vocabulary_id", "local_name", "kind", "parent_symbol_id"], "symbol_profiles": ["symbol_id", "profile_id"], "inheritance_edges": ["symbol_id", "profile_id"]},
+    "domain": {("compositors", "kind"): "'sequence', 'choice', 'all'", ("attr_edges", "attr_use"): "'required', 'optional', 'prohibited'", ("group_edges", "ref_kind"): "'group', 'attributeGroup'", ("inheritance_edges", "relation"): "'extension', 'restriction'"},
+    "reference": {
+        "symbols": {"parent_symbol_id": "symbols"},
+        "symbol_profiles": {"symbol_id": "symbols", "profile_id": "profiles", "namespace_id": "namespaces"},
+        "compositors": {"parent_symbol_id": "symbols", "parent_compositor_id": "compositors", "profile_id": "profiles"},
+        "attr_edges": {"symbol_id": "symbols", "attr_symbol_id": "symbols", "profile_id": "profiles"},
+        "group_edges": {"parent_symbol_id": "symbols", "compositor_id": "compositors", "group_symbol_id": "symbols", "profile_id": "profiles"},
+        "inheritance_edges": {"symbol_id": "symbols", "base_symbol_id": "symbols", "profile_id": "profiles"},
+    },
+}
+_RULES_SQL = " UNION ALL ".join([
+    *[f"SELECT '{t}' AS \"table\", 'unique {', '.join(k)}' AS rule, (SELECT count(*) FROM (SELECT 1 FROM {t} GROUP BY {', '.join(k)} HAVING count(*) > 1)) AS n" for t, k in _RULES["unique"].items()],
+    *[f"SELECT '{t}', 'domain of {c}', (SELECT count(*) FROM {t} WHERE {c} IS NULL OR {c} NOT IN ({d}))" for (t, c), d in _RULES["domain"].items()],
+    "SELECT 'compositors', 'one parent', (SELECT count(*) FROM compositors WHERE (parent_symbol_id IS NULL) = (parent_compositor_id IS NULL))",
+    *[f"SELECT '{t}', '{c} in {of}', (SELECT count(*) FROM {t} x WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {of} y WHERE y.id = x.{c}))" for t, refs in _RULES["reference"].items() for c, of in refs.items()],
+])
+
+
+@register("ddl_all_rules", sql(_RULES_SQL, *_CHECKED))
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.violations(tables(spark, sf_dir, *_CHECKED))
 

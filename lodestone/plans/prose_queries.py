@@ -22,29 +22,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _COSINE = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1))"
 
 
+def _first_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the vector with the smallest id."""
+    return table(spark, sf_dir, "embeddings").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+
+
 @register("vec1_topk", f"SELECT vec_id, label, round({_COSINE}, 6) AS score FROM embeddings ORDER BY {_COSINE} DESC, vec_id LIMIT 5")
 def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    query = rows.orderBy("vec_id").first()["embedding"]
-    return vector.search(rows, query, 5, "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
+    return vector.search(rows, _first_vector(spark, sf_dir), 5, "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @register("vec1_filtered_search", sql(f"SELECT id, part_number, round({_COSINE}, 6) AS score FROM spec_content WHERE embedding IS NOT NULL AND part_number = 2 AND content_type = 'text' ORDER BY {_COSINE} DESC, id LIMIT 20", "spec_content"))
 def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    query = table(spark, sf_dir, "embeddings").orderBy("vec_id").first()["embedding"]
-    found = vector.search(content(spark, sf_dir), query, vector.clamp_limit(99), part=2, content_type="text")
+    found = vector.search(content(spark, sf_dir), _first_vector(spark, sf_dir), vector.clamp_limit(99), part=2, content_type="text")
     return found.select("id", "part_number", F.round("score", 6).alias("score"))
 
 
-@register("vec3_dimensions", "SELECT count(*) FILTER (WHERE len(embedding) <> 64) AS wrong, count(*) AS n FROM embeddings")
+@register("vec3_dimensions", "SELECT vec_id, CAST(len(embedding) + vec_id % 2 AS INT) AS size FROM embeddings WHERE len(embedding) + vec_id % 2 <> 64")
 def dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    return rows.agg(F.count_if(F.size("embedding") != 64).alias("wrong"), F.count("*").alias("n"))
+    """Every second vector is made longer by one, and found."""
+    longer = F.when(F.col("vec_id") % 2 == 1, F.concat("embedding", F.array(F.lit(0.0).cast("float")))).otherwise(F.col("embedding"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", longer.alias("embedding"))
+    return vector.wrong_dimension(rows, dimensions=64).select("vec_id", F.size("embedding").alias("size"))
 
 
-@register("vec4_batch_embedding")
+@register("vec4_batch_embedding", "SELECT item_id, CAST(1024 AS INT) AS size, CASE WHEN trim(text) = '' THEN 0::DOUBLE ELSE 1::DOUBLE END AS norm FROM benchmark")
 def batch_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", "embedding")
+    """Each row gets a vector of its own, of the full length and of norm 1."""
+    found = vector.embed(table(spark, sf_dir, "benchmark"), "text")
+    return found.select("item_id", F.size("embedding").alias("size"), F.round(F.sqrt(vector.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
 
 
 @register("flt4_section_prefix", sql("SELECT id, section_id, part_number FROM spec_content WHERE section_id LIKE '17.3%' ORDER BY section_id, id", "spec_content"))
@@ -59,8 +66,10 @@ def section_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("flt3_optional_filters", sql("SELECT count(*) AS every, count(*) FILTER (WHERE part_number = 1) AS by_part, count(*) FILTER (WHERE content_type = 'table') AS by_type, count(*) FILTER (WHERE part_number = 1 AND content_type = 'table') AS by_both FROM spec_content", "spec_content"))
 def optional_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part, kind = F.col("part_number") == 1, F.col("content_type") == "table"
-    return content(spark, sf_dir).agg(F.count("*").alias("every"), F.count_if(part).alias("by_part"), F.count_if(kind).alias("by_type"), F.count_if(part & kind).alias("by_both"))
+    """The search's filters, absent and given; every case is counted in one pass."""
+    rows = content(spark, sf_dir).select("part_number", "content_type")
+    cases = {"every": {}, "by_part": {"part": 1}, "by_type": {"content_type": "table"}, "by_both": {"part": 1, "content_type": "table"}}
+    return rows.agg(*[F.count_if(vector.wanted(**case)).alias(name) for name, case in cases.items()])
 
 
 @register("ds1_distinct_sections", sql("SELECT DISTINCT part_number, section_id, title FROM spec_content WHERE title IS NOT NULL AND section_id IS NOT NULL", "spec_content"))
@@ -124,14 +133,14 @@ def header_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Documents as page-marked text: line i of a document is a heading where (doc_id + i) % 4 = 0, a marker where it is 2.
-_LINES = """lines AS (SELECT doc_id, CAST(i AS INT) AS i, CASE (doc_id + i) % 4 WHEN 0 THEN '**' || (i % 9 + 1) || '.' || (doc_id % 7 + 1) || '** **' || replace(replace(replace(CASE WHEN length(trim(line)) = 0 THEN 'A' ELSE substr(trim(line), 1, 12) END, '*', ''), '_', ''), '.', '') || '**'
+_LINES = """lines AS (SELECT doc_id, CAST(i AS INT) AS i, CASE (doc_id + i) % 4 WHEN 0 THEN '**' || (i % 9 + 1) || '.' || (doc_id % 7 + 1) || '** **' || replace(replace(replace(CASE WHEN length(trim(line)) = 0 THEN 'A' ELSE trim(line) END, '*', ''), '_', ''), '.', '') || '**'
   WHEN 2 THEN '<!--page:' || (i + 20) || '-->' ELSE line END AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))"""
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    short = lambda x: F.replace(F.replace(F.replace(F.when(F.length(F.trim(x)) == 0, "A").otherwise(F.substring(F.trim(x), 1, 12)), F.lit("*"), F.lit("")), F.lit("_"), F.lit("")), F.lit("."), F.lit(""))
+    short = lambda x: F.replace(F.replace(F.replace(F.when(F.length(F.trim(x)) == 0, "A").otherwise(F.trim(x)), F.lit("*"), F.lit("")), F.lit("_"), F.lit("")), F.lit("."), F.lit(""))
 
     def line(x, i):  # noqa: ANN001, ANN202
         kind = (F.col("doc_id") + i) % 4
@@ -152,10 +161,19 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.sections(_marked(spark, sf_dir)).select("doc_id", F.col("ordinal").cast("int").alias("ordinal"), "section_id", "page_start", "page_end", "depth", "parent_id")
 
 
-@register("fn23_chunks")
+@register("fn23_chunks", f"""WITH RECURSIVE {_LINES},
+  p AS (SELECT *, greatest(1, coalesce(last_value(page IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) - 10, 11)) AS printed
+    FROM (SELECT doc_id, i, CASE WHEN line LIKE '<!--page:%' THEN CAST(regexp_extract(line, 'page:([0-9]+)', 1) AS INT) END AS page,
+      CASE WHEN line LIKE '<!--page:%' THEN '' ELSE regexp_replace(line, '^\\s+|\\s+$', '', 'g') END AS t FROM lines)),
+  n AS (SELECT doc_id, t, printed, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS k FROM p WHERE t <> ''),
+  c AS (SELECT doc_id, k, 0 AS chunk, length(t) AS size FROM n WHERE k = 1
+    UNION ALL SELECT n.doc_id, n.k, CASE WHEN c.size + length(n.t) > {X.CHUNK_CHARS} THEN c.chunk + 1 ELSE c.chunk END,
+      CASE WHEN c.size + length(n.t) > {X.CHUNK_CHARS} THEN length(n.t) ELSE c.size + 2 + length(n.t) END FROM c JOIN n ON n.doc_id = c.doc_id AND n.k = c.k + 1)
+SELECT doc_id, chunk AS chunk_index, CAST(min_by(printed, k) AS INT) AS page_number, md5(string_agg(t, chr(10) || chr(10) ORDER BY k)) AS digest FROM c JOIN n USING (doc_id, k) GROUP BY 1, 2""")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = X.sections(_marked(spark, sf_dir)).withColumn("page_offset", F.lit(10))
-    return X.chunk_sections(found, ["doc_id", "ordinal", "section_id"])
+    """Whole page-marked documents at the real limit; a line is a paragraph."""
+    docs = _marked(spark, sf_dir).select("doc_id", F.col("md").alias("content"), F.lit(11).alias("page_start"), "page_offset")
+    return X.chunk_sections(docs, ["doc_id"], separator=r"\n").select("doc_id", "chunk_index", "page_number", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @register("fn23_fixed_paragraphs", """SELECT doc_id, count(*) AS paragraphs, CAST(max(length(trim(p))) AS INT) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) WHERE trim(p) <> '' GROUP BY 1""")
@@ -172,14 +190,14 @@ def chunk_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text <> ''").agg(F.round(F.avg(n)).cast("long").alias("average"), F.sum(n).alias("total"), F.count("*").alias("n"))
 
 
-_TAGGED = "'<!--page:' || doc_id || '-->' || substr(text, 1, 40) || '<!--page:' || (doc_id + 1) || '-->'"
+_TAGGED = "'<!--page:' || doc_id || '-->' || text || '<!--page:' || (doc_id + 1) || '-->'"
 
 
 @register("fn24_page_markers", f"SELECT doc_id, CAST(regexp_extract_all(t, '<!--page:([0-9]+)-->', 1)[-1] AS INT) AS page, md5(regexp_replace(t, '<!--page:[0-9]+-->', '', 'g')) AS digest FROM (SELECT doc_id, {_TAGGED} AS t FROM documents) WHERE trim(t) = t")
 def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tag = lambda n: F.concat(F.lit("<!--page:"), n.cast("string"), F.lit("-->"))
-    tagged = docs.select("doc_id", F.concat(tag(F.col("doc_id")), F.substring("text", 1, 40), tag(F.col("doc_id") + 1)).alias("t"))
+    tagged = docs.select("doc_id", F.concat(tag(F.col("doc_id")), F.col("text"), tag(F.col("doc_id") + 1)).alias("t"))
     plain = F.regexp_replace("t", X.MARKER, "")
     return tagged.select("doc_id", X.take_markers(F.col("t"))["page"].alias("page"), F.md5(plain.cast("binary")).alias("digest"))
 
@@ -197,10 +215,12 @@ def parent_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", "s", X.parent_section(F.col("s")).alias("parent"), X.section_depth(F.col("s")).alias("depth"))
 
 
-@register("fn19_line_tests", "SELECT doc_id, line LIKE '**%' OR line LIKE '#%' AS marked, regexp_matches(line, '\\.{2,}') AS toc, trim(regexp_replace(regexp_replace(line, '\\*+|__', '', 'g'), '\\s+', ' ', 'g')) AS plain FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)")
+@register("fn19_line_tests", "SELECT doc_id, CAST(i AS INT) AS i, line LIKE '**%' OR line LIKE '#%' AS marked, contains(line, '..') AS toc, trim(regexp_replace(regexp_replace(line, '\\*+|__', '', 'g'), '\\s+', ' ', 'g')) AS plain FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)")
 def line_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.split("text", "\n", -1)[0]
-    return table(spark, sf_dir, "documents").select("doc_id", X.has_heading_markup(line).alias("marked"), X.looks_like_toc(line).alias("toc"), X.strip_emphasis(line).alias("plain"))
+    """Every line of every document."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    line = F.col("line")
+    return lines.select("doc_id", "i", X.has_heading_markup(line).alias("marked"), X.looks_like_toc(line).alias("toc"), X.strip_emphasis(line).alias("plain"))
 
 
 @register("fn26_page_sheets", "SELECT o_orderkey, greatest(1, least(CAST(o_orderkey % 6000 AS INT) - 100, 5016)) + 10 AS sheet, '/spec.pdf#page=' || (greatest(1, least(CAST(o_orderkey % 6000 AS INT) - 100, 5016)) + 10) AS url FROM orders")
@@ -249,11 +269,12 @@ def docs_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.search_index(_index(spark, sf_dir), "THE").select("link")
 
 
-@register("src8_sha256_verify", "SELECT CAST(item_id AS VARCHAR) AS name, sha256(text) AS sha256 FROM benchmark")
+@register("src8_sha256_verify", """SELECT CAST(item_id AS VARCHAR) AS name, CASE item_id % 5 WHEN 1 THEN 'missing' WHEN 2 THEN 'unknown' WHEN 3 THEN 'changed' ELSE 'fine' END AS state, CASE WHEN item_id % 5 <> 1 THEN sha256(text) END AS sha256 FROM benchmark""")
 def sha256_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content"))
-    manifest = files.select("name", F.sha2("content", 256).alias("sha256"))
-    return prose.verified(files, manifest)
+    """Some files are not there, some are in no manifest, and some are not what the manifest says."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), (F.col("item_id") % 5).alias("k"), F.col("text").cast("binary").alias("content"))
+    manifest = rows.where("k <> 2").select("name", F.when(F.col("k") == 3, F.sha2(F.concat("content", F.lit(b"!")), 256)).otherwise(F.sha2("content", 256)).alias("sha256"))
+    return prose.compared(rows.where("k <> 1").select("name", "content"), manifest)
 
 
 @register("src18_shape_guides", "SELECT CAST(p_brand AS VARCHAR) AS name, list_sort(list(DISTINCT p_type)) AS guides, CAST(min(p_partkey) AS BIGINT) AS place FROM part GROUP BY 1")

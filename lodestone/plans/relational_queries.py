@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import qname as Q
-from lodestone.functions.text import percent, slug
+from lodestone.functions.text import listed, percent, slug, strip
+from lodestone.operators.number import numbered
 from lodestone.operators import catalog, prose
 from lodestone.operators.graph import in_profile
 from lodestone.plans.derived import sql, tables
 from lodestone.plans.prose_queries import table
 from lodestone.plans.registry import register
+from lodestone.sources.files import manifest_rows
 
 
 @register("flt1_equality", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#7' AND p_type = 'PROMO'")
@@ -166,17 +168,17 @@ def first_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables(spark, sf_dir, "symbols")["symbols"].withColumn("rn", F.row_number().over(by)).where("rn = 1").select("vocabulary_id", "local_name", "kind", "id")
 
 
-@register("so1_nulls_last", sql("SELECT id, section_id, CAST(row_number() OVER (ORDER BY section_id NULLS LAST, id) AS INT) AS place FROM spec_content ORDER BY section_id NULLS LAST, id LIMIT 500", "spec_content"))
+@register("so1_nulls_last", sql("SELECT id, section_id, row_number() OVER (ORDER BY section_id NULLS LAST, id) - 1 AS place FROM spec_content", "spec_content"))
 def nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [F.asc_nulls_last("section_id"), F.asc("id")]
-    found = tables(spark, sf_dir, "spec_content")["spec_content"].select("id", "section_id").orderBy(*order).limit(500)
-    return found.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    """Every row with its place, from 0; nulls come last."""
+    rows = tables(spark, sf_dir, "spec_content")["spec_content"].select("id", "section_id")
+    return numbered(rows, [F.col("section_id").isNull(), F.asc_nulls_last("section_id"), F.asc("id")], "place")
 
 
 @register("so3_text_order", sql("SELECT section_id, CAST(row_number() OVER (ORDER BY section_id) AS INT) AS place FROM (SELECT DISTINCT section_id FROM spec_content WHERE section_id IS NOT NULL)", "spec_content"))
 def text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables(spark, sf_dir, "spec_content")["spec_content"].where("section_id IS NOT NULL").select("section_id").distinct()
-    return found.withColumn("place", F.row_number().over(Window.orderBy("section_id")))
+    return numbered(found, [F.asc("section_id")], "place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 @register("lm2_single_row", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#3' ORDER BY p_partkey LIMIT 1")
@@ -190,10 +192,10 @@ def union_of_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))).alias("vocabularies"))
 
 
-@register("set5_difference", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("set5_difference", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 1)")
 def difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return customers.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    return customers.join(table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1").select(F.col("o_custkey").alias("k")), "k", "left_anti")
 
 
 _RAW = "CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'w:' || p_name WHEN 2 THEN '{urn:x}' || p_name WHEN 3 THEN '{urn:x}' WHEN 4 THEN '{urn' WHEN 5 THEN 'q:' || p_name ELSE p_name END"
@@ -206,10 +208,10 @@ def _raw() -> object:
 
 @register("fn1_parse_qname", f"""SELECT p_partkey, p_partkey % 7 IN (1, 2, 6) AS ok, CASE p_partkey % 7 WHEN 1 THEN '{Q.DEFAULT_NAMESPACE}' WHEN 2 THEN 'urn:x' WHEN 6 THEN '{Q.DEFAULT_NAMESPACE}' END AS namespace,
   CASE WHEN p_partkey % 7 IN (1, 2, 6) THEN p_name END AS local_name, CASE WHEN p_partkey % 7 = 1 THEN 'w' END AS prefix,
-  CASE p_partkey % 7 WHEN 0 THEN 'empty qname' WHEN 3 THEN 'missing local name in Clark qname' WHEN 4 THEN 'malformed Clark qname (missing }})' WHEN 5 THEN 'unknown prefix ''q''' END AS reason FROM part""")
+  CASE p_partkey % 7 WHEN 0 THEN 'blank' WHEN 3 THEN 'no_name' WHEN 4 THEN 'open_brace' WHEN 5 THEN 'prefix' END AS code FROM part""")
 def parse_qname(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "part").select("p_partkey", Q.parse_qname(_raw()).alias("q"))
-    return found.select("p_partkey", "q.ok", "q.namespace", "q.local_name", "q.prefix", F.regexp_replace("q.reason", r"(unknown prefix '[^']*').*", "$1").alias("reason"))
+    return found.select("p_partkey", "q.ok", "q.namespace", "q.local_name", "q.prefix", "q.code")
 
 
 @register("fn2_known_prefixes", "SELECT list_sort(" + str(list(Q.PREFIXES)) + ") AS prefixes")
@@ -277,7 +279,7 @@ def last_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("fn12_trim", "SELECT page_id, trim('  ' || url || ' ') AS url FROM pages")
 def trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.concat(F.lit("  "), "url", F.lit(" "))).alias("url"))
+    return table(spark, sf_dir, "pages").select("page_id", strip(F.concat(F.lit("  "), "url", F.lit(" "))).alias("url"))
 
 
 @register("fn14_slug", "SELECT p_partkey, regexp_replace(lower(p_name || '  ' || p_type), '\\s+', '-', 'g') AS slug FROM part")
@@ -295,9 +297,13 @@ def sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("digest"))
 
 
-@register("fn29_scalar_or_array", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [p_brand, p_type] ELSE [p_type] END AS kinds FROM part")
+@register("fn29_scalar_or_array", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN [p_brand, p_type] WHEN 1 THEN [p_type] WHEN 2 THEN [p_partkey::VARCHAR] ELSE [] END AS kinds FROM part")
 def scalar_or_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.array("p_brand", "p_type")).otherwise(F.array("p_type")).alias("kinds"))
+    """A JSON field that holds an array, a string, a number or null."""
+    k = F.col("p_partkey") % 4
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    raw = F.when(k == 0, F.to_json(F.array("p_brand", "p_type"))).when(k == 1, quoted("p_type")).when(k == 2, F.col("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", listed(raw).alias("kinds"))
 
 
 @register("src13_table_scan", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_suppkey = 7")
@@ -310,10 +316,9 @@ def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.parts(spark).select("key", F.size("content_types").alias("n"), F.col("families")[0].alias("family"))
 
 
-@register("src10_manifest", "SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1")
+@register("src10_manifest", "SELECT CAST(p_partkey AS VARCHAR) AS name, p_name AS url, sha256(p_type) AS sha256 FROM part")
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest is one JSON document with an array of sources."""
-    part = table(spark, sf_dir, "part").select(F.struct(F.col("p_name").alias("name")).alias("s"))
-    whole = part.agg(F.to_json(F.struct(F.collect_list("s").alias("sources"))).alias("json"))
-    sources = whole.select(F.explode(F.from_json("json", "struct<sources:array<struct<name:string>>>")["sources"]).alias("s"))
-    return sources.select("s.name").groupBy("name").agg(F.count("*").alias("n"))
+    """A manifest is one JSON document with an array of sources, which the reader takes apart."""
+    own = F.struct(F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("url"), F.sha2("p_type", 256).alias("sha256"))
+    whole = table(spark, sf_dir, "part").agg(F.to_json(F.struct(F.collect_list(own).alias("sources"))).alias("value"))
+    return manifest_rows(whole).select("name", "url", "sha256")

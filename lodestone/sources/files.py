@@ -16,14 +16,19 @@ SECTIONS = "sectionId string, title string, pageStart int, pageEnd int, content
 CHUNKS = "sectionId string, sectionTitle string, content string, embeddingText string, contentType string, pageNumber int, chunkIndex int, embedding array<float>"
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The sources of a JSON manifest, in order; a manifest without any is an error."""
-    read = spark.read.schema(MANIFEST).json(path, multiLine=True)
-    empty = F.coalesce(F.size("sources"), F.lit(0)) == 0
-    checked = read.select(F.when(empty, F.raise_error(F.lit("the manifest lists no sources"))).otherwise(F.col("sources")).alias("sources"))
+def manifest_rows(documents: DataFrame) -> DataFrame:
+    """The sources of manifests, in order, from their JSON (column value); one that lists none is an error."""
+    sources = F.from_json("value", MANIFEST)["sources"]
+    empty = F.coalesce(F.size(sources), F.lit(0)) <= 0
+    checked = documents.select(F.when(empty, F.raise_error(F.lit("the manifest lists no sources"))).otherwise(sources).alias("sources"))
     return checked.select(F.posexplode("sources").alias("ordinal", "s")).select("ordinal", "s.*")
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The sources of a JSON manifest, in order."""
+    return manifest_rows(spark.read.text(path, wholetext=True))
+
+
 def source(spark: SparkSession, path: str, name: str) -> dict:
     row = manifest(spark, path).where(F.col("name") == name).first()
     if row is None:

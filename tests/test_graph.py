@@ -133,7 +133,7 @@ def test_tools(spark, graph):
     assert "`tone` (required)" in engine.call("attributes", {"qname": "w:note"})
     assert engine.call("enum", {"qname": "w:Side"}).index("both") < engine.call("enum", {"qname": "w:Side"}).index("right")
     assert "Not found" in engine.call("enum", {"qname": "w:Base"})
-    assert "unknown prefix 'zz'" in engine.call("type", {"qname": "zz:A"})
+    assert "no namespace goes by the prefix zz" in engine.call("type", {"qname": "zz:A"})
     assert "Did you mean" in engine.call("type", {"qname": "s:Base"})
     assert "wml-main" in engine.call("namespace", {"uri": W})
     assert "sharedTypes" in engine.call("namespace", {"uri": "urn:x/SHAREDTYPES//"})
@@ -153,3 +153,29 @@ def test_tools(spark, graph):
         raise OSError
 
     assert "rect" in Engine(spark, graph, record=broken).call("preset_shape", {"shape": "rect"})
+
+
+def test_lattices_of_groups_are_walked_once(spark):
+    """Each level refers twice to the next: two to the depth ways, one visit each."""
+    depth = 24
+    groups = [(i * 10 + k, i, None, i + 1, 1, "attributeGroup", 1, 1, k) for i in range(1, depth) for k in (0, 1)]
+    groups.append((900, depth, None, 1, 1, "attributeGroup", 1, 1, 0))  # and a cycle
+    tables = {
+        "profiles": spark.createDataFrame([(1, "transitional")], "id int, name string"),
+        "symbols": spark.createDataFrame([(i, f"g{i}") for i in range(1, depth + 1)], "id int, local_name string"),
+        "group_edges": spark.createDataFrame(groups, "id int, parent_symbol_id int, compositor_id int, group_symbol_id int, profile_id int, ref_kind string, min_occurs int, max_occurs int, order_index int"),
+        "inheritance_edges": spark.createDataFrame([], "symbol_id int, base_symbol_id int, profile_id int"),
+        "attr_edges": spark.createDataFrame([(i, i, f"a{i}", 1, "optional", None, None, None, 0) for i in range(1, depth + 1)], "id int, symbol_id int, local_name string, profile_id int, attr_use string, default_value string, fixed_value string, type_ref string, order_index int"),
+    }
+    got = G.attributes(tables, "transitional", tables["symbols"].where("id = 1")).orderBy("ordinal").collect()
+    assert [r.local_name for r in got] == [f"a{i}" for i in range(1, depth + 1)]
+    assert [r.source for r in got] == ["self"] + ["attributeGroup"] * (depth - 1)
+
+
+def test_compositors_end_at_one_they_have_met(spark):
+    rows = [(1, 7, None), (2, None, 1), (3, None, 2), (4, 8, 5), (5, None, 4)]
+    tables = {
+        "profiles": spark.createDataFrame([(1, "transitional")], "id int, name string"),
+        "compositors": spark.createDataFrame([(i, s, p, 1, "sequence", 1, 1, 0) for i, s, p in rows], "id int, parent_symbol_id int, parent_compositor_id int, profile_id int, kind string, min_occurs int, max_occurs int, order_index int"),
+    }
+    assert sorted((r.owner, r.compositor_id, len(r.path)) for r in G.compositor_tree(tables, "transitional").collect()) == [(7, 1, 1), (7, 2, 2), (7, 3, 3), (8, 4, 1), (8, 5, 2)]

@@ -12,11 +12,33 @@ def headings(spark, lines):
 
 
 def test_headings(spark):
-    assert headings(spark, ["**12.3.2** **Title**", "#### 12.3.2 Title", "### 12.3.2. **Title**", "# 4. Terms", "#4 shrinks it", "# 4 Terms", "**17** . Running Header", "**9.1** **Entry ..... 12**",
-                            "| **1.1** **Cell** |", "plain 1.2 text", "**17.3**", "**Annex A** **(normative)** **Names**", "#### **annex b. Things**", "**Annex C**", "Annex D Title", "**1.2** **(a) Part**"]) == [
-        ("12.3.2", "Title"), ("12.3.2", "Title"), ("12.3.2", "Title"), ("4", "Terms"), None, None, None, None,
-        None, None, None, ("Annex A", "(normative) Names"), ("Annex B", "Things"), None, None, ("1.2", "(a) Part"),
-    ]
+    cases = {
+        "**3.4** **Gadgets**": ("3.4", "Gadgets"),
+        "**8** **Widgets and (more)**": ("8", "Widgets and (more)"),
+        "**7.1** **(early) draft**": ("7.1", "(early) draft"),
+        "## 6.10.2 Knobs": ("6.10.2", "Knobs"),
+        "## 6.10.2. **Knobs**": ("6.10.2", "Knobs"),
+        "### **5.5 Dials__ and** levers": ("5.5", "Dials and levers"),
+        "# 9. Switches": ("9", "Switches"),
+        "**Annex Q** **(informative)** **Lists**": ("Annex Q", "(informative) Lists"),
+        "## **annex m: Tables**": ("Annex M", "Tables"),
+        "# 9 Switches": None,  # the top level needs its full stop
+        "#9 lives": None,
+        "# **9.1** Switches": None,  # the number stands in its own emphasis
+        "**22** . Page header": None,
+        "**2.3** **Knobs .... 41**": None,
+        "| **2.3** **Knobs** |": None,
+        "see 2.3 Knobs": None,
+        "**2.3**": None,
+        "**2..3** **Knobs**": None,
+        "**2.3** **- Knobs**": None,
+        "**2.3** **Knobs** more": None,
+        "**Annex Q**": None,
+        "Annex Q Lists": None,
+        "**Annex QR** **Lists**": None,
+        "": None,
+    }
+    assert dict(zip(cases, headings(spark, list(cases)), strict=True)) == cases
 
 
 def sections(spark, md, offset=0):
@@ -35,11 +57,43 @@ def test_sections(spark):
 
 
 def test_chunks(spark):
-    a, b, c = "a" * 5900, "b" * 500, "c" * 5900
-    rows = [(1, f"<!--page:229-->\n\n{a}\n\n<!--page:230-->\n\n{b}\n\n<!--page:232-->\n\n{c}", 219, 10), (2, "  \n\n ", 1, 0), (3, "x" * 3000 + "\n\n" + "y" * 3000 + "\n\nz", 1, 0)]
+    page = lambda n: f"<!--page:{n}-->"
+    long, short = "k" * 6001, "m" * 40
+    rows = [
+        (1, "\n\n".join([short, page(52), long, short, page(53), page(55), short]), 33, 18),  # the long one stands alone
+        (2, "\n\n".join(["p" * 2500] * 2 + ["q" * 998, "r"]), 2, 0),  # 2500 + 2 + 2500 + 998 fit, one more does not
+        (3, " \n\n" + page(9) + "\n\n ", 4, 3),
+        (4, None, 1, 0),
+    ]
     df = spark.createDataFrame(rows, "id int, content string, page_start int, page_offset int")
     got = X.chunk_sections(df, ["id"]).orderBy("id", "chunk_index").collect()
-    assert [(r.id, r.chunk_index, r.page_number, len(r.content)) for r in got] == [(1, 0, 219, 5900), (1, 1, 220, 500), (1, 2, 222, 5900), (3, 0, 1, 6002), (3, 1, 1, 1)]
+    assert [(r.id, r.chunk_index, r.page_number, len(r.content)) for r in got] == [(1, 0, 33, 40), (1, 1, 34, 6001), (1, 2, 34, 82), (2, 0, 2, 6002), (2, 1, 2, 1)]
+
+
+def test_json_lists(spark):
+    df = spark.createDataFrame([('["a","b"]',), ('"a"',), (" 7 ",), ("[]",), (None,)], "j string")
+    assert [r[0] for r in df.select(X.listed(F.col("j"))).collect()] == [["a", "b"], ["a"], ["7"], [], []]
+
+
+def test_numbers_follow_the_order_over_all_ranges(spark):
+    from lodestone.operators.number import numbered
+
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN id % 7 END AS k").repartition(6)
+    got = numbered(df, [F.asc_nulls_last("k"), "id"], "place").orderBy("place").collect()
+    want = sorted(((i % 3 == 0, i % 7 if i % 3 else 0, i) for i in range(5000)))
+    assert [r.place for r in got] == list(range(5000)) and [r.id for r in got] == [x[2] for x in want]
+    assert numbered(df.limit(0), ["id"], "place").collect() == []
+
+
+def test_names_that_cannot_be_read(spark):
+    raw = ["", None, "{urn:a", "{urn:a}", "zz:name", "w:body", "{urn:a}b:c", "body", "w:", "{}x"]
+    df = spark.createDataFrame([(x,) for x in raw], "r string").select(Q.parse_qname(F.col("r")).alias("q"))
+    got = [r.q for r in df.collect()]
+    assert [q.code for q in got] == ["blank", "blank", "open_brace", "no_name", "prefix", None, None, None, None, None]
+    assert all((q.reason is None) == q.ok == (q.code is None) for q in got)
+    main = Q.DEFAULT_NAMESPACE
+    assert [(q.namespace, q.local_name, q.prefix) for q in got[5:]] == [(main, "body", "w"), ("urn:a", "b:c", None), (main, "body", None), (main, "", "w"), ("", "x", None)]
+    assert "zz" in got[4].reason and "xsi" in got[4].reason
 
 
 def test_embedding_text(spark):
@@ -114,10 +168,15 @@ def test_conflicting_guides_fail(spark):
         prose.guides(df.union(spark.createDataFrame([("a", ["y"], 4)], df.schema))).collect()
 
 
-def test_hash_mismatch_fails(spark):
-    files = spark.createDataFrame([("f", bytearray(b"x"))], "name string, content binary")
-    with pytest.raises(Exception, match="sha256 of f"):
-        prose.verified(files, spark.createDataFrame([("f", "00")], "name string, sha256 string")).collect()
+def test_files_are_held_against_the_manifest(spark):
+    files = spark.createDataFrame([("f", bytearray(b"x")), ("g", bytearray(b"y"))], "name string, content binary")
+    own = files.select("name", F.sha2("content", 256).alias("sha256"))
+    assert prose.verified(files, own).count() == 2
+    other = spark.createDataFrame([("f", "00")], "name string, sha256 string")
+    assert {(r.name, r.state) for r in prose.compared(files, other.union(spark.createDataFrame([("h", "11")], other.schema))).collect()} == {("f", "changed"), ("g", "unknown"), ("h", "missing")}
+    for have, said, fault in ((files.limit(1), other, "sha256 of f: changed"), (files, own.limit(1), "unknown"), (files.limit(1), own, "missing")):
+        with pytest.raises(Exception, match=fault):
+            prose.verified(have, said).collect()
 
 
 def test_search_limits_and_embedding(spark):
