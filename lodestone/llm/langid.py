@@ -128,7 +128,9 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str, np.ndarra
     """Prototypes by language, from about `per_language` documents each outside the held-out part.
 
     Rare languages give all their documents. Tasks add up their documents'
-    vectors; the driver gets one vector per language.
+    vectors; the driver gets one vector per language. Rows without an id or a
+    lang are not learnt from; null, empty and wordless texts add nothing. No
+    rows give no prototypes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -172,7 +174,13 @@ def identify(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
 
 
 def languages(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score. Repeated rows get the same; other columns are ignored."""
-    held = (remainder("doc_id", PARTS) == HELD).alias("held_out")
+    """One row per row of docs: doc_id, held_out, lang_pred, score.
+
+    Repeated rows get the same; null texts and texts without a letter are
+    `und`, long texts are read whole. A row without an id is not held out, nor
+    is it learnt from. An empty table gives an empty result; other columns are
+    ignored.
+    """
+    held = F.coalesce(remainder("doc_id", PARTS) == HELD, F.lit(False)).alias("held_out")
     done = lean(docs).select("doc_id", held, identify(F.col("text"), prototypes).alias("_found"))
     return done.select("doc_id", "held_out", "_found.lang_pred", "_found.score")

@@ -2,9 +2,11 @@
 
 Text is folded first: case, accents, letters of other scripts that look Latin,
 and digits or signs that stand for letters. The lexicon holds whole words and
-word beginnings with weights learnt from labelled rows; phrases listed as
-exceptions cancel the terms within them. A text's weight, absolute and per
-word, goes through a logistic curve fitted on other labelled rows.
+word beginnings with weights learnt from labelled rows: log-odds of a toxic
+text, shrunk by how weak their evidence is. Phrases that clean rows hold
+around a term are learnt as exceptions and cancel it. A text's weight, absolute
+and per word, goes through a logistic curve that is fitted on rows weighed
+with lexicons of other rows.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,15 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import importable
+
 from .store import lean, saved
 
 #: Labelled rows that a model is fitted on at most, drawn by a hash of doc_id.
 SAMPLE_ROWS = 12_000
 #: Entries of the lexicon at most, those of the clearest evidence first.
 TERMS = 3_000
-LEAST_DOCS = 5
-LEAST_WEIGHT = 1.2
-LEAST_Z = 4.0
+#: Evidence (the likelihood ratio statistic) that chance explains, times the logarithm of the number of terms.
+CHANCE = 1.25
+#: Parts of the labelled rows; each is weighed with a lexicon of the others when the curve is fitted.
+FOLDS = 4
 BEGINNINGS = range(4, 9)
 #: Rows whose crc32(doc_id) modulo HOLD_OUT is 0 are never learnt from.
 HOLD_OUT = 5
@@ -42,9 +47,6 @@ HOMOGLYPHS = {
 }
 # Digits and signs that stand for a letter within a word.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
-# Phrases in which a term is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser", "pond scum", "soap scum")
-
 _TABLE = str.maketrans(HOMOGLYPHS)
 _SUBSTITUTES = str.maketrans(SUBSTITUTES)
 _MIXED = re.compile(r"[^\W_]*(?:[0-9][^\W_]*)+")
@@ -72,7 +74,7 @@ def fold(text: str | None) -> str:
 class Model:
     terms: dict[str, float]
     curve: tuple[float, float, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
 
 class Matcher:
@@ -89,12 +91,10 @@ class Matcher:
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def weigh(self, text: str | None) -> tuple[float, int]:
-        """The sum over words of their heaviest term, and the number of words."""
-        folded = fold(text)
-        words = folded.count(" ") - 1
-        if words < 1 or not len(self.automaton):
-            return 0.0, max(words, 0)
+    def found(self, folded: str) -> dict[int, float]:
+        """The heaviest term at each word of a folded text, by where the space before the word is."""
+        if not len(self.automaton):
+            return {}
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         for end, (length, weight) in self.automaton.iter(folded):
@@ -106,7 +106,12 @@ class Matcher:
         for a, b in spared:
             for at in [x for x in best if a <= x < b]:
                 del best[at]
-        return sum(best.values()), words
+        return best
+
+    def weigh(self, text: str | None) -> tuple[float, int]:
+        """The sum over words of their heaviest term, and the number of words."""
+        folded = fold(text)
+        return float(sum(self.found(folded).values())), max(folded.count(" ") - 1, 0)
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         weight, words = self.weigh(text)
@@ -133,16 +138,51 @@ def _candidates(text: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in BEGINNINGS if len(w) > k}
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic, clean): documents that contain a term, summed in this task."""
-    sums: tuple[Counter, Counter] = (Counter(), Counter())
+def _tally(batches: Iterator[pa.RecordBatch], what: Callable[[str], set[str]]) -> Iterator[pa.RecordBatch]:
+    """(term, part, toxic, clean): documents that hold what is looked for, summed in this task."""
+    sums: dict[tuple[int, bool], Counter] = {}
     for batch in batches:
-        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-            sums[0 if toxic else 1].update(_candidates(text.as_py() or ""))
-    terms = [t for t in sums[0].keys() | sums[1].keys()]
-    for at in range(0, len(terms), 50_000):
-        part = terms[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([s[t] for t in part], pa.int64()) for s in sums)], ["term", "toxic", "clean"])
+        for text, toxic, part in zip(batch.column("text"), batch.column("toxic").to_pylist(), batch.column("part").to_pylist(), strict=True):
+            sums.setdefault((part, bool(toxic)), Counter()).update(what(text.as_py() or ""))
+    for part in sorted({p for p, _ in sums}):
+        toxic, clean = sums.get((part, True), Counter()), sums.get((part, False), Counter())
+        terms = list(toxic.keys() | clean.keys())
+        for at in range(0, len(terms), 50_000):
+            some = terms[at : at + 50_000]
+            columns = [pa.array(some, pa.string()), pa.array([part] * len(some), pa.int32()), pa.array([toxic[t] for t in some], pa.int64()), pa.array([clean[t] for t in some], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "part", "toxic", "clean"])
+
+
+def _tallied(texts: DataFrame, what: Callable[[str], set[str]]) -> DataFrame:
+    """(term, toxic, clean): arrays over the parts."""
+    found = texts.select("text", "toxic", "part").mapInArrow(lambda batches: _tally(batches, what), "term string, part int, toxic long, clean long")
+    of = lambda c: F.array(*[F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)) for k in range(FOLDS)]).alias(c)
+    return found.groupBy("term").agg(of("toxic"), of("clean"))
+
+
+def _weighed(k1: Column, k0: Column, n1: float, n0: float, chance: float) -> tuple[Column, Column]:
+    """A term's log-odds of toxic, shrunk towards 0 by its evidence, and the evidence."""
+    k, n = k1 + k0, n1 + n0
+    cell = lambda x, expected: F.when(x > 0, 2 * x * F.log(x / expected)).otherwise(0.0)
+    evidence = cell(k1, k * (n1 / n)) + cell(k0, k * (n0 / n)) + cell(n1 - k1, n1 - k * (n1 / n)) + cell(n0 - k0, n0 - k * (n0 / n))
+    odds = F.log((k1 + 0.5) / (n1 - k1 + 0.5)) - F.log((k0 + 0.5) / (n0 - k0 + 0.5))
+    return odds * F.greatest(1 - chance / F.greatest(evidence, F.lit(1e-9)), F.lit(0.0)), evidence
+
+
+def _phrases(matcher: Matcher) -> Callable[[str], set[str]]:
+    """The terms' words in a text with the word before, and with the word after."""
+
+    def run(text: str) -> set[str]:
+        folded, out = fold(text), set()
+        for at in matcher.found(folded):
+            end = folded.index(" ", at + 1)
+            if at:
+                out.add(folded[folded.rindex(" ", 0, at) : end + 1])
+            if end + 1 < len(folded):
+                out.add(folded[at : folded.index(" ", end + 1) + 1])
+        return out
+
+    return run
 
 
 def remainder(id_col: str, parts: int) -> Column:
@@ -150,37 +190,53 @@ def remainder(id_col: str, parts: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most `rows` labelled rows outside the held-out part.
+    """Learn from at most `rows` labelled rows outside the held-out part, drawn by a hash of doc_id.
 
-    One part of them gives the lexicon, the rest the curve. Labels that are
-    null are passed over; of contradicting labels the toxic one holds. Without
-    a toxic or a clean row the model scores every text alike.
+    Labels that are null, and labels or texts without an id, are passed over;
+    of contradicting labels the toxic one holds. Null and empty texts count as
+    rows without terms, long ones are read whole. Without a toxic or a clean
+    row the model scores every text alike. Rows that repeat an id each count.
     """
+    importable(docs.sparkSession)
     drawn = labels.where((remainder("doc_id", HOLD_OUT) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic", (remainder("doc_id", HOLD_OUT) == 1).alias("curve"))
-    texts = saved(texts, "labelled")
-    learn = texts.where("NOT curve")
-    totals = dict(learn.groupBy(F.col("toxic") > 0).count().collect())
-    bad, good = totals.get(True, 0), totals.get(False, 0)
-    counted = learn.select("text", "toxic").mapInArrow(_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = lambda k, n: F.log((F.col(k) + 0.5) / (F.lit(float(n)) - F.col(k) + 0.5))
-    spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    weighed = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("weight", odds("toxic", bad) - odds("clean", good)).withColumn("z", F.col("weight") / spread)
-    chosen = weighed.where((F.col("weight") >= LEAST_WEIGHT) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "term").limit(TERMS).collect()
-    terms = {r["term"]: float(r["weight"]) for r in chosen}
-    model = Model(terms, (0.0, 0.0, 0.0))
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(FOLDS)).cast("int").alias("part")
+    texts = saved(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"), part), "labelled")
+    bad, good = np.zeros(FOLDS), np.zeros(FOLDS)
+    for r in texts.groupBy("part", "toxic").count().collect():
+        (bad if r["toxic"] else good)[r["part"]] = r["count"]
+    if not bad.sum() or not good.sum():
+        return Model({}, (3.0 if bad.sum() else -3.0, 0.0, 0.0))
+    terms = saved(_tallied(texts, _candidates), "terms")
+    chance = CHANCE * float(np.log(max(terms.count(), 2)))
+
+    def without(c: str, k: int | None) -> Column:
+        return F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x).cast("double") - (F.lit(0.0) if k is None else F.col(c)[k])
+
+    def lexicon(k: int | None) -> dict[str, float]:
+        """Of all parts but k."""
+        n1, n0 = (float(x.sum() - (0 if k is None else x[k])) for x in (bad, good))
+        if not n1 or not n0:
+            return {}
+        weight, evidence = _weighed(without("toxic", k), without("clean", k), n1, n0, chance)
+        found = terms.select("term", weight.alias("weight"), evidence.alias("evidence")).where("weight > 0")
+        return {r["term"]: float(r["weight"]) for r in found.orderBy(F.desc("evidence"), "term").limit(TERMS).collect()}
+
+    others, whole = [lexicon(k) for k in range(FOLDS)], lexicon(None)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model)
+        matchers = [Matcher(Model(x, (0.0, 0.0, 0.0))) for x in others]
         for batch in batches:
-            found = np.array([matcher.features(x.as_py()) for x in batch.column("text")]).reshape(-1, 3)
+            found = np.array([matchers[k].features(x.as_py()) for x, k in zip(batch.column("text"), batch.column("part").to_pylist(), strict=True)]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 1]), pa.array(found[:, 2]), batch.column("toxic").cast(pa.int64())], ["a", "b", "y"])
 
-    found = texts.where("curve").select("text", "toxic").mapInArrow(features, "a double, b double, y long").collect()
-    x = np.array([(1.0, r["a"], r["b"]) for r in found]).reshape(-1, 3)
-    y = np.array([float(r["y"] > 0) for r in found])
-    return Model(terms, _logistic(x, y) if 0 < y.sum() < len(y) else (-3.0 if not y.sum() else 3.0, 0.0, 0.0))
+    found = texts.mapInArrow(features, "a double, b double, y long").collect()
+    curve = _logistic(np.array([(1.0, r["a"], r["b"]) for r in found]), np.array([float(r["y"]) for r in found]))
+    # Exceptions: phrases that clean rows hold too often for chance, though a term is in them.
+    around = saved(_tallied(texts, _phrases(Matcher(Model(whole, curve)))), "phrases")
+    weight, _ = _weighed(without("toxic", None), without("clean", None), float(bad.sum()), float(good.sum()), CHANCE * float(np.log(max(around.count(), 2))))
+    spared = around.select("term", weight.alias("weight")).where("weight < 0").orderBy("weight", "term").limit(TERMS).collect()
+    return Model(whole, curve, tuple(r["term"].strip() for r in spared))
 
 
 def score(text: Column, model: Model) -> Column:
@@ -197,8 +253,13 @@ def score(text: Column, model: Model) -> Column:
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted. Repeated rows score alike; other columns are ignored."""
-    held = (remainder("doc_id", HOLD_OUT) == 0).alias("held_out")
+    """One row per row of docs: doc_id, held_out, score, predicted.
+
+    Repeated rows score alike, null and empty texts like a text without terms;
+    long texts are read whole. A row without an id is not held out. An empty
+    table gives an empty result; other columns are ignored.
+    """
+    held = F.coalesce(remainder("doc_id", HOLD_OUT) == 0, F.lit(False)).alias("held_out")
     done = lean(docs).select("doc_id", held, score(F.col("text"), model).alias("score"))
     return done.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

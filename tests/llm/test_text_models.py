@@ -92,3 +92,65 @@ def test_no_language_is_cut_away(spark):
     docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), F.col("id") % 20_000).alias("lang"))
     learn = docs.where(langid.remainder("doc_id", langid.PARTS) != langid.HELD).select("lang").distinct().count()
     assert learn > 10_000 and langid.drawn(docs).select("lang").distinct().count() == learn
+
+
+def auc(y, score):
+    good, bad = [x for x, t in zip(score, y, strict=True) if not t], [x for x, t in zip(score, y, strict=True) if t]
+    return sum((b > g) + (b == g) / 2 for b in bad for g in good) / len(bad) / len(good)
+
+
+def test_few_labels_are_enough_and_clean_phrases_are_spared(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 8 == 0
+        text = [rng.choice(words) for _ in range(80)]
+        if bad:
+            for _ in range(3):
+                text[rng.randrange(80)] = rng.choice(["zorglub", "quixzap", "mubblefop"])
+        elif i % 3 == 0:
+            text[40:42] = ["zorglub", "festival"]
+        rows.append((i, " ".join(text), "en"))
+        labels.append((i, int(bad)))
+    df = docs(spark, [*rows, (None, "zorglub zorglub quixzap", None)])
+    model = toxicity.fit(df, spark.createDataFrame([*labels, (None, 1)], "doc_id long, toxic int"))
+    assert " quixzap " in model.terms and "zorglub festival" in model.exceptions
+    got = toxicity.scores(df, model).collect()
+    held = [r for r in got if r.held_out]
+    truth = dict(labels)
+    assert auc([truth[r.doc_id] for r in held], [r.score for r in held]) >= 0.9
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+    weights = toxicity.Matcher(model)
+    for r in got[:60]:
+        assert abs(r.score - weights.score(rows[r.doc_id][1])) < 1e-12
+    assert weights.weigh("the zorglub festival")[0] == 0 < weights.weigh("a zorglub")[0]
+
+
+def test_automaton_equals_plain_matching():
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 6)))
+    for _ in range(200):
+        terms = {f" {word()}" + rng.choice(["", " "]): rng.random() for _ in range(8)}
+        spare = tuple(f"{word()} {word()}" for _ in range(3))
+        text = " ".join(word() for _ in range(30))
+        folded = toxicity.fold(text)
+        spared = {at for x in spare for at in range(len(folded)) for start in range(len(folded)) if folded.startswith(f" {x} ", start) and start <= at < start + len(x) + 1}
+        want = 0.0
+        for at in (k for k, c in enumerate(folded[:-1]) if c == " "):
+            best = max((w for t, w in terms.items() if folded.startswith(t, at)), default=0.0)
+            want += 0.0 if at in spared else best
+        weight, words = toxicity.Matcher(toxicity.Model(terms, (0.0, 0.0, 0.0), spare)).weigh(text)
+        assert abs(weight - want) < 1e-9 and words == 30
+
+
+def test_predictions_equal_the_nearest_prototype(spark):
+    rows = [(i, "".join(chr(97 + (i * k) % 11) for k in range(40)), "xyz"[i % 3]) for i in range(30)] + [(None, "abc abc", "x")]
+    df = docs(spark, rows)
+    prototypes = langid.fit(df)
+    for r in langid.languages(df, prototypes).collect():
+        text = dict((i, t) for i, t, _ in rows)[r.doc_id]
+        v = langid.bundles([text])[0].astype(float)
+        cosine = {n: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for n, p in prototypes.items()}
+        assert r.lang_pred == max(sorted(cosine), key=lambda n: round(cosine[n], 5)) and abs(r.score - max(0, max(cosine.values()))) < 1e-4
+        assert r.doc_id is not None or r.held_out is False
