@@ -10,6 +10,8 @@ not depend on the number of documents.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
 TOLERANCE = 1e-9
+#: Sources whose tables are broadcast at most.
+SOURCES = 100_000
 _BINS = 1024
 
 
@@ -54,14 +58,27 @@ def _rate(cap: int) -> Column:
     return F.when(F.col("lam").isNull(), F.when(F.col("target") > 0, float(cap)).otherwise(0.0)).otherwise(inside)
 
 
-def _with(rows: DataFrame, state: DataFrame) -> DataFrame:
+def _mark(state: DataFrame, few: bool) -> DataFrame:
+    """A table of one row per source at most, for broadcast if the sources were counted to be few."""
+    return F.broadcast(state) if few else state
+
+
+def _with(rows: DataFrame, state: DataFrame, few: bool) -> DataFrame:
     """rows with their source's columns of state; state has one row per source."""
     named = state.withColumnRenamed("source", "_source")
-    return rows.join(small(named, 100_000), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return rows.join(_mark(named, few), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
 
+def _next(state: DataFrame, sums: DataFrame, few: bool, *columns: str) -> DataFrame:
+    """state with columns of sums, null for sources that sums lacks."""
+    return state.alias("s").join(_mark(sums, few).alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")), "left").select("s.*", *columns)
 
-def multipliers(sized: DataFrame, goals: DataFrame, cap: int = CAP, rounds: int = 80) -> DataFrame:
-    """goals with mean and lam. lam is null where the bound is met exactly: all documents at cap, or none."""
+
+def multipliers(sized: DataFrame, goals: DataFrame, cap: int = CAP, rounds: int = 80, few: bool = False) -> DataFrame:
+    """goals with mean and lam. lam is null where the bound is met exactly: all documents at cap, or none.
+
+    A round is one job: the grouped sums, and the sources' next multipliers, which are written.
+    """
     histogram = saved(sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     solvable = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * cap * (1 - 1e-12))
     state = goals.withColumn("mean", F.greatest(F.col("source_size") / F.col("docs"), F.lit(1e-9)))
@@ -71,10 +88,10 @@ def multipliers(sized: DataFrame, goals: DataFrame, cap: int = CAP, rounds: int
     rate = F.col("r")
     for _ in range(rounds):
         mass = F.col("n") * F.col("size")
-        sums = _with(histogram, state.where("lam IS NOT NULL")).withColumn("r", _rate(cap)).groupBy("source").agg(
+        sums = _with(histogram, state.where("lam IS NOT NULL"), few).withColumn("r", _rate(cap)).groupBy("source").agg(
             F.sum(mass * rate).alias("got"), F.sum(mass * F.col("size") / F.col("mean") * rate * (1 - rate / cap)).alias("slope")
         )
-        now = state.alias("s").join(small(sums, 100_000).alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")), "left").select("s.*", "got", "slope")
+        now = _next(state, sums, few, "got", "slope")
         now = now.withColumn("error", F.col("got") - F.col("target"))
         now = now.withColumn("low", F.when(F.col("error") < 0, F.col("lam")).otherwise(F.col("low")))
         now = now.withColumn("high", F.when(F.col("error") > 0, F.col("lam")).otherwise(F.col("high")))
@@ -86,8 +103,10 @@ def multipliers(sized: DataFrame, goals: DataFrame, cap: int = CAP, rounds: int
         now = now.withColumn("gap", F.coalesce(F.abs("error") / F.col("target"), F.lit(0.0)))
         now = now.withColumn("lam", F.when(F.col("gap") <= TOLERANCE, F.col("lam")).when(F.coalesce(outside, F.lit(False)), middle).otherwise(tried))
         state = saved(now.select(*state.columns), "dual")
-        if (state.agg(F.max("gap")).first()[0] or 0) <= TOLERANCE:
+        if (left := state.agg(F.max("gap")).first()[0] or 0) <= TOLERANCE:
             break
+    else:
+        logging.getLogger(__name__).warning("a source's words are %.1e off its target after %d rounds", left, rounds)
     return state.withColumn("lam", F.round("lam", 10)).select("source", "docs", "source_size", "target", "mean", "lam")
 
 
@@ -105,7 +124,7 @@ def _side(cap: int) -> tuple[Column, Column]:
     return at, can & (F.col("way") != 0)
 
 
-def rounding(sized: DataFrame, state: DataFrame, cap: int = CAP) -> DataFrame:
+def rounding(sized: DataFrame, state: DataFrame, cap: int = CAP, few: bool = False) -> DataFrame:
     """state with way and cut: rows of a source before `cut` get a copy more (way 1) or less (way -1).
 
     Drawn copies meet a source's target on average. The rest is made up by
@@ -113,22 +132,22 @@ def rounding(sized: DataFrame, state: DataFrame, cap: int = CAP) -> DataFrame:
     quantile, found by three counts over ever finer bins of the position. What
     is left is below half of one document.
     """
-    drawn = _draws(_with(sized, state), "doc_id", cap)
+    drawn = _draws(_with(sized, state, few), "doc_id", cap)
     sums = drawn.groupBy("source").agg(F.sum(F.col("low") * F.col("size")).alias("taken"))
-    joined = state.alias("s").join(small(sums, 100_000).alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left").select("s.*", "taken")
+    joined = _next(state, sums, few, "taken")
     off = F.col("target") - F.coalesce("taken", F.lit(0))
     cuts = joined.withColumns({"need": F.abs(off), "way": F.signum(off).cast("int"), "lo": F.lit(0.0), "full": F.lit(False), "cut": F.lit(0.0)}).drop("taken")
     cuts = saved(cuts, "cuts")
     at, can = _side(cap)
     width = 1.0
     for level in range(3):
-        candidates = _draws(_with(sized, cuts), "doc_id", cap).withColumn("at", at).where(can & (F.col("size") > 0))
+        candidates = _draws(_with(sized, cuts, few), "doc_id", cap).withColumn("at", at).where(can & (F.col("size") > 0))
         inside = candidates.where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + width) & ~F.col("full"))
         bins = inside.withColumn("bin", F.floor((F.col("at") - F.col("lo")) / (width / _BINS)).cast("int")).groupBy("source", "bin").agg(F.sum("size").alias("mass"))
         upto = Window.partitionBy("source").orderBy("bin")
-        summed = _with(bins.withColumn("sum", F.sum("mass").over(upto)), cuts.select("source", "need"))
+        summed = _with(bins.withColumn("sum", F.sum("mass").over(upto)), cuts.select("source", "need"), few)
         crossing = summed.where(F.col("sum") > F.col("need")).groupBy("source").agg(F.min_by(F.struct("bin", "mass", "sum"), "bin").alias("x"))
-        next_ = cuts.alias("c").join(small(crossing, 100_000).alias("b"), F.col("c.source").eqNullSafe(F.col("b.source")), "left").select("c.*", "x")
+        next_ = _next(cuts, crossing, few, "x")
         step = width / _BINS
         lo = F.col("lo") + F.col("x.bin") * step
         rest = F.col("need") - (F.col("x.sum") - F.col("x.mass"))
@@ -144,12 +163,13 @@ def _copies(cap: int) -> Column:
     return F.col("low") + F.when(can & (at < F.col("cut")), F.col("way")).otherwise(0)
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
-    """The saved table (doc_id, source, size) and the plan, a row per source."""
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, DataFrame, bool]:
+    """The saved table (doc_id, source, size), the plan, a row per source, and whether the sources are few enough to broadcast."""
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"))
     sized = saved(sized, "sizes")
-    state = multipliers(sized, saved(targets(sized, weights, cap), "targets"), cap)
-    return sized, saved(rounding(sized, state, cap), "mix")
+    goals = saved(targets(sized, weights, cap), "targets")
+    few = small(goals, SOURCES) is not goals
+    return sized, saved(rounding(sized, multipliers(sized, goals, cap, few=few), cap, few), "mix"), few
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -159,10 +179,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     document's copies come from a hash of its id, so reruns agree and repeated
     rows share their fate. Null, empty and wordless texts have size 0 and take
     nothing; sources without words have target 0. Empty tables give empty
-    results; other columns are ignored.
+    results; other columns are ignored. Rows without an id share one draw.
     """
-    sized, state = plan(docs, id_col, text_col, source_col, weights, cap)
-    done = _draws(_with(sized, state), "doc_id", cap).withColumn("copies", _copies(cap))
+    sized, state, few = plan(docs, id_col, text_col, source_col, weights, cap)
+    done = _draws(_with(sized, state, few), "doc_id", cap).withColumn("copies", _copies(cap))
     return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "rate")
 
 
@@ -171,10 +191,10 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Wordless texts have no copies to count and stay once.
     """
-    _, state = plan(docs, id_col, text_col, source_col, weights, cap)
+    _, state, few = plan(docs, id_col, text_col, source_col, weights, cap)
     named = state.select(F.struct("*").alias("_plan"))
     own = F.struct(F.col(id_col).cast("long").alias("doc_id"), size_of(text_col).alias("size")).alias("_own")
     joined = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", own, F.col(source_col).alias("_source"))
-    joined = joined.join(small(named, 100_000), F.col("_source").eqNullSafe(F.col("_plan.source")))
+    joined = joined.join(_mark(named, few), F.col("_source").eqNullSafe(F.col("_plan.source")))
     done = _draws(joined.select("_row", "_own.*", "_plan.*"), "doc_id", cap).withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(_copies(cap)))
     return done.where("copies > 0").select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")

@@ -74,3 +74,11 @@ def test_mixed_rows_are_the_copies(spark):
     for r in mixing.mixed_rows(docs(spark, rows)).collect():
         found[r.doc_id] = found.get(r.doc_id, 0) + 1
     assert found == {k: v for k, v in plan.items() if v}
+
+
+def test_many_sources_go_through_shuffles_and_agree(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(40), f"s{i % 9}") for i in range(300)] + [(900, "long " * 50_000, "s1"), (None, "x y", "s2"), (None, "x y", "s2")]
+    want = sorted(map(repr, mixing.mix(docs(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 0)
+    assert sorted(map(repr, mixing.mix(docs(spark, rows)).collect())) == want
