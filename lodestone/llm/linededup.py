@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.btrim(line, F.lit(_BLANKS)).cast("binary")))
 
 
+def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x evaluated once however often it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
 def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(site, pages, keys): for each site with boilerplate, the 128-bit keys of its lines.
 
@@ -57,11 +64,15 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
     else:
         salts = -(-most // 20_000)
         salted = lists.withColumn("__lodestone_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = docs.withColumn("__lodestone_at", F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int"))
+        # By place, not by text: the copies of a text are spread too.
+        spread = docs.withColumn("__lodestone_at", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
         joined = spread.join(salted, same & (F.col("__lodestone_at") == F.col("__lodestone_salt")), "left")
-    lines = F.split(text_col, "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__lodestone_keys"), _key(x)))
-    text = F.when(F.col("__lodestone_keys").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    # A page's own boilerplate is found once, through its keys; then lines are held against that alone.
+    keyed = F.transform(F.split(text_col, "\n", -1), lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
+    own = lambda k: F.struct(k.alias("lines"), F.array_intersect(F.col("__lodestone_keys"), F.transform(k, lambda x: x["key"])).alias("bad"))
+    kept = lambda p: F.transform(F.filter(p["lines"], lambda x: ~F.array_contains(p["bad"], x["key"])), lambda x: x["line"])
+    text = _bound(keyed, lambda k: _bound(own(k), lambda p: F.array_join(kept(p), "\n")))
+    text = F.when(F.col("__lodestone_keys").isNull(), F.col(text_col)).otherwise(text)
     out = {c: text.alias(c) if c == text_col else F.col(c) for c in docs.columns}
     if counts:
         count = lambda x: F.coalesce(F.size(F.filter(x, lambda y: F.btrim(y, F.lit(_BLANKS)) != "")), F.lit(0))

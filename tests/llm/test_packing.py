@@ -93,3 +93,15 @@ def test_other_vocabularies_encode_whole_texts():
         flat, bounds = WordEncoder(path).ids(pa.array([None, *texts]))
         for t, a, b in zip(["", *texts], bounds[:-1], bounds[1:], strict=True):
             assert flat[a:b].tolist() == whole.encode(t, add_special_tokens=False).ids, path
+
+
+def test_clashing_columns_and_null_ids(spark):
+    rows = [(i % 7 or None, "a word or two " * (i % 5), i, i, i, i, "z") for i in range(60)] + [(1, "word " * 60_000, 0, 0, 0, 0, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rank int, _bucket int, sequence_id int, offset int, length string")
+    got = pack(docs).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in got if r.start == 0) == sorted((i or 0, len(t.split()) + 1) for i, t, *_ in rows)
+    fill = {}
+    for r in got:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in fill.values():
+        assert [a for a, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 2048

@@ -56,3 +56,18 @@ def test_lines(spark, monkeypatch):
     counted = {r.doc_id: (r["_lines"], r["_dropped"]) for r in linededup.drop_boilerplate(docs(spark, rows), counts=True).collect()}
     assert counted[1] == (4, 3) and counted[100] == (0, 0) and counted[102] == (1, 0)
     assert linededup.drop_boilerplate(docs(spark, [])).collect() == []
+
+
+def test_shards_of_long_texts_and_rows_without_ids(spark):
+    rows = [(None, "long " * 100_000, "s"), (None, "long " * 100_000, "s"), (3, "", "s"), (4, None, "s"), (5, "", None)] + [(10 + i, f"t{i}", "s") for i in range(50)]
+    got = shards(docs(spark, rows), 4).collect()
+    assert len(got) == len(rows) and len({r.shard for r in got if r.doc_id is None}) == 1
+    assert len({r.shard for r in got if r.doc_id in (3, 5)}) == 1
+    big = next(r.shard for r in got if r.doc_id is None)
+    assert {r.doc_id for r in got if r.shard == big} == {None}
+
+
+def test_long_lists_drop_the_same_lines(spark):
+    rows = [(i, "\n".join(f"menu {k}" for k in range(i % 3, 300)) + f"\nown {i}\nown {i}", "a") for i in range(9)]
+    got = linededup.drop_boilerplate(docs(spark, rows), ratio=0.5).collect()
+    assert {r.text for r in got} == {f"own {i}\nown {i}" if i % 3 else f"own {i}\nown {i}" if sum(j % 3 == 0 for j in range(9)) > 4.5 else f"menu 0\nown {i}\nown {i}" for i in range(9)}
