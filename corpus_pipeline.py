@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import linededup, mixing, nearcopies, packing, toxicity
 from lodestone.llm.store import saved
@@ -16,8 +17,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without its source's boilerplate lines; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
     cleaned = linededup.drop_boilerplate(docs)
     return cleaned.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
@@ -45,12 +44,22 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Hashing, fitted scores and packing are beyond SQL; tests hold each stage against a plain version.
+#: Hashing, fitted scores and packing are beyond SQL; tests hold the stages and the whole run against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written as Parquet and read again by the next."""
+    """The stages in order, each written as Parquet and read again by the next.
+
+    Null, empty and wordless texts score as texts without terms, have no lines
+    to drop, form one group of near copies, of which a row stays, pass the mix
+    once and are packed as their end id. Rows may share an id or have none:
+    rows are near copies by their texts, of a group the smallest id stays, and
+    rows that agree in id and text become one. Null sources are a source, null
+    langs and n_chars stay as they are. Long texts are read whole. Columns
+    besides those of documents go along up to packing. An empty table, or one
+    of which nothing is left, gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name)

@@ -65,3 +65,93 @@ def test_near_copies_of_five_word_jaccard_go(spark):
     left = P.drop_near_copies(spark, docs, "")
     assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - alike - near - {201, 204}
     assert left.columns == docs.columns and P.drop_near_copies(spark, docs.limit(0), "").collect() == []
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, rank int, shingles string"
+
+
+def folder(spark, tmp_path, rows, labels):
+    spark.createDataFrame([(i, t, lang, s, n, 0.5, 1, "x") for i, t, lang, s, n in rows], SCHEMA).repartition(3).write.parquet(f"file:{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file:{tmp_path}/labels.parquet")
+    return f"file:{tmp_path}"
+
+
+def plain_groups(texts):
+    """Smallest members of the classes of near copies, by comparing every pair."""
+    grams = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    prints, label = [fingerprint(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(grams[i] & grams[j])
+            alike = shared and shared >= 0.8 * (len(grams[i]) + len(grams[j]) - shared) - 1e-9
+            if alike or (prints[i] ^ prints[j]).bit_count() <= 3:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def test_run_agrees_with_plain_stages(spark, tmp_path):
+    from collections import Counter
+
+    from lodestone.llm import mixing, toxicity
+
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(900)]
+    plain = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, labels = [], []
+    for i in range(150):
+        text = plain(rng.randrange(30, 90))
+        if i % 9 == 0:
+            text = " ".join(w + (" zorglub quixzap" if k % 9 == 0 else "") for k, w in enumerate(text.split()))
+        if i % 10 == 1:
+            text = rows[-1][1].rsplit(" ", 1)[0] + " changed"
+        rows.append((i, f"{text}\nread more here" if i % 2 else text, "en", f"s{i % 4}", len(text)))
+        labels.append((i, 1, int(i % 9 == 0)))
+    rows += [(300, None, None, None, None), (301, "", "en", "s1", 0), (None, plain(40), None, None, 7), (None, plain(40), "en", "s1", None)]
+    rows += [(5, plain(50), "en", "s2", 1), (302, "long words " * 20_000, "en", "s3", 1)] + [rows[7]] * 3
+    sf = folder(spark, tmp_path, rows, labels)
+    docs, tally = spark.read.parquet(f"{sf}/documents.parquet"), lambda rs: Counter((r.doc_id, r.text, r.source) for r in rs)
+    matcher = toxicity.Matcher(toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    stage = docs.collect()
+    found = P.drop_toxic(spark, docs, sf)
+    assert tally(found.collect()) == tally([r for r in stage if matcher.score(r.text) < 0.5]) and found.count() < docs.count()
+
+    docs, stage = found, found.collect()
+    found = P.drop_lines(spark, docs, sf)
+    pages, seen = Counter(r.source for r in stage), Counter((r.source, x) for r in stage for x in {y.strip() for y in (r.text or "").split("\n")})
+    bad = {(s, x) for (s, x), n in seen.items() if x and n >= 3 and n > 0.1 * pages[s]}
+    want = Counter((r.doc_id, None if r.text is None else "\n".join(x for x in r.text.split("\n") if (r.source, x.strip()) not in bad), r.source) for r in stage)
+    assert tally(found.collect()) == want and bad
+
+    docs, stage = found, found.collect()
+    found = P.drop_near_copies(spark, docs, sf)
+    label, best = plain_groups([r.text for r in stage]), {}
+    for r, c in zip(stage, label, strict=True):
+        best[c] = min(best.get(c, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    kept = found.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(best.values()) and len(kept) < len(stage)
+    assert len(set(plain_groups([r.text for r in kept]))) == len(kept)
+
+    copies = mixing.mix(found).collect()
+    times = Counter()
+    for r in copies:
+        times[r.doc_id] += max(r.copies, 1) if r.size == 0 else r.copies
+    mixed = P.mix_sources(spark, found, sf)
+    assert Counter(r.doc_id for r in mixed.collect()) == +times and mixed.columns == found.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+
+    got = P.run(spark, sf).collect()
+    assert Counter(r.doc_id for r in got if r.start == 0) == +times
+    whole, tokens = Tokenizer.from_file(packing.tokenizer_path()), Counter()
+    for r in mixed.collect():
+        tokens[r.doc_id] += len(whole.encode(r.text or "", add_special_tokens=False).ids) + 1
+    packed = Counter()
+    for r in got:
+        packed[r.doc_id] += r.length
+    assert packed == tokens
+
+
+def test_empty_tables(spark, tmp_path):
+    sf = folder(spark, tmp_path, [], [])
+    assert P.run(spark, sf).collect() == []
