@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .simhash import drop_near_duplicates, fingerprint, text_key
 from .store import lean, saved, small
-from .substring import band_keys, near_sets
+from .substring import band_keys, holding, near_sets
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
@@ -72,7 +72,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     texts = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
     banded = saved(texts.mapInArrow(_banded, "doc_id long, text_key binary, fp long, key long, bands array<long>"), "banded")
-    links = saved(near_sets(banded.select("key", "bands"), texts.select("text").mapInArrow(_sets, "key long, shingles array<long>")), "copies")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        holders = saved(banded.join(small(wanted), "key", "left_semi").select("text_key").distinct(), "holders")
+        return holding(texts.select("text_key", "text"), holders).select("text").mapInArrow(_sets, "key long, shingles array<long>")
+
+    links = saved(near_sets(banded.select("key", "bands"), sets), "copies")
     ends = saved(links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).distinct(), "ends")
     known = saved(banded.join(small(ends), "key", "left_semi").groupBy("key").agg(F.first("fp").alias("fp")), "known")
     one = lambda end, fp: small(known.select(F.col("key").alias(end), F.col("fp").alias(fp)))

@@ -16,7 +16,7 @@ overlap or follow each other closely in a document form a passage.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -252,12 +252,31 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_paragraphs(docs: DataFrame, paragraphs: DataFrame, least: int = PARAGRAPH_WORDS) -> DataFrame:
-    """(a, b): links between keys of paragraphs that are near-duplicates but not equal; paragraphs: key, bands."""
-    return near_sets(paragraphs, docs.select("text").mapInArrow(lambda batches: _paragraph_shingles(batches, least), "key long, shingles array<long>"))
+    """(a, b): links between keys of paragraphs that are near-duplicates but not equal; paragraphs: doc_id, key, bands.
 
+    Shingles are taken again from one document of each paragraph that meets another.
+    """
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        one = paragraphs.join(small(wanted), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+        texts = holding(docs, saved(one.select("doc_id").distinct(), "holders"))
+        return texts.select("text").mapInArrow(lambda batches: _paragraph_shingles(batches, least), "key long, shingles array<long>")
+
+    return near_sets(paragraphs.select("key", "bands"), sets)
+
+
+def holding(docs: DataFrame, holders: DataFrame) -> DataFrame:
+    """docs whose first column is in `holders` (a saved column of that name), if these can be broadcast; else docs, so that texts never move."""
+    name = holders.columns[0]
+    if (few := small(holders)) is holders:
+        return docs
+    return docs.join(few.withColumnRenamed(name, "_held"), F.col(name).eqNullSafe(F.col("_held")), "left_semi")
+
+
+def near_sets(paragraphs: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): verified links between keys that meet in a bucket; paragraphs: key, bands.
 
-def near_sets(paragraphs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): verified links between keys that meet in a bucket; paragraphs: key, bands; sets: key, shingles (distinct).
+    sets: key, shingles (distinct), or what gives them for a table of keys; it may give others too.
 
     Each member is compared with its bucket's first, pair by pair. Buckets
     that this does not connect are compared in full, in pairs of blocks that
@@ -268,8 +287,9 @@ def near_sets(paragraphs: DataFrame, sets: DataFrame) -> DataFrame:
     banded = paragraphs.select("key", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("band", "bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "bucket", "low")
     met = saved(banded.join(small(saved(shared, "buckets")), ["band", "bucket"]).distinct(), "collisions")
-    wanted = met.select("key").distinct()
-    sets = sets.join(small(saved(wanted, "wanted")), "key", "left_semi")
+    wanted = saved(met.select("key").distinct(), "wanted")
+    sets = sets if isinstance(sets, DataFrame) else sets(wanted)
+    sets = sets.join(small(wanted), "key", "left_semi")
     sets = saved(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
     star = met.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     one = lambda end, own: sets.select(F.col("key").alias(end), F.col("shingles").alias(own))
@@ -307,8 +327,10 @@ def copied_runs(docs: DataFrame, stretches: DataFrame, size: int) -> DataFrame:
     least = [F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("_last"), F.min("whole").alias("_low"), F.max("whole").alias("_high")]
     phrases = saved(stretches.groupBy("key").agg(*least).where("keep_doc_id <> _last").select("key", "keep_doc_id", (F.col("_low") != F.col("_high")).alias("_mixed")), "phrases")
     same = stretches.drop("whole").join(phrases.where("NOT _mixed").drop("_mixed"), "key")  # grows with the corpus: not for broadcast
-    windows = docs.mapInArrow(lambda batches: _windows(batches, size), "doc_id long, at int, key long, windows array<long>")
-    windows = windows.join(small(phrases.where("_mixed").select("key")), "key", "left_semi")
+    mixed = small(phrases.where("_mixed").select("key"))
+    holders = saved(stretches.join(mixed, "key", "left_semi").select("doc_id").distinct(), "holders")
+    windows = holding(docs, holders).mapInArrow(lambda batches: _windows(batches, size), "doc_id long, at int, key long, windows array<long>")
+    windows = windows.join(mixed, "key", "left_semi")
     windows = saved(windows.select("doc_id", "at", F.posexplode("windows").alias("_n", "key")).select("doc_id", "at", (F.col("at") + F.col("_n")).alias("start"), "key"), "windows")
     found = windows.join(saved(_seen(windows), "repeated"), "key")
     by = Window.partitionBy("doc_id", "at").orderBy("start", "key")
@@ -344,7 +366,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     size, least = max(passage_words, PHRASE_WORDS), max(paragraph_words, 1)
     units = saved(named.mapInArrow(lambda batches: _units(batches, size, least), "doc_id long, kind byte, start int, words int, key long, whole long, bands array<long>"), "units")
     paragraphs = units.where("kind = 1")
-    near = saved(connected_components(near_paragraphs(named, paragraphs.select("key", "bands"), least)), "near").withColumnRenamed("node", "key")
+    near = saved(connected_components(near_paragraphs(named, paragraphs.select("doc_id", "key", "bands"), least)), "near").withColumnRenamed("node", "key")
     copied = copied_runs(named, units.where("kind = 0").select("doc_id", "start", "words", "key", "whole"), size)
     # A line without near-duplicates is a cluster with its equals, told by both hashes.
     alone = F.col("component").isNull()
