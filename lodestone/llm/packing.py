@@ -16,12 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import lean, numbered, saved
+from .store import lean, numbered, saved, tidy
 
 CONTEXT = 2048
 END_ID = 1
-#: Distinct words whose ids a worker remembers, at some 40 bytes each; beyond it those of the latest batch stay.
-WORD_CACHE = 2_000_000
+#: Distinct words whose ids a worker remembers, at some 70 bytes each; beyond it those of the latest batch stay.
+WORD_CACHE = 1_000_000
 _TAIL = re.compile(r"[!-/:-@\[-`{-~]*\Z")
 _PROBE = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _PROBES = ("One  two\tthree.\n\nFour, five. ", " \x0b Ninety Words. The end.", "hello Hello HELLO hello. x . y.")
@@ -200,6 +200,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids with the end id, cut every `context` ids."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary or tokenizer_path())
         for batch in batches:

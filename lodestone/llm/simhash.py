@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import lean, saved, small
+from .store import lean, saved, small, tidy
 
 MAX_BITS = 3
 _EVEN = np.uint64(0x5555555555555555)
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
 
 
+@tidy
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, becomes its fingerprint."""
     for batch in batches:
@@ -73,6 +74,7 @@ def thermometer(fp: np.ndarray) -> np.ndarray:
     return (low | high) | ((low & high) << _ONE)
 
 
+@tidy
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Home cells and the cells one step up, for both halves."""
     names = ["cell", "visits", "fp"]
@@ -107,6 +109,7 @@ def spanning_links(home: np.ndarray, guests: np.ndarray) -> list[tuple[int, int]
     return out
 
 
+@tidy
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell and block pair, homes first: verified links of each. Holds one cell's (or pair's) fingerprints at a time."""
     held = None

@@ -6,8 +6,10 @@ import os
 import re
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,21 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow: what Arrow keeps for later goes back after every batch, as workers live on between stages."""
+
+    @wraps(run)
+    def tidied(*args: object) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        for batch in run(*args):
+            yield batch
+            pool.release_unused()
+        del args
+        pool.release_unused()
+
+    return tidied
+
+
 def lean(texts: DataFrame, rows: int = 1_000) -> DataFrame:
     """texts, with Arrow batches of at most `rows` rows in this session: long texts come in batches of some megabytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

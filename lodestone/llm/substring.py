@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import lean, saved, small
+from .store import lean, saved, small, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -146,6 +146,7 @@ def band_keys(shingles: np.ndarray, each: np.ndarray, bands: int = BANDS, rows:
     return out.view(np.int64)
 
 
+@tidy
 def _units(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[pa.RecordBatch]:
     """A row per stretch (bands null) and per line of `least` words. whole: a second hash of all the words."""
     for batch_of in batches:
@@ -169,6 +170,7 @@ def _units(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "start", "words", "key", "whole", "bands"])
 
 
+@tidy
 def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, at, key, windows): first word, phrase and window hashes of each stretch."""
     for whole in batches:
@@ -182,6 +184,7 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "key", "windows"])
 
 
+@tidy
 def _paragraph_shingles(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(key, shingles): the distinct shingles of each banded paragraph."""
     for whole in batches:
@@ -229,6 +232,7 @@ def spanning_links(keys: np.ndarray, sets: list[np.ndarray], similarity: float =
     return out
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group: verified links of each. Holds one group at a time."""
     group, keys, labels, sets = None, [], [], []

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import importable
 
-from .store import lean, saved
+from .store import lean, saved, tidy
 
 #: Labelled rows that a model is fitted on at most, drawn by a hash of doc_id.
 SAMPLE_ROWS = 12_000
@@ -138,6 +138,7 @@ def _candidates(text: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in BEGINNINGS if len(w) > k}
 
 
+@tidy
 def _tally(batches: Iterator[pa.RecordBatch], what: Callable[[str], set[str]]) -> Iterator[pa.RecordBatch]:
     """(term, part, toxic, clean): documents that hold what is looked for, summed in this task."""
     sums: dict[tuple[int, bool], Counter] = {}
