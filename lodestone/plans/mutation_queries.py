@@ -225,3 +225,138 @@ def ingest_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = content_model(_ingested(spark, sf_dir), "transitional")
     return found.select(F.col("owner_name").alias("owner"), "ordinal", "local_name", "min_occurs")
+
+
+def _joined(rows: DataFrame, by: str, order: str, text: object) -> DataFrame:
+    """(by, all): the texts of each key in order, one after the other."""
+    return rows.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), text.alias("_x")))), lambda p: p["_x"]), "").alias("all"))
+
+
+def _rich_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One schema with every kind: per region a group and an attribute group; per nation an enumeration of its
+    suppliers, a simple content on it, and a complex content that restricts that; an element and an attribute for all."""
+    from lodestone.functions.qname import DEFAULT_NAMESPACE
+
+    region = table(spark, sf_dir, "region").select(F.lit("a").alias("k"), F.format_string(
+        '<xs:attributeGroup name="A%d"><xs:attribute name="common" type="xs:int" use="required"/></xs:attributeGroup><xs:group name="G%d"><xs:choice minOccurs="0"><xs:element name="g" type="E0"/></xs:choice></xs:group>',
+        "r_regionkey", "r_regionkey").alias("x"))
+    value = F.format_string('<xs:enumeration value="%s"/>', "s_name")
+    values = _joined(table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey", "s_suppkey", value)
+    nation = table(spark, sf_dir, "nation").join(values, "n_nationkey", "left")
+    n, r = "n_nationkey", "n_regionkey"
+    listed = F.format_string('<xs:simpleType name="E%d"><xs:restriction base="xs:string">%s</xs:restriction></xs:simpleType>', n, F.coalesce("all", F.lit("")))
+    simple = F.format_string('<xs:complexType name="S%d"><xs:simpleContent><xs:extension base="E%d"><xs:attribute name="unit" type="xs:string" default="d"/><xs:attributeGroup ref="A%d"/></xs:extension></xs:simpleContent></xs:complexType>', n, n, r)
+    complex_ = F.format_string('<xs:complexType name="C%d"><xs:complexContent><xs:restriction base="S%d"><xs:sequence><xs:group ref="G%d" minOccurs="0"/><xs:element ref="top" maxOccurs="unbounded"/></xs:sequence><xs:attribute ref="lang"/></xs:restriction></xs:complexContent></xs:complexType>', n, n, r)
+    nation = nation.select(F.lit("b").alias("k"), F.concat(listed, simple, complex_).alias("x"))
+    whole = region.union(nation).groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]), "").alias("all"))
+    head = f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns="{DEFAULT_NAMESPACE}" targetNamespace="{DEFAULT_NAMESPACE}">'
+    both = '<xs:element name="top" type="C0"/><xs:attribute name="lang" type="xs:string" fixed="f"/>'
+    return whole.select(F.lit("rich.xsd").alias("path"), F.concat(F.lit(head + both), "all", F.lit("</xs:schema>")).alias("xml"))
+
+
+def _rich(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from lodestone.operators.ingest import ingest
+    from lodestone.sources.schema_set import schema_set
+
+    return ingest(schema_set(_rich_files(spark, sf_dir), ["rich.xsd"]), "transitional")
+
+
+def _names(graph: dict[str, DataFrame], id_col: str, out: str) -> DataFrame:
+    return graph["symbols"].select(F.col("id").alias(id_col), F.col("local_name").alias(out))
+
+
+@register("gr20_inheritance", """SELECT 'E' || n_nationkey AS name, 'string' AS base, 'restriction' AS relation FROM nation
+UNION ALL SELECT 'S' || n_nationkey, 'E' || n_nationkey, 'extension' FROM nation UNION ALL SELECT 'C' || n_nationkey, 'S' || n_nationkey, 'restriction' FROM nation""")
+def inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _rich(spark, sf_dir)
+    edges = graph["inheritance_edges"].join(_names(graph, "symbol_id", "name"), "symbol_id").join(_names(graph, "base_symbol_id", "base"), "base_symbol_id")
+    return edges.select("name", "base", "relation")
+
+
+@register("gr24_builtin_types", """SELECT 'string' AS local_name, 'simpleType' AS kind, 'xsd-builtin' AS vocabulary_id
+UNION ALL SELECT x.n, x.k, 'wml-main' FROM (SELECT 'A' || r_regionkey AS n, 'attributeGroup' AS k FROM region UNION ALL SELECT 'G' || r_regionkey, 'group' FROM region UNION ALL SELECT 'g', 'element' FROM region
+  UNION ALL SELECT 'E' || n_nationkey, 'simpleType' FROM nation UNION ALL SELECT 'S' || n_nationkey, 'complexType' FROM nation UNION ALL SELECT 'C' || n_nationkey, 'complexType' FROM nation
+  UNION ALL SELECT 'top', 'element' UNION ALL SELECT 'lang', 'attribute') x""")
+def builtin_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol; of the built-in types only the one that is a base."""
+    return _rich(spark, sf_dir)["symbols"].select("local_name", "kind", "vocabulary_id")
+
+
+@register("gr21_enum_values", "SELECT 'E' || s_nationkey AS name, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS order_index, s_name AS value FROM supplier")
+def enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _rich(spark, sf_dir)
+    return graph["enums"].join(_names(graph, "symbol_id", "name"), "symbol_id").select("name", "order_index", "value")
+
+
+@register("gr23_attribute_build", """SELECT 'A' || r_regionkey AS owner, 'common' AS local_name, 'required' AS attr_use, NULL AS default_value, NULL AS fixed_value, '{http://www.w3.org/2001/XMLSchema}int' AS type_ref FROM region
+UNION ALL SELECT 'S' || n_nationkey, 'unit', 'optional', 'd', NULL, '{http://www.w3.org/2001/XMLSchema}string' FROM nation
+UNION ALL SELECT 'C' || n_nationkey, 'lang', 'optional', NULL, 'f', '{http://www.w3.org/2001/XMLSchema}string' FROM nation""")
+def attribute_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _rich(spark, sf_dir)
+    return graph["attr_edges"].join(_names(graph, "symbol_id", "owner"), "symbol_id").select("owner", "local_name", "attr_use", "default_value", "fixed_value", "type_ref")
+
+
+@register("gr19_attribute_parents", """SELECT 'S' || n_nationkey AS root, x.ordinal, x.local_name, x.source, CASE x.ordinal WHEN 1 THEN 'S' || n_nationkey ELSE 'A' || n_regionkey END AS owner_name FROM nation, (VALUES (1, 'unit', 'self'), (2, 'common', 'attributeGroup')) x(ordinal, local_name, source)
+UNION ALL SELECT 'C' || n_nationkey, x.ordinal, x.local_name, x.source, CASE x.ordinal WHEN 1 THEN 'C' || n_nationkey WHEN 2 THEN 'S' || n_nationkey ELSE 'A' || n_regionkey END FROM nation, (VALUES (1, 'lang', 'self'), (2, 'unit', 'inherited'), (3, 'common', 'attributeGroup')) x(ordinal, local_name, source)""")
+def attribute_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes found under simple and complex content, through groups and bases."""
+    from lodestone.operators.graph import attributes
+
+    graph = _rich(spark, sf_dir)
+    roots = graph["symbols"].where("kind = 'complexType'")
+    found = attributes(graph, "transitional", roots).withColumnRenamed("root", "root_id")
+    return found.join(_names(graph, "root_id", "root"), "root_id").select("root", "ordinal", "local_name", "source", "owner_name")
+
+
+@register("gr18_content_parents", """SELECT 'C' || n_nationkey AS root, x.ordinal, x.entry, CASE x.entry WHEN 'group' THEN 'G' || n_regionkey ELSE 'top' END AS local_name, x.least AS min_occurs, x.most AS max_occurs, 'sequence(1..1)' AS path
+  FROM nation, (VALUES (1, 'group', 0, 1), (2, 'element', 1, NULL)) x(ordinal, entry, least, most)
+UNION ALL SELECT 'G' || r_regionkey, 1, 'element', 'g', 1, 1, 'choice(0..1)' FROM region""")
+def content_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Particles found under complex content and in groups; simple content has none, and a restriction does not take its base's."""
+    from lodestone.operators.graph import content_model
+
+    graph = _rich(spark, sf_dir)
+    found = content_model(graph, "transitional").withColumnRenamed("root", "root_id").join(_names(graph, "root_id", "root"), "root_id")
+    return found.select("root", "ordinal", "entry", "local_name", "min_occurs", "max_occurs", F.array_join("compositor_path", " > ").alias("path"))
+
+
+def _linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per nation in its region's folder, which imports its region's file and one that is not named; and a first file that imports all."""
+    from lodestone.functions.qname import DEFAULT_NAMESPACE
+
+    schema = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:own="urn:%s" targetNamespace="' + DEFAULT_NAMESPACE + '">%s</xs:schema>'
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    body = F.format_string('<xs:import namespace="urn:r" schemaLocation="../region%d.xsd"/><xs:import namespace="urn:none"/><xs:element name="twice"/><xs:element name="twice"/><xs:simpleType name="N%d"/>', "n_regionkey", "n_nationkey")
+    own = nation.select(F.format_string("r%d/n%d.xsd", "n_regionkey", "n_nationkey").alias("path"), F.format_string(schema, F.col("n_nationkey").cast("string"), body).alias("xml"))
+    region = table(spark, sf_dir, "region").select(F.format_string("region%d.xsd", "r_regionkey").alias("path"), F.format_string(schema, F.lit("r"), F.lit("<xs:attribute name='x'/>")).alias("xml"))
+    every = nation.agg(F.array_join(F.sort_array(F.collect_list(F.format_string('<xs:import schemaLocation="r%d/n%d.xsd"/>', "n_regionkey", "n_nationkey"))), "").alias("x"))
+    return own.union(region).union(every.select(F.lit("first.xsd"), F.format_string(schema, F.lit("first"), F.col("x"))))
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from lodestone.sources.schema_set import schema_set
+
+    return schema_set(_linked_files(spark, sf_dir), ["first.xsd"])
+
+
+@register("src3_prefixes", """SELECT 'r' || n_regionkey || '/n' || n_nationkey || '.xsd' AS doc, 'urn:' || n_nationkey AS own, 'http://www.w3.org/XML/1998/namespace' AS xml FROM nation
+UNION ALL SELECT DISTINCT 'region' || n_regionkey || '.xsd', 'urn:r', 'http://www.w3.org/XML/1998/namespace' FROM nation UNION ALL SELECT 'first.xsd', 'urn:first', 'http://www.w3.org/XML/1998/namespace'""")
+def document_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = lambda x: F.try_element_at("prefixes", F.lit(x)).alias(x)
+    return _linked(spark, sf_dir)["documents"].select("doc", prefix("own"), prefix("xml"))
+
+
+@register("src4_imports", """SELECT 'r' || n_regionkey || '/n' || n_nationkey || '.xsd' AS document, 'urn:r' AS namespace, 'region' || n_regionkey || '.xsd' AS target FROM nation
+UNION ALL SELECT 'r' || n_regionkey || '/n' || n_nationkey || '.xsd', 'urn:none', NULL FROM nation UNION ALL SELECT 'first.xsd', NULL, 'r' || n_regionkey || '/n' || n_nationkey || '.xsd' FROM nation""")
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets are paths from the folder's top; an import without a location has none."""
+    return _linked(spark, sf_dir)["imports"].select("document", "namespace", "target")
+
+
+@register("src5_declarations", f"""SELECT '{{http://schemas.openxmlformats.org/wordprocessingml/2006/main}}simpleType:N' || n_nationkey AS key, 1 AS n FROM nation
+UNION ALL SELECT '{{http://schemas.openxmlformats.org/wordprocessingml/2006/main}}element:twice', 2 * (SELECT count(*) FROM nation)
+UNION ALL SELECT '{{http://schemas.openxmlformats.org/wordprocessingml/2006/main}}attribute:x', (SELECT count(DISTINCT n_regionkey) FROM nation)""")
+def declaration_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.sources.schema_set import declaration_index
+
+    return declaration_index(_linked(spark, sf_dir)["declarations"]).select("key", F.size("declarations").cast("long").alias("n"))

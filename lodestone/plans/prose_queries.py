@@ -283,3 +283,29 @@ def shape_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = part.groupBy("p_brand").agg(F.sort_array(F.collect_set("p_type")).alias("guides"))
     shapes = part.join(lists, "p_brand").select(F.col("p_brand").alias("name"), "guides", F.col("p_partkey").alias("place"))
     return prose.guides(shapes)
+
+
+_HEADING = """CASE p_partkey % 10 WHEN 0 THEN '**' || n || '** **' || p_name || '**' WHEN 1 THEN '## ' || n || ' ' || p_name WHEN 2 THEN '# ' || p_size || ' ' || p_name WHEN 3 THEN '# ' || p_size || '. **' || p_name || '**'
+  WHEN 4 THEN '**annex ' || substr('ABCDE', CAST(p_partkey % 5 + 1 AS INT), 1) || '.** **' || p_name || '**' WHEN 5 THEN '| **' || n || '** **' || p_name || '** |' WHEN 6 THEN '**' || n || '** **' || p_name || ' .... 7**'
+  WHEN 7 THEN '**' || n || '**' WHEN 8 THEN n || ' ' || p_name ELSE '**' || n || '** . ' || p_name END"""
+
+
+@register("fn18_headings", f"""SELECT p_partkey, line, CASE p_partkey % 10 WHEN 0 THEN n WHEN 1 THEN n WHEN 3 THEN CAST(p_size AS VARCHAR) WHEN 4 THEN 'Annex ' || substr('ABCDE', CAST(p_partkey % 5 + 1 AS INT), 1) END AS section_id,
+  CASE WHEN p_partkey % 10 IN (0, 1, 3, 4) THEN p_name END AS title
+FROM (SELECT *, {_HEADING} AS line FROM (SELECT p_partkey, p_name, p_size, p_size || '.' || (p_partkey % 9) || '.' || (p_partkey % 4) AS n FROM part))""")
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three forms that are headings, and six that only look like one."""
+    named = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 9).cast("string"), (F.col("p_partkey") % 4).cast("string")).alias("n"))
+    lines = named.select("p_partkey", F.expr(_HEADING).alias("line"))
+    return lines.select("p_partkey", "line", X.match_heading(F.col("line")).alias("h")).select("p_partkey", "line", "h.section_id", "h.title")
+
+
+@register("fn20_annex_titles", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '(normative) ' || p_name WHEN 1 THEN '(normative)' WHEN 2 THEN 'Own title' ELSE '(normative)' END AS title FROM part""")
+def annex_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A title that is a qualifier goes on in the next line, if that is the first and styled."""
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    styled = F.concat(F.lit("**"), name, F.lit("**"))
+    head = F.when(k == 2, "**Annex B** **Own title**").otherwise("**Annex B** **(normative)**")
+    after = F.when(k == 1, F.concat(F.lit("\n"), name, F.lit("\n"), styled)).when(k == 3, F.lit("\n\n- \n\ntext")).otherwise(F.concat(F.lit("\n\n"), styled))
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.concat(head, after).alias("md"), F.lit(0).alias("page_offset"))
+    return X.sections(docs, ["p_partkey"]).where("ordinal = 1").select("p_partkey", "title")
