@@ -261,7 +261,7 @@ def _rich(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return ingest(schema_set(_rich_files(spark, sf_dir), ["rich.xsd"]), "transitional")
 
 
-def _names(graph: dict[str, DataFrame], id_col: str, out: str) -> DataFrame:
+def _named(graph: dict[str, DataFrame], id_col: str, out: str) -> DataFrame:
     return graph["symbols"].select(F.col("id").alias(id_col), F.col("local_name").alias(out))
 
 
@@ -269,7 +269,7 @@ def _names(graph: dict[str, DataFrame], id_col: str, out: str) -> DataFrame:
 UNION ALL SELECT 'S' || n_nationkey, 'E' || n_nationkey, 'extension' FROM nation UNION ALL SELECT 'C' || n_nationkey, 'S' || n_nationkey, 'restriction' FROM nation""")
 def inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = _rich(spark, sf_dir)
-    edges = graph["inheritance_edges"].join(_names(graph, "symbol_id", "name"), "symbol_id").join(_names(graph, "base_symbol_id", "base"), "base_symbol_id")
+    edges = graph["inheritance_edges"].join(_named(graph, "symbol_id", "name"), "symbol_id").join(_named(graph, "base_symbol_id", "base"), "base_symbol_id")
     return edges.select("name", "base", "relation")
 
 
@@ -285,7 +285,7 @@ def builtin_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("gr21_enum_values", "SELECT 'E' || s_nationkey AS name, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS order_index, s_name AS value FROM supplier")
 def enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = _rich(spark, sf_dir)
-    return graph["enums"].join(_names(graph, "symbol_id", "name"), "symbol_id").select("name", "order_index", "value")
+    return graph["enums"].join(_named(graph, "symbol_id", "name"), "symbol_id").select("name", "order_index", "value")
 
 
 @register("gr23_attribute_build", """SELECT 'A' || r_regionkey AS owner, 'common' AS local_name, 'required' AS attr_use, NULL AS default_value, NULL AS fixed_value, '{http://www.w3.org/2001/XMLSchema}int' AS type_ref FROM region
@@ -293,7 +293,7 @@ UNION ALL SELECT 'S' || n_nationkey, 'unit', 'optional', 'd', NULL, '{http://www
 UNION ALL SELECT 'C' || n_nationkey, 'lang', 'optional', NULL, 'f', '{http://www.w3.org/2001/XMLSchema}string' FROM nation""")
 def attribute_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = _rich(spark, sf_dir)
-    return graph["attr_edges"].join(_names(graph, "symbol_id", "owner"), "symbol_id").select("owner", "local_name", "attr_use", "default_value", "fixed_value", "type_ref")
+    return graph["attr_edges"].join(_named(graph, "symbol_id", "owner"), "symbol_id").select("owner", "local_name", "attr_use", "default_value", "fixed_value", "type_ref")
 
 
 @register("gr19_attribute_parents", """SELECT 'S' || n_nationkey AS root, x.ordinal, x.local_name, x.source, CASE x.ordinal WHEN 1 THEN 'S' || n_nationkey ELSE 'A' || n_regionkey END AS owner_name FROM nation, (VALUES (1, 'unit', 'self'), (2, 'common', 'attributeGroup')) x(ordinal, local_name, source)
@@ -305,7 +305,7 @@ def attribute_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = _rich(spark, sf_dir)
     roots = graph["symbols"].where("kind = 'complexType'")
     found = attributes(graph, "transitional", roots).withColumnRenamed("root", "root_id")
-    return found.join(_names(graph, "root_id", "root"), "root_id").select("root", "ordinal", "local_name", "source", "owner_name")
+    return found.join(_named(graph, "root_id", "root"), "root_id").select("root", "ordinal", "local_name", "source", "owner_name")
 
 
 @register("gr18_content_parents", """SELECT 'C' || n_nationkey AS root, x.ordinal, x.entry, CASE x.entry WHEN 'group' THEN 'G' || n_regionkey ELSE 'top' END AS local_name, x.least AS min_occurs, x.most AS max_occurs, 'sequence(1..1)' AS path
@@ -316,7 +316,7 @@ def content_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.operators.graph import content_model
 
     graph = _rich(spark, sf_dir)
-    found = content_model(graph, "transitional").withColumnRenamed("root", "root_id").join(_names(graph, "root_id", "root"), "root_id")
+    found = content_model(graph, "transitional").withColumnRenamed("root", "root_id").join(_named(graph, "root_id", "root"), "root_id")
     return found.select("root", "ordinal", "entry", "local_name", "min_occurs", "max_occurs", F.array_join("compositor_path", " > ").alias("path"))
 
 

@@ -23,3 +23,12 @@ def test_counts_agree_with_sql(spark, name):
     found = con.sql(entry.oracle_sql()[name])
     df = entry.queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(found.columns) and df.count() == len(found.fetchall())
+
+
+def test_no_name_is_defined_twice_in_a_module():
+    import ast
+    from pathlib import Path
+
+    for file in (Path(__file__).parents[1] / "lodestone").rglob("*.py"):
+        names = [x.name for x in ast.parse(file.read_text()).body if isinstance(x, ast.FunctionDef | ast.ClassDef)]
+        assert len(names) == len(set(names)), file
