@@ -237,6 +237,45 @@ def local_resolution(graph: Graph, profile: str) -> DataFrame:
     return resolved.select("namespace_uri", "local_name", F.when(single, "single").otherwise("ambiguous").alias("outcome"), F.when(single, F.col("type_ref")).alias("type_ref"), F.col("owners").cast("int").alias("owners"))
 
 
+def suggestions(graph: Graph, profile: str, asked: DataFrame, limit: int = 10) -> DataFrame:
+    """(local_name, place, vocabulary_id, kind, namespace_uri): for every asked local_name what `elsewhere` gives for one."""
+    names = asked.select("local_name").distinct()
+    found = named(graph, profile).where("parent_symbol_id IS NULL").join(names, "local_name", "left_semi").select("local_name", "vocabulary_id", "kind", "namespace_uri").distinct()
+    by = Window.partitionBy("local_name").orderBy("vocabulary_id", "kind", "namespace_uri")
+    return found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= limit)
+
+
+def owners(graph: Graph, profile: str, asked: DataFrame, groups: bool = False) -> DataFrame:
+    """What each asked (namespace_uri, local_name) stands for: element_id, element_outcome, element_type, owner_id, via, outcome.
+
+    An element is declared (top-level), single or ambiguous (inline only), or
+    none. The owner of children or attributes is the type of that name, else
+    the type of the top-level element, else (`groups`, if no element is
+    declared) the group, else the one type all inline declarations agree on;
+    `via` is type, element, group or local. The outcome is found, ambiguous
+    (inline declarations, but no one type) or none.
+    """
+    key = ["namespace_uri", "local_name"]
+    own = types(graph, profile).select(*key, F.col("id").alias("own_id"))
+    top = dereference(graph, profile, elements(graph, profile).select(*key, F.col("id").alias("element_id"), "type_ref"))
+    top = top.select(*key, "element_id", F.col("type_ref").alias("top_ref"), F.col("type_id").alias("top_id"))
+    inline = dereference(graph, profile, local_resolution(graph, profile))
+    inline = inline.select(*key, F.col("outcome").alias("inline"), F.col("type_ref").alias("inline_ref"), F.col("type_id").alias("inline_id"))
+    found = asked.select(*key).distinct().join(own, key, "left").join(top, key, "left").join(inline, key, "left")
+    if groups:
+        found = found.join(lookup(graph, profile, ("group",)).select(*key, F.col("id").alias("group_id")), key, "left")
+    else:
+        found = found.withColumn("group_id", F.lit(None).cast("int"))
+    declared = F.col("element_id").isNotNull()
+    grouped = F.when(~declared, F.col("group_id"))
+    owner = F.coalesce("own_id", "top_id", grouped, "inline_id")
+    via = F.when(F.col("own_id").isNotNull(), "type").when(F.col("top_id").isNotNull(), "element").when(grouped.isNotNull(), "group").when(F.col("inline_id").isNotNull(), "local")
+    return found.select(
+        *key, "element_id", F.when(declared, "declared").otherwise(F.coalesce("inline", F.lit("none"))).alias("element_outcome"), F.when(declared, F.col("top_ref")).otherwise(F.col("inline_ref")).alias("element_type"),
+        owner.alias("owner_id"), via.alias("via"), F.when(owner.isNotNull(), "found").when(F.col("inline").isNotNull(), "ambiguous").otherwise("none").alias("outcome"),
+    )
+
+
 def import_closure(imports: DataFrame, entrypoints: list[str]) -> DataFrame:
     """(path, hops): every document reached from the entrypoints over (document, target) edges, at its shortest distance.
 

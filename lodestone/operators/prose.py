@@ -16,6 +16,15 @@ def section(rows: DataFrame, prefix: str, part: int | None = None, escape: bool
     return found.orderBy(F.asc_nulls_last("section_id"), "id")
 
 
+def section_page(rows: DataFrame, prefix: str, size: int, part: int | None = None, after: str | None = None) -> DataFrame:
+    """The next `size` rows of `section`; `after` is the last row's mark, its section id, # and its id."""
+    found = section(rows, prefix, part)
+    if after is not None:
+        name, _, number = after.rpartition("#")
+        found = found.where((F.col("section_id") > name) | ((F.col("section_id") == name) & (F.col("id") > int(number))))
+    return found.limit(size)
+
+
 def exact_section(rows: DataFrame, part: int, section_id: str) -> DataFrame:
     return rows.where((F.col("part_number") == part) & (F.col("section_id") == section_id)).orderBy("id")
 

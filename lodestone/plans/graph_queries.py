@@ -70,7 +70,7 @@ def compositor_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.compositor_tree(tables(spark, sf_dir, "compositors", "profiles"), PROFILE).drop("place")
 
 
-@register("gr5_content_model", sql("WITH " + _CHAIN.format(more="e.relation = 'extension' AND") + "," + _TREE + """,
+_LEAVES = """
   leaves AS (
     SELECT t.owner, 1 AS phase, t.place || [e.order_index, 0, e.id] AS place, 'element' AS entry, e.child_symbol_id AS child, n.uri, e.min_occurs, e.max_occurs, e.order_index, t.kind AS compositor_kind, t.path
     FROM tree t JOIN child_edges e ON e.compositor_id = t.compositor_id
@@ -80,10 +80,13 @@ def compositor_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM tree t JOIN group_edges g ON g.compositor_id = t.compositor_id WHERE g.ref_kind = 'group'
     UNION ALL
     SELECT parent_symbol_id, 2, [order_index, 1, id], 'group', group_symbol_id, NULL, min_occurs, max_occurs, order_index, NULL, []
-    FROM group_edges WHERE ref_kind = 'group' AND compositor_id IS NULL)
-SELECT c.root, CAST(row_number() OVER (PARTITION BY c.root ORDER BY c.depth DESC, l.phase, l.place) AS INT) AS ordinal, l.entry, s.local_name, s.vocabulary_id, l.uri AS namespace_uri,
+    FROM group_edges WHERE ref_kind = 'group' AND compositor_id IS NULL)"""
+_MODEL = """SELECT c.root, CAST(row_number() OVER (PARTITION BY c.root ORDER BY c.depth DESC, l.phase, l.place) AS INT) AS ordinal, l.entry, s.local_name, s.vocabulary_id, l.uri AS namespace_uri,
   l.min_occurs, l.max_occurs, l.order_index, l.compositor_kind, l.path AS compositor_path, CASE WHEN c.depth = 0 THEN 'self' ELSE 'inherited' END AS source, o.local_name AS owner_name
-FROM chain c JOIN leaves l ON l.owner = c.type JOIN symbols s ON s.id = l.child JOIN symbols o ON o.id = c.type""", *ALL))
+FROM chain c JOIN leaves l ON l.owner = c.type JOIN symbols s ON s.id = l.child JOIN symbols o ON o.id = c.type"""
+
+
+@register("gr5_content_model", sql("WITH " + _CHAIN.format(more="e.relation = 'extension' AND") + "," + _TREE + "," + _LEAVES + "\n" + _MODEL, *ALL))
 def content_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.content_model(tables(spark, sf_dir, *ALL), PROFILE)
 
@@ -99,10 +102,12 @@ _WALK = """
   kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root, local_name ORDER BY spot) AS rn FROM found) WHERE rn = 1)"""
 
 
-@register("gr8_attributes", sql("WITH " + _WALK + """
-SELECT k.root, CAST(row_number() OVER (PARTITION BY k.root ORDER BY k.spot) AS INT) AS ordinal, k.local_name, k.attr_use, k.default_value, k.fixed_value, k.type_ref,
+_ATTRIBUTES = """SELECT k.root, CAST(row_number() OVER (PARTITION BY k.root ORDER BY k.spot) AS INT) AS ordinal, k.local_name, k.attr_use, k.default_value, k.fixed_value, k.type_ref,
   CASE WHEN k.g THEN 'attributeGroup' WHEN k.node = k.root THEN 'self' ELSE 'inherited' END AS source, o.local_name AS owner_name
-FROM kept k JOIN symbols o ON o.id = k.node""", "symbols", "profiles", "group_edges", "inheritance_edges", "attr_edges"))
+FROM kept k JOIN symbols o ON o.id = k.node"""
+
+
+@register("gr8_attributes", sql("WITH " + _WALK + "\n" + _ATTRIBUTES, "symbols", "profiles", "group_edges", "inheritance_edges", "attr_edges"))
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.attributes(tables(spark, sf_dir, "symbols", "profiles", "group_edges", "inheritance_edges", "attr_edges"), PROFILE)
 

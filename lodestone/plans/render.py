@@ -102,11 +102,11 @@ def search_results(query: str, rows: list[Row]) -> str:
     return f'## Results for "{query}"\n\n' + "\n\n---\n\n".join(blocks)
 
 
-def section_results(section_id: str, rows: list[Row]) -> str:
+def section_results(section_id: str, rows: list[Row], more: str | None = None) -> str:
     if not rows:
         return f'Section "{section_id}" not found.'
     blocks = [(f"### {r['title']}\n" if r["title"] else "") + f"**Part {r['part_number']}**, {part_name(r['part_number'])}\n\n{r['content']}" for r in rows]
-    return f"## Section {section_id}\n\n" + "\n\n".join(blocks)
+    return f"## Section {section_id}\n\n" + "\n\n".join(blocks) + (f"\n\nMore follows; ask again with after `{more}`." if more else "")
 
 
 def part_listing(rows: list[Row], part: int | None) -> str:

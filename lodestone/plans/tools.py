@@ -27,16 +27,17 @@ class ToolError(Exception):
 
 @dataclass
 class Engine:
-    """Tables and injectable parts: `embed` turns a query into a vector, `record` is told of each successful call."""
+    """Tables and injectable parts: `embed` turns a query into a vector, `record` is told of each successful call; a section report holds `page_rows` rows."""
 
     spark: SparkSession
     graph: dict[str, DataFrame] = field(default_factory=dict)
     content: DataFrame | None = None
-    embed: Callable[[str], list[float]] = lambda text: vector.embed_text(text).tolist()
+    embed: Callable[[str], list[float] | DataFrame] = lambda text: vector.embed_text(text).tolist()
     record: Callable[[Row], None] | None = None
     clock: Callable[[], datetime] = lambda: datetime.now(UTC)
     prefixes: dict[str, str] = field(default_factory=lambda: PREFIXES)
     profile: str = "transitional"
+    page_rows: int = 50
 
     def call(self, name: str, args: dict | None = None, user: str = "", client: str = "", surface: str = "api") -> str:
         """Run one tool. A recorder that fails does not lose the result; failed calls are not recorded."""
@@ -72,8 +73,13 @@ class Engine:
         return render.search_results(query, found.collect())
 
     def _section(self, args: dict) -> str:
-        wanted = self._need(args, "section_id")
-        return render.section_results(wanted, prose.section(self.content, wanted, self._part(args)).collect())
+        """A page of rows at a time: a short prefix or a wildcard can match the whole table."""
+        wanted, after = self._need(args, "section_id"), args.get("after")
+        if after is not None and not (isinstance(after, str) and after.rpartition("#")[2].isdecimal()):
+            raise ToolError(INVALID_PARAMS, "after must be the mark that the page before ended with")
+        rows = prose.section_page(self.content, wanted, self.page_rows + 1, self._part(args), after).collect()
+        more = f"{rows[-2]['section_id']}#{rows[-2]['id']}" if len(rows) > self.page_rows else None
+        return render.section_results(wanted, rows[: self.page_rows], more)
 
     def _parts(self, args: dict) -> str:
         part = self._part(args)
@@ -89,20 +95,13 @@ class Engine:
     def _named(self, df: DataFrame, q: Row) -> Row | None:
         return df.where((F.col("namespace_uri") == q["namespace"]) & (F.col("local_name") == q["local_name"])).orderBy("id").first()
 
-    def _target(self, clark: str | None, profile: str) -> Row | None:
-        if not clark or not clark.startswith("{"):
-            return None
-        namespace, _, local = clark[1:].partition("}")
-        return self._named(graph.types(self.graph, profile), Row(namespace=namespace, local_name=local))
-
-    def _local(self, q: Row, profile: str) -> tuple[str, list[Row], Row | None]:
-        """none, single or ambiguous; the declarations; the type of a single one."""
-        rows = graph.local_elements(self.graph, profile).where((F.col("namespace_uri") == q["namespace"]) & (F.col("local_name") == q["local_name"])).orderBy("owner_kind", "owner_name", "id").collect()
-        if not rows:
-            return "none", rows, None
-        refs = {r["type_ref"] for r in rows}
-        target = self._target(rows[0]["type_ref"], profile) if len(refs) == 1 and None not in refs else None
-        return ("single" if target else "ambiguous"), rows, target
+    def _local(self, q: Row, profile: str) -> list[Row]:
+        found = graph.local_elements(self.graph, profile).where((F.col("namespace_uri") == q["namespace"]) & (F.col("local_name") == q["local_name"]))
+        return found.orderBy("owner_kind", "owner_name", "id").collect()
+
+    def _owner(self, q: Row, profile: str, groups: bool = False) -> Row:
+        asked = self.spark.createDataFrame([(q["namespace"], q["local_name"])], "namespace_uri string, local_name string")
+        return graph.owners(self.graph, profile, asked, groups).first()
 
     def _missing(self, what: str, q: Row, profile: str, kind: str | None = None) -> str:
         others = graph.elsewhere(self.graph, profile, q["local_name"], kind).collect()
@@ -112,14 +111,13 @@ class Engine:
         q, profile = self._qname(args), args.get("profile", self.profile)
         if not q["ok"]:
             return render.not_found(f"the name cannot be read: {q['reason']}")
-        hit = self._named(graph.elements(self.graph, profile), q)
-        if hit:
-            return render.symbol("Element", hit, profile)
-        outcome, rows, _ = self._local(q, profile)
+        outcome = self._owner(q, profile)["element_outcome"]
+        if outcome == "declared":
+            return render.symbol("Element", self._named(graph.elements(self.graph, profile), q), profile)
         if outcome == "single":
-            return render.local_element(q["local_name"], rows, profile)
+            return render.local_element(q["local_name"], self._local(q, profile), profile)
         if outcome == "ambiguous":
-            return render.ambiguous(q["local_name"], rows)
+            return render.ambiguous(q["local_name"], self._local(q, profile))
         return self._missing("element", q, profile, "element")
 
     def _type(self, args: dict) -> str:
@@ -135,22 +133,14 @@ class Engine:
         q, profile = self._qname(args), args.get("profile", self.profile)
         if not q["ok"]:
             return render.not_found(f"the name cannot be read: {q['reason']}")
-        owner, note = self._named(graph.types(self.graph, profile), q), ""
-        if not owner:
-            element = self._named(graph.elements(self.graph, profile), q)
-            if element:
-                owner, note = self._target(element["type_ref"], profile), f"Element `{element['local_name']}` has this type.\n\n"
-            elif groups:
-                owner = self._named(graph.lookup(self.graph, profile, ("group",)), q)
-        if not owner:
-            outcome, rows, target = self._local(q, profile)
-            if outcome == "ambiguous":
-                return render.ambiguous(q["local_name"], rows)
-            if outcome == "none":
-                return self._missing(f"{what} of", q, profile)
-            owner, note = target, f"Resolved from the local element `{q['local_name']}`.\n\n"
-        root = self.graph["symbols"].where(F.col("id") == owner["id"])
-        return show(owner, find(self.graph, profile, root).orderBy("ordinal").collect(), note)
+        answer = self._owner(q, profile, groups)
+        if answer["outcome"] == "ambiguous":
+            return render.ambiguous(q["local_name"], self._local(q, profile))
+        if answer["outcome"] == "none":
+            return self._missing(f"{what} of", q, profile)
+        notes = {"element": f"Element `{q['local_name']}` has this type.\n\n", "local": f"Resolved from the local element `{q['local_name']}`.\n\n"}
+        root = self.graph["symbols"].where(F.col("id") == answer["owner_id"])
+        return show(root.first(), find(self.graph, profile, root).orderBy("ordinal").collect(), notes.get(answer["via"], ""))
 
     def _children(self, args: dict) -> str:
         return self._of_type(args, "children", True, graph.content_model, render.children)

@@ -6,16 +6,11 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read from there.
-
-    The folder is the session's spark.checkpoint.dir; only a purely local
-    session that lacks it gets one of its own.
-    """
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's spark.checkpoint.dir; only a purely local session that lacks it gets one of its own."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,4 +19,10 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = "file:" + os.path.join(tempfile.gettempdir(), "checkpoints")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)

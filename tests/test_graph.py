@@ -179,3 +179,34 @@ def test_compositors_end_at_one_they_have_met(spark):
         "compositors": spark.createDataFrame([(i, s, p, 1, "sequence", 1, 1, 0) for i, s, p in rows], "id int, parent_symbol_id int, parent_compositor_id int, profile_id int, kind string, min_occurs int, max_occurs int, order_index int"),
     }
     assert sorted((r.owner, r.compositor_id, len(r.path)) for r in G.compositor_tree(tables, "transitional").collect()) == [(7, 1, 1), (7, 2, 2), (7, 3, 3), (8, 4, 1), (8, 5, 2)]
+
+
+def test_names_are_resolved_together_as_one_by_one(spark, graph):
+    names = ["page", "grid", "width", "Base", "Inline", "Side", "note", "nothing"]
+    asked = spark.createDataFrame([(W, x) for x in names] + [(W, "page"), (None, "page"), ("urn:none", None)], "namespace_uri string, local_name string")
+    found = {(r.namespace_uri, r.local_name): r for r in G.owners(graph, "transitional", asked, groups=True).collect()}
+    assert len(found) == len(names) + 2
+    got = {x: (found[W, x].element_outcome, found[W, x].outcome, found[W, x].via) for x in names}
+    assert got["page"] == ("declared", "found", "element")
+    assert got["grid"] == ("ambiguous", "ambiguous", None) and got["width"][0] == "single"
+    assert got["Base"] == ("none", "found", "type") and got["Side"] == ("none", "found", "type")
+    assert got["Inline"] == ("none", "found", "group") and got["nothing"] == ("none", "none", None)
+    assert found[None, "page"].outcome == "none" and found["urn:none", None].outcome == "none"
+    assert G.owners(graph, "transitional", asked.limit(0)).count() == 0
+    assert G.owners(graph, "transitional", asked.where("local_name = 'Inline'")).first().outcome == "none"
+    listed = G.suggestions(graph, "transitional", asked.where("local_name = 'Base'")).collect()
+    assert [r.place for r in listed] == list(range(1, len(listed) + 1)) and listed
+
+
+def test_a_section_report_is_read_page_by_page(spark):
+    rows = [(i, 1, f"1.{i % 3}" if i < 9 else "1", "a title" if i % 2 else None, f"text {i}") for i in range(12)]
+    content = spark.createDataFrame(rows, "id int, part_number int, section_id string, title string, content string")
+    whole = Engine(spark, content=content).call("section", {"section_id": "1"})
+    engine, after, order = Engine(spark, content=content, page_rows=5), None, []
+    for _ in range(3):
+        text = engine.call("section", {"section_id": "1", "after": after})
+        order += [x for x in text.split("\n") if x.startswith("text ")]
+        after = text.rpartition("after `")[2].removesuffix("`.") if "More follows" in text else None
+    assert after is None and order == [x for x in whole.split("\n") if x.startswith("text ")] and len(order) == 12
+    with pytest.raises(ToolError):
+        engine.call("section", {"section_id": "1", "after": "nothing"})
