@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from threading import Lock
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +41,38 @@ def append(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def recorder(spark: SparkSession, path: str):
-    """A function that appends one usage row to a table, for the tools' `record`."""
-    schema = T.StructType([f for f in TABLES["usage_events"].fields if f.name != "id"])
+class Recorder:
+    """Appends usage rows to a table, for the tools' `record`: `rows` of them a file, the rest at `flush` or the end of a `with` block.
+
+    Rows not yet written are lost with the driver; at one row a file none are.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, rows: int = 1):
+        self.spark, self.path, self.rows = spark, path, rows
+        self.schema = T.StructType([f for f in TABLES["usage_events"].fields if f.name != "id"])
+        self._waiting: list[object] = []
+        self._lock = Lock()
+
+    def __call__(self, row: object) -> None:
+        with self._lock:
+            self._waiting.append(row)
+            full = len(self._waiting) >= self.rows
+        if full:
+            self.flush()
+
+    def flush(self) -> None:
+        """Write what waits; if that fails it goes on waiting."""
+        with self._lock:
+            if self._waiting:
+                self.spark.createDataFrame(self._waiting, self.schema).coalesce(1).write.mode("append").parquet(self.path)
+                self._waiting = []
+
+    def __enter__(self) -> Recorder:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.flush()
 
-    def record(row: object) -> None:
-        spark.createDataFrame([row], schema).write.mode("append").parquet(path)
 
-    return record
+def recorder(spark: SparkSession, path: str, rows: int = 1) -> Recorder:
+    return Recorder(spark, path, rows)

@@ -78,3 +78,15 @@ def test_recorder_appends(spark, tmp_path):
     for tool in ("search", "type"):
         record(Row(user_id="u", client_id="c", tool=tool, surface="api", occurred_at=datetime(2024, 1, 1)))
     assert sorted(r.tool for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["search", "type"]
+
+
+def test_recorder_gathers_rows_before_it_writes(spark, tmp_path):
+    path, row = str(tmp_path / "log"), Row(user_id="u", client_id="c", tool="type", surface="api", occurred_at=datetime(2024, 1, 1))
+    with usage.recorder(spark, path, rows=3) as record:
+        for _ in range(2):
+            record(row)
+        assert not (tmp_path / "log").exists()
+        for _ in range(2):
+            record(row)
+        assert spark.read.parquet(path).count() == 3
+    assert spark.read.parquet(path).count() == 4 and len(list((tmp_path / "log").glob("*.parquet"))) == 2
