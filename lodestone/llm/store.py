@@ -56,10 +56,17 @@ def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator
 
 
 def lean(texts: DataFrame, rows: int = 1_000) -> DataFrame:
-    """texts, with Arrow batches of at most `rows` rows in this session: long texts come in batches of some megabytes."""
+    """texts, with Arrow batches of at most `rows` rows in this session: long texts come in batches of some megabytes.
+
+    Spark reads the setting when a plan is executed, so it cannot end with the
+    call: it stays lowered, the lowest bound asked for holds whatever the order
+    of calls, and a lower one of the session's own is kept. Results do not
+    depend on it.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = importable(texts.sparkSession).conf
-    conf.set(key, str(rows))
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
     return texts
 
 
