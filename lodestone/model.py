@@ -54,6 +54,20 @@ KEYS: dict[str, tuple[str, ...]] = {
     "inheritance_edges": ("symbol_id", "profile_id"),
 }
 
+#: What columns refer to: the table whose id they hold, and whether a delete there takes the row along.
+REFERENCES: dict[str, dict[str, tuple[str, bool]]] = {
+    "spec_content": {"source_id": ("reference_sources", False)},
+    "symbols": {"parent_symbol_id": ("symbols", True)},
+    "symbol_profiles": {"symbol_id": ("symbols", True), "profile_id": ("profiles", True), "namespace_id": ("namespaces", False), "source_id": ("reference_sources", False)},
+    "compositors": {"parent_symbol_id": ("symbols", True), "parent_compositor_id": ("compositors", True), "profile_id": ("profiles", True)},
+    "child_edges": {"parent_symbol_id": ("symbols", True), "compositor_id": ("compositors", True), "child_symbol_id": ("symbols", False), "profile_id": ("profiles", True)},
+    "attr_edges": {"symbol_id": ("symbols", True), "attr_symbol_id": ("symbols", False), "profile_id": ("profiles", True)},
+    "group_edges": {"parent_symbol_id": ("symbols", True), "compositor_id": ("compositors", True), "group_symbol_id": ("symbols", False), "profile_id": ("profiles", True)},
+    "inheritance_edges": {"symbol_id": ("symbols", True), "base_symbol_id": ("symbols", False), "profile_id": ("profiles", True)},
+    "enums": {"symbol_id": ("symbols", True), "profile_id": ("profiles", True)},
+    "behavior_notes": {"symbol_id": ("symbols", True), "source_id": ("reference_sources", False)},
+}
+
 
 def duplicate_keys(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Key values that occur more than once; nulls are values, so two null parents clash."""
@@ -90,8 +104,7 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
                 count(outside_domain(df, column, domain), table, f"domain of {column}")
         if table == "compositors":
             count(parents_not_exclusive(df), table, "one parent")
-        for column in df.columns:
-            target = {"symbol_id": "symbols", "profile_id": "profiles", "namespace_id": "namespaces", "compositor_id": "compositors"}.get(column.replace("parent_", "").replace("child_", "").replace("group_", "").replace("base_", "").replace("attr_", ""))
-            if target in tables and (table, column) != (target, "id"):
+        for column, (target, _) in REFERENCES.get(table, {}).items():
+            if target in tables and column in df.columns:
                 count(dangling(df, column, tables[target]), table, f"{column} in {target}")
     return reduce(DataFrame.union, found)

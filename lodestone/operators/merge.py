@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.model import REFERENCES
 from lodestone.operators.number import numbered
 from lodestone.staging import cut
 
@@ -82,31 +83,54 @@ def delete_unreferenced(old: DataFrame, condition: Column, references: DataFrame
     return old.join(doomed, F.col(key) == F.col("_doomed"), "left_anti")
 
 
-def cascade(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
-    """The graph without the symbols in `doomed` (id), their inline symbols and everything that hangs off them."""
-    out = dict(tables)
-    gone = doomed.select("id").distinct()
-    inline = tables["symbols"].join(gone.withColumnRenamed("id", "_id"), F.col("parent_symbol_id") == F.col("_id"), "left_semi").select("id")
-    gone = cut(gone.union(inline).distinct())
-    out["symbols"] = delete_where_in(tables["symbols"], "id", gone, "id")
-    out["compositors"] = cut(delete_where_in(tables["compositors"], "parent_symbol_id", gone, "id"))
-    live = out["compositors"]
-    tops = live.where("parent_compositor_id IS NULL").select("id")
-    from lodestone.operators.graph import _recursive
-
-    reach = _recursive(
-        {"tops": tops, "nodes": live.select("id", "parent_compositor_id")},
-        "WITH RECURSIVE r(id) AS (SELECT id FROM {tops} UNION ALL SELECT n.id FROM r JOIN {nodes} n ON n.parent_compositor_id = r.id) SELECT id FROM r",
-    )
-    out["compositors"] = cut(live.join(reach, "id", "left_semi"))
-    for table, columns in {"symbol_profiles": ["symbol_id"], "child_edges": ["parent_symbol_id", "child_symbol_id"], "attr_edges": ["symbol_id", "attr_symbol_id"], "group_edges": ["parent_symbol_id", "group_symbol_id"], "inheritance_edges": ["symbol_id", "base_symbol_id"], "enums": ["symbol_id"]}.items():
-        if table in out:
-            for column in columns:
-                out[table] = delete_where_in(out[table], column, gone, "id")
-    for table in ("child_edges", "group_edges"):
-        if table in out:
-            bare = F.col("compositor_id").isNull()
-            out[table] = out[table].where(bare).unionByName(out[table].join(out["compositors"].select(F.col("id").alias("compositor_id")), "compositor_id", "left_semi").select(*out[table].columns))
+def fallen(tables: dict[str, DataFrame], doomed: DataFrame, of: str = "symbols") -> dict[str, DataFrame]:
+    """(id) per table that others refer to: the rows that go with the rows of `of` in doomed (id).
+
+    A fixpoint over the references of the model that take rows along: every
+    round finds the rows that refer to those of the round before and have not
+    been found yet, so there are as many rounds as levels, and cycles end.
+    """
+    gone = {of: cut(doomed.select("id").where("id IS NOT NULL").distinct())}
+    new = dict(gone)
+    targets = {target for refs in REFERENCES.values() for target, falls in refs.values() if falls}
+    while new:
+        step = {}
+        for table in targets & tables.keys():
+            over = [c for c, (target, falls) in REFERENCES.get(table, {}).items() if falls and target in new and c in tables[table].columns]
+            if not over:
+                continue
+            found = [tables[table].join(new[REFERENCES[table][c][0]].select(F.col("id").alias("_key")), F.col(c) == F.col("_key"), "left_semi").select("id") for c in over]
+            rows = reduce(DataFrame.union, found).distinct()
+            rows = cut(rows.join(gone[table], "id", "left_anti") if table in gone else rows)
+            if not rows.isEmpty():
+                step[table] = rows
+        for table, rows in step.items():
+            gone[table] = gone[table].union(rows) if table in gone else rows
+        new = step
+    return gone
+
+
+def cascade(tables: dict[str, DataFrame], doomed: DataFrame, of: str = "symbols", restrict: bool = False) -> dict[str, DataFrame]:
+    """tables without the rows of `of` in doomed (id) and without all that hangs off them, through however many tables.
+
+    References that do not take rows along (an edge's other end, say) are
+    deleted too, or, with `restrict`, are an error if the row that holds one
+    would stay. A null reference holds nothing; ids that do not exist are
+    passed over; tables the model does not know stay as they are.
+    """
+    gone = fallen(tables, doomed, of)
+    out = {}
+    for table, df in tables.items():
+        refs = {c: x for c, x in REFERENCES.get(table, {}).items() if x[0] in gone and c in df.columns}
+        left = delete_where_in(df, "id", gone[table], "id") if table in gone else df
+        for column, (target, falls) in sorted(refs.items(), key=lambda x: not x[1][1]):
+            if falls or not restrict:
+                left = delete_where_in(left, column, gone[target], "id")
+            else:
+                fault = F.raise_error(F.concat(F.lit(f"{table}.{column} still refers to {target} "), F.col(column).cast("string")))
+                keys = gone[target].select(F.col("id").alias("_key"))
+                left = left.join(keys, F.col(column) == F.col("_key"), "left").where(F.when(F.col("_key").isNotNull(), fault).otherwise(F.lit(True))).drop("_key")
+        out[table] = left
     return out
 
 

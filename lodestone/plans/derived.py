@@ -54,7 +54,21 @@ PROSE: dict[str, str] = {
 }
 USAGE: dict[str, str] = {"usage_events": "SELECT event_id AS id, CAST(user_id AS STRING) AS user_id, event_type AS tool, ts AS occurred_at FROM {events}"}
 
-VIEWS = GRAPH | PROSE | USAGE
+#: A graph in which symbols lie three deep within others, and compositors four deep.
+DEEP: dict[str, str] = {
+    "deep_symbols": "SELECT CAST(p_partkey AS INT) AS id, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey - 1 AS INT) END AS parent_symbol_id, p_name AS local_name FROM {part}",
+    "deep_members": "SELECT CAST(p_partkey AS INT) AS id, CAST(p_partkey AS INT) AS symbol_id, 1 AS profile_id, CAST(p_partkey % 13 AS INT) AS source_id FROM {part}",
+    "deep_compositors": """SELECT CAST(p_partkey * 5 + v.j AS INT) AS id, CASE WHEN v.j = 0 THEN CAST(p_partkey AS INT) END AS parent_symbol_id,
+        CASE WHEN v.j > 0 THEN CAST(p_partkey * 5 + v.j - 1 AS INT) END AS parent_compositor_id FROM {part} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS v(j)""",
+    "deep_children": """SELECT CAST(l_orderkey * 8 + l_linenumber AS INT) AS id, CAST(l_partkey AS INT) AS parent_symbol_id, CAST(l_partkey * 5 + l_linenumber % 5 AS INT) AS compositor_id,
+        CAST(l_suppkey AS INT) AS child_symbol_id FROM {lineitem}""",
+    "deep_groups": """SELECT CAST(o_orderkey AS INT) AS id, CAST(o_orderkey % 1999 AS INT) AS parent_symbol_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST((o_orderkey % 1999) * 5 + o_orderkey % 5 AS INT) END AS compositor_id,
+        CAST(o_custkey AS INT) AS group_symbol_id FROM {orders}""",
+    "deep_bases": "SELECT CAST(p_partkey AS INT) AS id, CAST(p_partkey AS INT) AS symbol_id, CAST(p_size * 7 AS INT) AS base_symbol_id FROM {part}",
+    "deep_notes": "SELECT CAST(event_id AS INT) AS id, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 1999 AS INT) END AS symbol_id FROM {events}",
+}
+
+VIEWS = GRAPH | PROSE | USAGE | DEEP
 _NAMED = {t: t for t in TABLES}
 
 

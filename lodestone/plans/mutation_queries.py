@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +136,25 @@ def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_DEEP = {"symbols": "deep_symbols", "symbol_profiles": "deep_members", "compositors": "deep_compositors", "child_edges": "deep_children", "group_edges": "deep_groups", "inheritance_edges": "deep_bases", "behavior_notes": "deep_notes"}
+
+
+@register("snk14_deep_cascade", sql("""WITH gone(id) AS (SELECT symbol_id FROM deep_members WHERE source_id = 2 UNION SELECT s.id FROM gone JOIN deep_symbols s ON s.parent_symbol_id = gone.id),
+  lost(id) AS (SELECT id FROM deep_compositors WHERE parent_symbol_id IN (SELECT id FROM gone) UNION SELECT c.id FROM lost JOIN deep_compositors c ON c.parent_compositor_id = lost.id)
+SELECT 'symbols' AS t, id FROM deep_symbols WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'symbol_profiles', id FROM deep_members WHERE symbol_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'compositors', id FROM deep_compositors WHERE id NOT IN (SELECT id FROM lost)
+UNION ALL SELECT 'child_edges', id FROM deep_children WHERE parent_symbol_id NOT IN (SELECT id FROM gone) AND child_symbol_id NOT IN (SELECT id FROM gone) AND compositor_id NOT IN (SELECT id FROM lost)
+UNION ALL SELECT 'group_edges', id FROM deep_groups WHERE parent_symbol_id NOT IN (SELECT id FROM gone) AND group_symbol_id NOT IN (SELECT id FROM gone) AND (compositor_id IS NULL OR compositor_id NOT IN (SELECT id FROM lost))
+UNION ALL SELECT 'inheritance_edges', id FROM deep_bases WHERE symbol_id NOT IN (SELECT id FROM gone) AND base_symbol_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'behavior_notes', id FROM deep_notes WHERE symbol_id IS NULL OR symbol_id NOT IN (SELECT id FROM gone)""", *_DEEP.values()))
+def deep_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's symbols go, with what lies in them at any depth; every row that is left."""
+    views = tables(spark, sf_dir, *_DEEP.values())
+    left = merge.purge_source({name: views[view] for name, view in _DEEP.items()}, 2)
+    return reduce(DataFrame.union, [df.select(F.lit(name).alias("t"), "id") for name, df in left.items()])
+
+
 @register("flt11_delete_unreferenced", "SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'MACHINERY' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'))")
 def delete_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")

@@ -6,7 +6,8 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
@@ -24,5 +25,25 @@ def shared(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read from there."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared(spark)
+    try:
+        return df.checkpoint(eager=True)
+    except Py4JJavaError as error:
+        # Over some unions Spark fails while it infers filters from a plan's constraints; the query is fine, so it is planned anew without them.
+        if "key not found" not in str(error.java_exception):
+            raise
+        key = "spark.sql.constraintPropagation.enabled"
+        before = spark.conf.get(key, "true")
+        spark.conf.set(key, "false")
+        try:
+            return df.select("*").checkpoint(eager=True)
+        finally:
+            spark.conf.set(key, before)
+
+
+def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`cut`, and aggregates that are taken while the rows are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[x.alias(name) for name, x in metrics.items()]))
+    return out, {name: value or 0 for name, value in seen.get.items()}

@@ -4,6 +4,7 @@ import pytest
 
 from lodestone import model
 from lodestone.operators import graph as G
+from lodestone.operators import merge
 from lodestone.operators.ingest import ingest
 from lodestone.plans.tools import METHOD_NOT_FOUND, Engine, ToolError, rpc
 from lodestone.sources.schema_set import declaration_index, relative_path, schema_set
@@ -210,3 +211,41 @@ def test_a_section_report_is_read_page_by_page(spark):
     assert after is None and order == [x for x in whole.split("\n") if x.startswith("text ")] and len(order) == 12
     with pytest.raises(ToolError):
         engine.call("section", {"section_id": "1", "after": "nothing"})
+
+
+def nested_graph(spark):
+    symbols = [(1, None), (2, 1), (3, 2), (4, 3), (5, None), (6, 7), (7, 6), (8, None)]  # 1 holds 2 holds 3 holds 4; 6 and 7 hold each other
+    compositors = [(10, 3, None), (11, None, 10), (12, None, 11), (13, None, 12), (14, None, 13), (20, 5, None), (21, None, 20)]
+    return {
+        "symbols": spark.createDataFrame(symbols, "id int, parent_symbol_id int"),
+        "compositors": spark.createDataFrame(compositors, "id int, parent_symbol_id int, parent_compositor_id int"),
+        "child_edges": spark.createDataFrame([(1, 3, 14, 5), (2, 5, 21, 8), (3, 5, 20, 4)], "id int, parent_symbol_id int, compositor_id int, child_symbol_id int"),
+        "group_edges": spark.createDataFrame([(1, 5, 14, 8), (2, 5, None, 8)], "id int, parent_symbol_id int, compositor_id int, group_symbol_id int"),
+        "behavior_notes": spark.createDataFrame([(1, 4), (2, None), (3, 6)], "id int, symbol_id int"),
+        "unknown": spark.createDataFrame([(1, 1)], "id int, symbol_id int"),
+    }
+
+
+def ids(df):
+    return sorted(r.id for r in df.collect())
+
+
+def test_a_delete_leaves_no_orphan_at_any_depth(spark):
+    graph = nested_graph(spark)
+    left = merge.cascade(graph, spark.createDataFrame([(1,), (1,), (None,), (99,)], "id int"))
+    assert {k: ids(v) for k, v in left.items()} == {"symbols": [5, 6, 7, 8], "compositors": [20, 21], "child_edges": [2], "group_edges": [2], "behavior_notes": [2, 3], "unknown": [1]}
+    for table, refs in model.REFERENCES.items():
+        for column, (target, _) in refs.items():
+            if table in left and target in left and column in left[table].columns:
+                assert model.dangling(left[table], column, left[target]).isEmpty(), (table, column)
+    assert ids(merge.cascade(graph, spark.createDataFrame([(7,)], "id int"))["symbols"]) == [1, 2, 3, 4, 5, 8]
+    nothing = merge.cascade(graph, spark.createDataFrame([], "id int"))
+    assert {k: ids(v) for k, v in nothing.items()} == {k: ids(v) for k, v in graph.items()}
+
+
+def test_a_delete_may_be_refused(spark):
+    graph = nested_graph(spark)
+    with pytest.raises(Exception, match="child_edges.child_symbol_id still refers to symbols 4"):
+        merge.cascade(graph, spark.createDataFrame([(1,)], "id int"), restrict=True)["child_edges"].collect()
+    left = merge.cascade(graph, spark.createDataFrame([(10,)], "id int"), "compositors", restrict=True)
+    assert ids(left["compositors"]) == [20, 21] and ids(left["child_edges"]) == [2, 3] and ids(left["symbols"]) == ids(graph["symbols"])
