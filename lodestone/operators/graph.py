@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.qname import clark_parts, format_occurs
 from lodestone.session import allow_recursion
-from lodestone.staging import cut
+from lodestone.staging import counted, cut
 
 Graph = dict[str, DataFrame]
 
@@ -67,40 +67,79 @@ def _recursive(df_views: dict[str, DataFrame], text: str) -> DataFrame:
     return spark.sql(text, **df_views)
 
 
+def _jumps(edges: DataFrame) -> tuple[list[DataFrame], bool]:
+    """(src, dst) tables that go over 1, 2, 4 and so on edges at once, while any are left; and whether the edges hold a cycle.
+
+    edges: a source and where it leads, each source once. A path longer than
+    there are edges goes round a cycle, so cycles end the doubling too.
+    """
+    first, n = counted(edges.toDF("src", "dst"), n=F.count(F.lit(1)))
+    out, left = [first], n["n"]
+    while left:
+        if 2 ** (len(out) - 1) > n["n"]:
+            return out, True
+        nearer, further = out[-1].toDF("src", "_mid"), out[-1].toDF("_mid", "dst")
+        step, found = counted(nearer.join(further, "_mid").select("src", "dst"), n=F.count(F.lit(1)))
+        out.append(step)
+        left = found["n"]
+    return out[:-1], False
+
+
 def base_chain(graph: Graph, profile: str, roots: DataFrame | None = None, extension_only: bool = True) -> DataFrame:
-    """(root, type, depth): a root, its base, the base's base and so on; a type met before ends the chain."""
+    """(root, type, depth): a root, its base, the base's base and so on; a type met before ends the chain.
+
+    A type has one base in a profile (of several the smallest counts), so a
+    chain of n types takes log2(n) joins: every round goes twice as far as the
+    one before, and no depth is too great.
+    """
     edges = in_profile(graph, "inheritance_edges", profile)
     if extension_only:
         edges = edges.where("relation = 'extension'")
-    roots = graph["symbols"].select("id") if roots is None else roots.select("id")
-    return _recursive(
-        {"edges": edges.select("symbol_id", "base_symbol_id"), "roots": roots},
-        """
-        WITH RECURSIVE chain(root, type, depth, path) AS (
-          SELECT id, id, 0, array(id) FROM {roots}
-          UNION ALL
-          SELECT c.root, e.base_symbol_id, c.depth + 1, array_append(c.path, e.base_symbol_id)
-          FROM chain c JOIN {edges} e ON e.symbol_id = c.type
-          WHERE NOT array_contains(c.path, e.base_symbol_id))
-        SELECT root, type, depth FROM chain""",
-    )
+    jumps, cyclic = _jumps(edges.groupBy("symbol_id").agg(F.min("base_symbol_id")))
+    chain = (graph["symbols"] if roots is None else roots).select(F.col("id").alias("root"), F.col("id").alias("type"), F.lit(0).alias("depth"))
+    if not cyclic:
+        for k, jump in enumerate(jumps):
+            here, there = F.struct("type", "depth"), F.struct(F.col("dst").alias("type"), (F.col("depth") + 2**k).alias("depth"))
+            both = F.when(F.col("dst").isNull(), F.array(here)).otherwise(F.array(here, there))
+            chain = chain.join(jump, F.col("type") == F.col("src"), "left").select("root", F.explode(both).alias("_at")).select("root", "_at.*")
+        return chain
+    size = -1
+    for k, jump in enumerate(jumps):  # round a cycle the first visit of a type is the one that counts
+        step = chain.join(jump, F.col("type") == F.col("src")).select("root", F.col("dst").alias("type"), (F.col("depth") + 2**k).alias("depth"))
+        chain, found = counted(chain.unionByName(step).groupBy("root", "type").agg(F.min("depth").alias("depth")), n=F.count(F.lit(1)))
+        if found["n"] == size:
+            break
+        size = found["n"]
+    return chain
 
 
 def compositor_tree(graph: Graph, profile: str) -> DataFrame:
-    """(owner, compositor_id, kind, place, path): place orders compositors of an owner, path names them from the top."""
+    """(owner, compositor_id, kind, place, path): place orders compositors of an owner, path names them from the top.
+
+    Paths are put together from both ends: every round a compositor takes over
+    the path of the one its own path begins at, which is twice as long as the
+    round before. Compositors that no symbol holds, in cycles or under a
+    compositor that is not there, are left out; one that a symbol holds
+    directly begins a path, whatever else holds it.
+    """
     step = F.concat(F.col("kind"), F.lit("("), format_occurs(F.col("min_occurs"), F.col("max_occurs")), F.lit(")"))
-    nodes = in_profile(graph, "compositors", profile).select("id", "parent_symbol_id", "parent_compositor_id", "kind", F.col("order_index").alias("ord"), step.alias("step"))
-    return _recursive(
-        {"nodes": nodes},
-        """
-        WITH RECURSIVE tree(owner, compositor_id, kind, place, path, seen) AS (
-          SELECT parent_symbol_id, id, kind, array(ord, 2, id), array(step), array(id) FROM {nodes} WHERE parent_symbol_id IS NOT NULL
-          UNION ALL
-          SELECT t.owner, n.id, n.kind, t.place || array(n.ord, 2, n.id), array_append(t.path, n.step), array_append(t.seen, n.id)
-          FROM tree t JOIN {nodes} n ON n.parent_compositor_id = t.compositor_id
-          WHERE NOT array_contains(t.seen, n.id))
-        SELECT owner, compositor_id, kind, place, path FROM tree""",
-    )
+    held = F.col("parent_symbol_id").isNotNull()
+    nodes = in_profile(graph, "compositors", profile).where(held | F.col("parent_compositor_id").isNotNull())
+    nodes = nodes.select(
+        F.col("parent_symbol_id").alias("owner"), F.col("id").alias("compositor_id"), "kind", F.when(~held, F.col("parent_compositor_id")).alias("up"),
+        F.array(F.col("order_index"), F.lit(2), F.col("id")).alias("place"), F.array(step).alias("path"),
+    )
+    open_ = F.count_if(F.col("up").isNotNull())
+    tree, now = counted(nodes, open=open_, whole=F.count_if(F.col("up").isNull()))
+    while now["open"]:
+        above = tree.select(F.col("compositor_id").alias("_id"), F.col("owner").alias("_owner"), F.col("up").alias("_up"), F.col("place").alias("_place"), F.col("path").alias("_path"))
+        longer = tree.where("up IS NOT NULL").join(above, F.col("up") == F.col("_id"))
+        longer = longer.select(F.col("_owner").alias("owner"), "compositor_id", "kind", F.col("_up").alias("up"), F.concat("_place", "place").alias("place"), F.concat("_path", "path").alias("path"))
+        before = now["whole"]
+        tree, now = counted(tree.where("up IS NULL").unionByName(longer), open=open_, whole=F.count_if(F.col("up").isNull()))
+        if now["whole"] == before:  # what is still open goes round
+            break
+    return tree.where("up IS NULL").drop("up")
 
 
 def content_model(graph: Graph, profile: str, roots: DataFrame | None = None) -> DataFrame:

@@ -249,3 +249,45 @@ def test_a_delete_may_be_refused(spark):
         merge.cascade(graph, spark.createDataFrame([(1,)], "id int"), restrict=True)["child_edges"].collect()
     left = merge.cascade(graph, spark.createDataFrame([(10,)], "id int"), "compositors", restrict=True)
     assert ids(left["compositors"]) == [20, 21] and ids(left["child_edges"]) == [2, 3] and ids(left["symbols"]) == ids(graph["symbols"])
+
+
+def chain_graph(spark, edges, count):
+    return {
+        "profiles": spark.createDataFrame([(1, "p")], "id int, name string"),
+        "symbols": spark.range(1, count + 1).selectExpr("CAST(id AS INT) AS id"),
+        "inheritance_edges": edges.selectExpr("CAST(src AS INT) AS symbol_id", "CAST(dst AS INT) AS base_symbol_id", "1 AS profile_id", "'extension' AS relation"),
+    }
+
+
+def test_a_chain_of_twenty_thousand_types(spark):
+    n = 20_000
+    graph = chain_graph(spark, spark.range(1, n).selectExpr("id AS src", "id + 1 AS dst"), n)
+    found = G.base_chain(graph, "p", graph["symbols"].where("id IN (1, 19990)"))
+    got = found.groupBy("root").agg({"type": "sum", "depth": "max", "*": "count"}).collect()
+    assert {r.root: (r["count(1)"], r["sum(type)"], r["max(depth)"]) for r in got} == {1: (n, n * (n + 1) // 2, n - 1), 19990: (11, sum(range(19990, 20001)), 10)}
+
+
+def test_chains_end_in_cycles_of_any_length(spark):
+    steps = {1: 2, 2: 3, 3: 4, 4: 5, 5: 3, 6: 6, 7: 8, 9: 1}  # 3, 4 and 5 go round, 6 is its own base
+    graph = chain_graph(spark, spark.createDataFrame(list(steps.items()), "src int, dst int"), 9)
+    want = set()
+    for root in range(1, 10):
+        at, depth, seen = root, 0, set()
+        while at and at not in seen:
+            seen.add(at)
+            want.add((root, at, depth))
+            at, depth = steps.get(at), depth + 1
+    assert {tuple(r) for r in G.base_chain(graph, "p").collect()} == want
+    assert {tuple(r) for r in G.base_chain(chain_graph(spark, graph["inheritance_edges"].limit(0).selectExpr("symbol_id AS src", "base_symbol_id AS dst"), 3), "p").collect()} == {(i, i, 0) for i in (1, 2, 3)}
+
+
+def test_deep_compositors(spark):
+    n = 300
+    rows = [(i, 7 if i == 1 else None, i - 1 if i > 1 else None) for i in range(1, n + 1)] + [(500, None, 501), (501, None, 502), (502, None, 500), (600, None, 601), (700, None, None)]
+    tables = {
+        "profiles": spark.createDataFrame([(1, "p")], "id int, name string"),
+        "compositors": spark.createDataFrame([(i, s, p, 1, "choice", 1, None, i % 3) for i, s, p in rows], "id int, parent_symbol_id int, parent_compositor_id int, profile_id int, kind string, min_occurs int, max_occurs int, order_index int"),
+    }
+    got = sorted(G.compositor_tree(tables, "p").collect(), key=lambda r: r.compositor_id)
+    assert [(r.owner, r.compositor_id, len(r.path)) for r in got] == [(7, i, i) for i in range(1, n + 1)]
+    assert got[-1].place == [x for i in range(1, n + 1) for x in (i % 3, 2, i)]

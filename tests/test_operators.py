@@ -1,3 +1,5 @@
+import random
+import re
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,16 +48,65 @@ def sections(spark, md, offset=0):
 
 
 def test_sections(spark):
-    md = "lost\n<!--page:229-->\n**1.2** **One**\nbody\n<!--page:231-->\nmore\n**Annex A** **(informative)**\n\n**Names Here**\ntext\n**2** **Two**"
-    one, annex, two = sections(spark, md, 10)
-    assert (one.section_id, one.title, one.page_start, one.page_end, one.depth, one.parent_id) == ("1.2", "One", 219, 221, 2, "1")
-    assert one.content == "**1.2** **One**\nbody\n\n<!--page:231-->\n\nmore"
-    assert (annex.section_id, annex.title, annex.depth, annex.parent_id, annex.page_start) == ("Annex A", "(informative) Names Here", 1, None, 221)
+    md = "lost\n<!--page:47-->\n**1.2** **One**\nbody\n<!--page:52-->\nmore\n**Annex A** **(informative)**\n\n**Names Here**\ntext\n**2** **Two**"
+    one, annex, two = sections(spark, md, 6)
+    assert (one.section_id, one.title, one.page_start, one.page_end, one.depth, one.parent_id) == ("1.2", "One", 41, 46, 2, "1")
+    assert one.content == "**1.2** **One**\nbody\n\n<!--page:52-->\n\nmore"
+    assert (annex.section_id, annex.title, annex.depth, annex.parent_id, annex.page_start) == ("Annex A", "(informative) Names Here", 1, None, 46)
     assert (two.section_id, two.parent_id, two.depth) == ("2", None, 1)
     assert sections(spark, "**Annex B** **(normative)**\nplain words\n**Styled**")[0].title == "(normative)"
     assert sections(spark, "nothing here") == [] and sections(spark, "") == []
 
 
+def plain_sections(md, offset):
+    """Sections of bold headings, annexes and markers, line by line."""
+    out, page = [], 1
+    for line in md.split("\n"):
+        s = line.strip()
+        marker, heading = re.match(r"<!--page:(\d+)-->", s), re.fullmatch(r"\*\*([\d.]+|Annex [A-Z])\*\* \*\*(.+)\*\*", s)
+        if marker:
+            page = int(marker[1])
+        printed = max(1, page - offset)
+        if heading:
+            out.append([heading[1], heading[2], printed, printed, [], None])
+        if out:
+            out[-1][3] = printed
+            out[-1][4].append(f"\n{s}\n" if marker else line)
+            if s and not marker and not heading and out[-1][5] is None:
+                out[-1][5] = s
+    done = []
+    for i, (section, title, first, last, lines, text) in enumerate(out, 1):
+        if section.startswith("Annex") and title.startswith("(") and (text or "").startswith("**"):
+            title += " " + text.strip("*")
+        done.append((i, section, title, first, last, "\n".join(lines).strip()))
+    return done
+
+
+def test_sections_do_not_depend_on_ranges(spark):
+    rng = random.Random(5)
+    kinds = ["", "  ", "words here", "**Styled Name**", "<!--page:{n}-->", "**{n}.1** **Title {n}**", "**Annex B** **(normative)**", "more words", "  <!--page:{n}--> "]
+    rows = [(i, "\n".join(rng.choice(kinds).format(n=rng.randrange(1, 60)) for _ in range(rng.randrange(1, 60))), rng.randrange(0, 30)) for i in range(40)] + [(99, None, 1), (100, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id int, md string, page_offset int")
+    want = sorted((i, *x) for i, md, offset in rows if md is not None for x in plain_sections(md, offset))
+    assert len(want) > 200 and any(") Styled" in x[3] for x in want)
+    for size in (1, 2, 7, 1000):
+        got = sorted((r.doc_id, r.ordinal, r.section_id, r.title, r.page_start, r.page_end, r.content) for r in X.sections(df, range_lines=size).collect())
+        assert got == want, size
+
+
+def test_a_long_document_is_many_tasks(spark):
+    md = "\n".join(f"**{i % 9 + 1}.{i}** **Part {i}**\nline\n<!--page:{i + 2}-->" for i in range(4000))
+    df = spark.createDataFrame([(1, md, 0)], "doc_id int, md string, page_offset int").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = X.line_ranges(df, ["doc_id"]).repartition("doc_id", "range").groupBy(F.spark_partition_id()).count().count()
+        found = X.sections(df).select("ordinal", "page_start", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dealt > 1 and len({r.task for r in found}) > 1
+    assert sorted((r.ordinal, r.page_start) for r in found) == [(i + 1, max(1, i + 1)) for i in range(4000)]
+
+
 def test_chunks(spark):
     page = lambda n: f"<!--page:{n}-->"
     long, short = "k" * 6001, "m" * 40
