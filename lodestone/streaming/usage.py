@@ -41,6 +41,30 @@ def append(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def log(events: DataFrame, path: str, checkpoint: str, name: str = "usage") -> StreamingQuery:
+    """Write a stream of events to a log, a folder per batch, as far as there are events now.
+
+    A batch that is run again, because the driver died after its rows were
+    written and before the stream knew, finds its folder finished and is not
+    written again; one half written is written over. `name` tells streams that
+    share a log apart, as each counts its batches from 0.
+    """
+    spark = events.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        folder = f"{path.rstrip('/')}/stream={name}/batch={number}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            batch.write.mode("overwrite").parquet(folder)
+
+    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def logged(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of a log, of all its streams."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
 class Recorder:
     """Appends usage rows to a table, for the tools' `record`: `rows` of them a file, the rest at `flush` or the end of a `with` block.
 
