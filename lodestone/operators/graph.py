@@ -7,10 +7,12 @@ filter on the result or on `roots`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.qname import clark_parts, format_occurs
+from lodestone.functions.qname import clark_parts, format_occurs, last_segment
 from lodestone.session import allow_recursion
 from lodestone.staging import counted, cut
 
@@ -251,6 +253,26 @@ def namespaces(graph: Graph, query: str | None = None, uri: str | None = None, e
     )
 
 
+def namespace_answers(graph: Graph, asked: DataFrame, block: int = 10_000) -> DataFrame:
+    """(asked, outcome, uri, vocabularies, profiles): the namespace of every asked URI, or those that hold its last segment.
+
+    asked: a column `asked`. The outcome is found, like (unknown, but others
+    hold its last segment, whatever the case; % and _ in it are wildcards) or
+    none. Namespaces are few; `block` at a time meet the unknown URIs.
+    """
+    every = cut(namespaces(graph))
+    uris = asked.select("asked").where("asked IS NOT NULL").distinct()
+    told = cut(uris.join(every, F.col("asked") == F.col("uri"), "left"))
+    found = told.where("uri IS NOT NULL").select("asked", F.lit("found").alias("outcome"), *every.columns)
+    lost = told.where("uri IS NULL").select("asked", last_segment(F.col("asked")).alias("_part"))
+    blocks = max(1, -(-every.count() // block))
+    held = F.like(F.lower("uri"), F.concat(F.lit("%"), F.lower("_part"), F.lit("%")))
+    alike = [lost.join(F.broadcast(every.where(F.pmod(F.xxhash64("uri"), F.lit(blocks)) == n)), held) for n in range(blocks)]
+    alike = cut(reduce(DataFrame.union, alike).select("asked", F.lit("like").alias("outcome"), *every.columns))
+    none = lost.join(alike.select("asked"), "asked", "left_anti").select("asked", F.lit("none").alias("outcome"), *[F.lit(None).cast(every.schema[c].dataType).alias(c) for c in every.columns])
+    return found.union(alike).union(none)
+
+
 def elsewhere(graph: Graph, profile: str, local_name: str, kind: str | None = None, limit: int = 10) -> DataFrame:
     """Top-level symbols of that name in any namespace, ten at most, by vocabulary and kind."""
     found = named(graph, profile).where((F.col("local_name") == local_name) & F.col("parent_symbol_id").isNull())

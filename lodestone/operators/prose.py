@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import urllib.request
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import importable
+from lodestone.staging import cut
+
 
 def section(rows: DataFrame, prefix: str, part: int | None = None, escape: bool = False) -> DataFrame:
     """Rows whose section id starts with `prefix`, by section id as text, then id; % and _ are wildcards unless escaped."""
@@ -25,6 +34,34 @@ def section_page(rows: DataFrame, prefix: str, size: int, part: int | None = Non
     return found.limit(size)
 
 
+def sections_of(rows: DataFrame, asked: DataFrame, size: int = 50, block: int = 1_000) -> DataFrame:
+    """For every asked prefix what a section report holds: prefix, place, the rows' columns, and `after`, the mark to go on from where more follow.
+
+    asked: prefix; nulls ask for nothing. A report is the first `size` rows of
+    `section`. Prefixes meet the beginnings of section ids by an equal join;
+    those with a wildcard are matched in blocks of `block`, each a scan.
+    """
+    wanted = cut(asked.select("prefix").where("prefix IS NOT NULL").distinct())
+    plain, wild = wanted.where("NOT (contains(prefix, '%') OR contains(prefix, '_'))"), wanted.where("contains(prefix, '%') OR contains(prefix, '_')")
+    longest = plain.agg(F.max(F.length("prefix"))).first()[0]
+    known = rows.where("section_id IS NOT NULL")
+    hits = []
+    if longest is not None:
+        begins = F.transform(F.sequence(F.lit(0), F.least(F.length("section_id"), F.lit(longest))), lambda n: F.substring("section_id", F.lit(1), n))
+        hits.append(known.withColumn("prefix", F.explode(begins)).join(plain, "prefix", "left_semi"))
+    blocks = -(-wild.count() // block)
+    for n in range(blocks):
+        some = wild.where(F.pmod(F.xxhash64("prefix"), F.lit(blocks)) == n)
+        hits.append(known.join(F.broadcast(some), F.like("section_id", F.concat("prefix", F.lit("%")))))
+    columns = ["prefix", *rows.columns]
+    found = reduce(DataFrame.unionByName, [x.select(*columns) for x in hits]) if hits else rows.limit(0).withColumn("prefix", F.lit("")).select(*columns)
+    by = Window.partitionBy("prefix").orderBy("section_id", "id")
+    # One row more than a report holds tells whether more follow.
+    first = found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= size + 1)
+    mark = F.when((F.col("place") == size) & (F.lead("place").over(by) == size + 1), F.concat("section_id", F.lit("#"), F.col("id").cast("string")))
+    return first.withColumn("after", mark).where(F.col("place") <= size)
+
+
 def exact_section(rows: DataFrame, part: int, section_id: str) -> DataFrame:
     return rows.where((F.col("part_number") == part) & (F.col("section_id") == section_id)).orderBy("id")
 
@@ -44,6 +81,13 @@ def top_per_part(found: DataFrame, limit: int = 50) -> DataFrame:
     return ranked.where(F.col("place") <= limit)
 
 
+def listed_parts(rows: DataFrame, limit: int = 50) -> DataFrame:
+    """(part_number, lines, more): for every part the lines of its listing, and how many more sections it has."""
+    line = F.concat(F.lit("- **"), "section_id", F.lit("**: "), "title")
+    ranked = top_per_part(listing(rows), limit)
+    return ranked.groupBy("part_number").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))["line"].alias("lines"), F.max("more").alias("more"))
+
+
 def part_names(rows: DataFrame, names: dict[int, str]) -> DataFrame:
     """rows with `part_name`: the known name, else `Part n`."""
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<int,string>")
@@ -89,6 +133,32 @@ def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return compared(files, manifest).where(F.when(F.col("state") != "fine", F.raise_error(fault)).otherwise(F.lit(True))).select("name", "sha256")
 
 
+def fetched(manifest: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """(name, sha256, content) of every source of a manifest (name, url, sha256), read from its URL by the tasks.
+
+    The digest is taken while the bytes come in; bytes that are not what the
+    manifest says, a source without a URL or digest, and one that cannot be
+    read fail the query, so nothing unverified is ever written.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, url, want in batch.itertuples(index=False):
+                if not url or not want:
+                    raise ValueError(f"{name}: a source needs a url and a sha256")
+                digest, parts = hashlib.sha256(), []
+                with urllib.request.urlopen(url) as stream:
+                    while part := stream.read(chunk):
+                        digest.update(part)
+                        parts.append(part)
+                if digest.hexdigest() != want.lower():
+                    raise ValueError(f"{name}: sha256 is {digest.hexdigest()}, not {want}")
+                yield pd.DataFrame({"name": [name], "sha256": [digest.hexdigest()], "content": [b"".join(parts)]})
+
+    importable(manifest.sparkSession)
+    return manifest.select("name", "url", "sha256").mapInPandas(run, "name string, sha256 string, content binary")
+
+
 def docs_index(pages: DataFrame, headings: DataFrame) -> DataFrame:
     """(ordinal, url, title, text): a row per page, then one per heading with its anchor, text in lower case.
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import importable
+from lodestone.staging import cut
 
 DIMENSIONS = 1024
 
@@ -59,6 +61,70 @@ def search(rows: DataFrame, query: list[float] | DataFrame, limit: int, id_col:
     return found.withColumn("score", score).drop(column, "__q", "__q_norm").orderBy(F.desc_nulls_last("score"), id_col).limit(limit)
 
 
+def search_many(rows: DataFrame, queries: DataFrame, limit: int, id_col: str = "id", column: str = "embedding", part: int | None = None, content_type: str | None = None, block: int = 1_000) -> DataFrame:
+    """(query_id, place, id, score): for every query the `limit` nearest rows by cosine, ties to the smaller id.
+
+    queries: query_id and embedding. `block` queries at a time are held by the
+    driver and each task, and the rows are scanned once for each block; a task
+    sends `limit` rows a query at most. Rows and queries without a direction,
+    or of another number of dimensions than the query, take no part. Ids are
+    integers; rows that repeat an id each count.
+    """
+    spark = importable(rows.sparkSession)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    asked = cut(queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q")))
+    blocks = -(-asked.count() // block)
+    known = rows.where(wanted(part, content_type) & F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v"))
+    out = spark.createDataFrame([], f"query_id {kind}, id long, score double")
+    for n in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)) == n).collect()
+        by_size: dict[int, list[tuple[object, np.ndarray]]] = {}
+        for r in mine:
+            q = np.array([np.nan if x is None else x for x in r["q"] or []], float)
+            if len(q) and np.isfinite(q).all() and q.any():
+                by_size.setdefault(len(q), []).append((r["query_id"], q))
+        for size, some in sorted(by_size.items()):
+            names = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(some)], f"_n int, query_id {kind}")
+            found = known.mapInArrow(_nearest(np.stack([q for _, q in some]), limit, size), "_n int, id long, score double")
+            out = out.unionByName(found.join(F.broadcast(names), "_n").select("query_id", "id", "score"))
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
+    return out.withColumn("place", F.row_number().over(by)).where(F.col("place") <= limit).select("query_id", "place", "id", "score")
+
+
+def _nearest(queries: np.ndarray, limit: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: the task's `limit` nearest rows (id, v) for each query."""
+    norms = np.sqrt((queries * queries).sum(axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)) for _ in queries]
+        least = np.full(len(queries), -np.inf)
+        for batch in batches:
+            v, ids = batch.column("v"), batch.column("id")
+            whole = np.flatnonzero(np.array(v.value_lengths()) == size)
+            vectors = np.array(v.take(pa.array(whole)).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(whole), size)
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((vectors * vectors).sum(axis=1))
+                near = (vectors @ queries.T) / (norm[:, None] * norms)
+            # The product picks the rows that may count; their scores are summed one way, so that equal vectors score alike.
+            fine = (np.isfinite(norm) & (norm > 0))[:, None]
+            row, query = np.nonzero(fine & (near >= least - 1e-9))
+            score = (vectors[row] * queries[query]).sum(axis=1) / (norm[row] * norms[query])
+            own, null = np.array(ids.fill_null(0))[whole], np.array(ids.is_null())[whole]
+            order = np.argsort(query, kind="stable")
+            row, query, score = row[order], query[order], score[order]
+            for q, a, b in zip(*np.unique(query, return_index=True), [*np.unique(query, return_index=True)[1][1:], len(query)], strict=True):
+                s, i, z = (np.concatenate(x) for x in zip(kept[q], (score[a:b], own[row[a:b]], null[row[a:b]]), strict=True))
+                first = np.lexsort((i, z, -s))[:limit]
+                kept[q] = s[first], i[first], z[first]
+                if len(first) == limit:
+                    least[q] = s[first[-1]]
+        number = np.repeat(np.arange(len(queries), dtype=np.int32), [len(x[0]) for x in kept])
+        score, ids, null = (np.concatenate([x[k] for x in kept]) for k in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(ids, mask=null), pa.array(score)], ["_n", "id", "score"])
+
+    return run
+
+
 def embed_text(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
     """A unit vector from hashed words and word pairs: the same text gives the same vector everywhere."""
     out = np.zeros(dimensions, np.float64)

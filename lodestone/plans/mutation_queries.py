@@ -210,28 +210,41 @@ def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.violations(tables(spark, sf_dir, *_CHECKED))
 
 
-def _schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One schema: a type per region, and a type per nation that extends it with an element per supplier."""
+_SCHEMA = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns="%s" targetNamespace="%s">%s</xs:schema>'
+
+
+def _schema_documents(region: DataFrame, nation: DataFrame, first: str = "") -> DataFrame:
+    """(path, xml): a document per region and per nation from their text (column x); the first one imports the regions', which import their nations'."""
     from lodestone.functions.qname import DEFAULT_NAMESPACE
 
-    region = table(spark, sf_dir, "region").select(F.concat(F.lit("0"), F.lpad(F.col("r_regionkey").cast("string"), 9, "0")).alias("k"), F.format_string('<xs:complexType name="R%d"><xs:attribute name="area" type="xs:string"/></xs:complexType>', "r_regionkey").alias("x"))
+    whole = lambda x: F.format_string(_SCHEMA, F.lit(DEFAULT_NAMESPACE), F.lit(DEFAULT_NAMESPACE), x)
+    load = lambda kind, key: F.format_string(f'<xs:import schemaLocation="{kind}%d.xsd"/>', key)
+    inside = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.sort_array(F.collect_list(load("nation", "n_nationkey"))), "").alias("more"))
+    regions = region.join(inside, "r_regionkey", "left").select(F.format_string("region%d.xsd", "r_regionkey").alias("path"), whole(F.concat(F.coalesce("more", F.lit("")), F.col("x"))).alias("xml"))
+    nations = nation.select(F.format_string("nation%d.xsd", "n_nationkey").alias("path"), whole(F.col("x")).alias("xml"))
+    top = region.agg(F.array_join(F.sort_array(F.collect_list(load("region", "r_regionkey"))), "").alias("more")).select(F.lit("first.xsd").alias("path"), whole(F.concat("more", F.lit(first))).alias("xml"))
+    return top.union(regions).union(nations)
+
+
+def _schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type in each region's document, and one in each nation's that extends it with an element per supplier."""
+    region = table(spark, sf_dir, "region").select("r_regionkey", F.format_string('<xs:complexType name="R%d"><xs:attribute name="area" type="xs:string"/></xs:complexType>', "r_regionkey").alias("x"))
     element = F.format_string('<xs:element name="%s" type="R0" minOccurs="%d" maxOccurs="unbounded"/>', "s_name", F.col("s_suppkey") % 2)
-    inside = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", element.alias("e")))), lambda p: p["e"]), "").alias("e"))
-    body = F.format_string('<xs:complexType name="N%d"><xs:complexContent><xs:extension base="R%d"><xs:sequence>%s</xs:sequence></xs:extension></xs:complexContent></xs:complexType>', "n_nationkey", "n_regionkey", F.coalesce("e", F.lit("")))
-    nation = table(spark, sf_dir, "nation").join(inside, "n_nationkey", "left").select(F.concat(F.lit("1"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("k"), body.alias("x"))
-    whole = region.union(nation).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]), "").alias("all"))
-    head = f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns="{DEFAULT_NAMESPACE}" targetNamespace="{DEFAULT_NAMESPACE}">'
-    return whole.select(F.lit("one.xsd").alias("path"), F.concat(F.lit(head), "all", F.lit("</xs:schema>")).alias("xml"))
+    inside = _joined(table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey", "s_suppkey", element)
+    body = F.format_string('<xs:complexType name="N%d"><xs:complexContent><xs:extension base="R%d"><xs:sequence>%s</xs:sequence></xs:extension></xs:complexContent></xs:complexType>', "n_nationkey", "n_regionkey", F.coalesce("all", F.lit("")))
+    nation = table(spark, sf_dir, "nation").join(inside, "n_nationkey", "left").select("n_nationkey", "n_regionkey", body.alias("x"))
+    return _schema_documents(region, nation)
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from lodestone.operators.ingest import ingest
     from lodestone.sources.schema_set import schema_set
 
-    return ingest(schema_set(_schema_files(spark, sf_dir), ["one.xsd"]), "transitional")
+    return ingest(schema_set(_schema_files(spark, sf_dir), ["first.xsd"]), "transitional")
 
 
-@register("gr17_ingest_stats", """SELECT * FROM (VALUES ('documents', 1::BIGINT), ('namespaces', 1), ('inheritance_unresolved', 0), ('child_edges_unresolved', 0), ('group_refs', 0), ('group_refs_unresolved', 0), ('attr_edges_unresolved', 0), ('attr_group_refs', 0), ('attr_group_refs_unresolved', 0), ('enums', 0)) v(counter, n)
+@register("gr17_ingest_stats", """SELECT * FROM (VALUES ('namespaces', 1::BIGINT), ('symbols_existing', 0), ('inheritance_unresolved', 0), ('child_edges_unresolved', 0), ('group_refs', 0), ('group_refs_unresolved', 0), ('attr_edges_unresolved', 0), ('attr_group_refs', 0), ('attr_group_refs_unresolved', 0), ('enums', 0)) v(counter, n)
+UNION ALL SELECT 'documents', 1 + (SELECT count(*) FROM region) + (SELECT count(*) FROM nation)
 UNION ALL SELECT 'symbols', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier)
 UNION ALL SELECT 'memberships', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier)
 UNION ALL SELECT 'inheritance_edges', count(*) FROM nation UNION ALL SELECT 'compositors', count(*) FROM nation
@@ -240,6 +253,22 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(spark, sf_dir)["stats"]
 
 
+@register("gr17_second_profile", """WITH n AS (SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS n, (SELECT count(*) FROM nation) AS nations, (SELECT count(*) FROM supplier) AS suppliers)
+SELECT 'inserted' AS what, 0 AS n UNION ALL SELECT 'existing', n FROM n UNION ALL SELECT 'symbols', n FROM n UNION ALL SELECT 'memberships', 2 * n FROM n
+UNION ALL SELECT 'compositors', 2 * nations FROM n UNION ALL SELECT 'child_edges', 2 * suppliers FROM n UNION ALL SELECT 'symbols of both profiles', n FROM n""")
+def second_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same schemas under another profile: the symbols are there already, everything else is the profile's own."""
+    from lodestone.operators.ingest import ingest
+    from lodestone.sources.schema_set import schema_set
+
+    files = schema_set(_schema_files(spark, sf_dir), ["first.xsd"])
+    graph = ingest(files, "strict", known=ingest(files, "transitional"))
+    stats = graph["stats"].where("counter IN ('symbols', 'symbols_existing')").select(F.when(F.col("counter") == "symbols", "inserted").otherwise("existing").alias("what"), "n")
+    rows = [graph[x].agg(F.count("*").alias("n")).select(F.lit(y).alias("what"), "n") for x, y in (("symbols", "symbols"), ("symbol_profiles", "memberships"), ("compositors", "compositors"), ("child_edges", "child_edges"))]
+    both = graph["symbol_profiles"].groupBy("symbol_id").agg(F.count_distinct("profile_id").alias("p")).where("p = 2").agg(F.count("*").alias("n")).select(F.lit("symbols of both profiles").alias("what"), "n")
+    return reduce(DataFrame.union, [stats, *rows, both])
+
+
 @register("gr22_ingest_children", "SELECT 'N' || s_nationkey AS owner, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS ordinal, s_name AS local_name, CAST(s_suppkey % 2 AS INT) AS min_occurs FROM supplier")
 def ingest_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.operators.graph import content_model
@@ -254,11 +283,9 @@ def _joined(rows: DataFrame, by: str, order: str, text: object) -> DataFrame:
 
 
 def _rich_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One schema with every kind: per region a group and an attribute group; per nation an enumeration of its
-    suppliers, a simple content on it, and a complex content that restricts that; an element and an attribute for all."""
-    from lodestone.functions.qname import DEFAULT_NAMESPACE
-
-    region = table(spark, sf_dir, "region").select(F.lit("a").alias("k"), F.format_string(
+    """Every kind over many documents: in each region's a group and an attribute group; in each nation's an enumeration of its
+    suppliers, a simple content on it, and a complex content that restricts that; an element and an attribute for all in the first."""
+    region = table(spark, sf_dir, "region").select("r_regionkey", F.format_string(
         '<xs:attributeGroup name="A%d"><xs:attribute name="common" type="xs:int" use="required"/></xs:attributeGroup><xs:group name="G%d"><xs:choice minOccurs="0"><xs:element name="g" type="E0"/></xs:choice></xs:group>',
         "r_regionkey", "r_regionkey").alias("x"))
     value = F.format_string('<xs:enumeration value="%s"/>', "s_name")
@@ -268,18 +295,15 @@ def _rich_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.format_string('<xs:simpleType name="E%d"><xs:restriction base="xs:string">%s</xs:restriction></xs:simpleType>', n, F.coalesce("all", F.lit("")))
     simple = F.format_string('<xs:complexType name="S%d"><xs:simpleContent><xs:extension base="E%d"><xs:attribute name="unit" type="xs:string" default="d"/><xs:attributeGroup ref="A%d"/></xs:extension></xs:simpleContent></xs:complexType>', n, n, r)
     complex_ = F.format_string('<xs:complexType name="C%d"><xs:complexContent><xs:restriction base="S%d"><xs:sequence><xs:group ref="G%d" minOccurs="0"/><xs:element ref="top" maxOccurs="unbounded"/></xs:sequence><xs:attribute ref="lang"/></xs:restriction></xs:complexContent></xs:complexType>', n, n, r)
-    nation = nation.select(F.lit("b").alias("k"), F.concat(listed, simple, complex_).alias("x"))
-    whole = region.union(nation).groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]), "").alias("all"))
-    head = f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns="{DEFAULT_NAMESPACE}" targetNamespace="{DEFAULT_NAMESPACE}">'
-    both = '<xs:element name="top" type="C0"/><xs:attribute name="lang" type="xs:string" fixed="f"/>'
-    return whole.select(F.lit("rich.xsd").alias("path"), F.concat(F.lit(head + both), "all", F.lit("</xs:schema>")).alias("xml"))
+    nation = nation.select("n_nationkey", "n_regionkey", F.concat(listed, simple, complex_).alias("x"))
+    return _schema_documents(region, nation, '<xs:element name="top" type="C0"/><xs:attribute name="lang" type="xs:string" fixed="f"/>')
 
 
 def _rich(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from lodestone.operators.ingest import ingest
     from lodestone.sources.schema_set import schema_set
 
-    return ingest(schema_set(_rich_files(spark, sf_dir), ["rich.xsd"]), "transitional")
+    return ingest(schema_set(_rich_files(spark, sf_dir), ["first.xsd"]), "transitional")
 
 
 def _named(graph: dict[str, DataFrame], id_col: str, out: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Registered queries of the tools: graph tools answer for every name at once, the others give a call's report."""
+"""Registered queries of the tools: each answers for a table of asked names, prefixes or vectors at once."""
 
 from __future__ import annotations
 
@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as G
-from lodestone.operators import vector, vector_index
+from lodestone.operators import catalog, prose, vector, vector_index
 from lodestone.plans.derived import sql, tables
 from lodestone.plans.graph_queries import _ATTRIBUTES, _CHAIN, _LEAVES, _MEMBER, _MODEL, _TREE, _TYPES, _WALK, ALL, BASE, PROFILE
 from lodestone.plans.prose_queries import _COSINE, _first_vector, content, table
 from lodestone.plans.registry import register
-from lodestone.plans.tools import Engine
 from lodestone.staging import shared
 
 _RESOLVED = f"""{_MEMBER}, {_TYPES},
@@ -104,69 +103,76 @@ def enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("namespace_uri", "local_name", known.alias("found"), F.when(known, F.coalesce("lines", F.array().cast("array<string>"))).alias("lines"))
 
 
-def _report(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([(text,)], "report string")
-
-
 _FOUR = ("symbols", "profiles", "namespaces", "symbol_profiles")
 
 
-@register("tool_namespace", sql("""WITH counted AS (SELECT n.uri, p.name, count(*) AS c FROM symbol_profiles m JOIN namespaces n ON n.id = m.namespace_id JOIN profiles p ON p.id = m.profile_id WHERE n.uri ILIKE '%brand#2%' GROUP BY 1, 2),
-  words AS (SELECT n.uri, string_agg(DISTINCT s.vocabulary_id, ', ' ORDER BY s.vocabulary_id) AS v FROM symbol_profiles m JOIN namespaces n ON n.id = m.namespace_id JOIN symbols s ON s.id = m.symbol_id GROUP BY 1),
-  lines AS (SELECT uri, string_agg(name || ' ' || c, ', ' ORDER BY name) AS counts FROM counted GROUP BY 1)
-SELECT '## No namespace is `http://x/brand#2/`' || chr(10) || chr(10) || 'Namespaces that hold ''brand#2'':' || chr(10) || chr(10)
-  || string_agg('- `' || l.uri || '`: ' || w.v || '; ' || l.counts, chr(10) ORDER BY l.uri) AS report FROM lines l JOIN words w ON w.uri = l.uri""", *_FOUR))
+@register("tool_namespace", sql("""WITH counted AS (SELECT n.uri, p.name, count(*) AS c FROM symbol_profiles m JOIN namespaces n ON n.id = m.namespace_id JOIN profiles p ON p.id = m.profile_id GROUP BY 1, 2),
+  words AS (SELECT n.uri, list_sort(list(DISTINCT s.vocabulary_id)) AS v FROM symbol_profiles m JOIN namespaces n ON n.id = m.namespace_id JOIN symbols s ON s.id = m.symbol_id GROUP BY 1),
+  known AS (SELECT w.uri, w.v, (SELECT string_agg(name || ' ' || c, ', ' ORDER BY name) FROM counted c WHERE c.uri = w.uri) AS counts FROM words w),
+  asked AS (SELECT uri AS asked, NULL AS seg FROM namespaces UNION SELECT DISTINCT 'http://x/' || lower(p_brand) || '//', lower(p_brand) FROM part UNION SELECT 'http://x/nowhere' || p_size, 'nowhere' || p_size FROM part)
+SELECT a.asked, CASE WHEN k.uri IS NULL THEN 'none' WHEN k.uri = a.asked THEN 'found' ELSE 'like' END AS outcome, k.uri, k.v AS vocabularies, k.counts AS profiles
+FROM asked a LEFT JOIN known k ON k.uri = a.asked OR (a.seg IS NOT NULL AND contains(lower(k.uri), a.seg))""", *_FOUR))
 def namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A URI that is unknown: the namespaces that hold its last segment."""
-    return _report(spark, Engine(spark, tables(spark, sf_dir, *_FOUR)).call("namespace", {"uri": "http://x/brand#2/"}))
-
-
-_PART = "CASE part_number WHEN 1 THEN 'Fundamentals and Markup Language Reference' WHEN 2 THEN 'Open Packaging Conventions' WHEN 3 THEN 'Markup Compatibility and Extensibility' ELSE 'Transitional Migration Features' END"
-
-
-@register("tool_search", sql(f"""WITH best AS (SELECT *, {_COSINE} AS score FROM spec_content WHERE embedding IS NOT NULL AND part_number = 3 ORDER BY score DESC, id LIMIT 7)
-SELECT '## Results for "ordered children"' || chr(10) || chr(10) || string_agg('### ' || coalesce(section_id, 'Section') || ': ' || coalesce(title, 'Untitled') || chr(10) || '**Part ' || part_number || '**, ' || {_PART}
-  || printf(' (%.1f%%)', score * 100) || chr(10) || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY score DESC, id) AS report FROM best""", "spec_content"))
+    """Every namespace, and URIs that are unknown: those whose last segment a namespace holds, and those of which none does."""
+    graph, part = tables(spark, sf_dir, *_FOUR), table(spark, sf_dir, "part")
+    near = part.select(F.concat(F.lit("http://x/"), F.lower("p_brand"), F.lit("//")).alias("asked"))
+    far = part.select(F.concat(F.lit("http://x/nowhere"), F.col("p_size").cast("string")))
+    found = G.namespace_answers(graph, graph["namespaces"].select(F.col("uri").alias("asked")).union(near).union(far))
+    counts = F.array_join(F.transform("profiles", lambda p: F.concat_ws(" ", p["name"], p["symbol_count"].cast("string"))), ", ")
+    return found.select("asked", "outcome", "uri", "vocabularies", counts.alias("profiles"))
+
+
+@register("tool_search", sql("""SELECT query_id, CAST(place AS INT) AS place, id, coalesce(section_id, 'Section') || ': ' || coalesce(title, 'Untitled') AS head, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place
+  FROM (SELECT q.vec_id AS query_id, s.id, s.section_id, s.title, list_cosine_similarity(CAST(s.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score
+    FROM spec_content s, embeddings q WHERE q.vec_id % 20 = 0 AND s.embedding IS NOT NULL AND s.part_number = 3)) WHERE place <= 5""", "spec_content"))
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine(spark, content=content(spark, sf_dir), embed=lambda _: _first_vector(spark, sf_dir))
-    return _report(spark, engine.call("search", {"query": "ordered children", "part": 3, "limit": 7}))
+    """The hits of many queries at once: every twentieth vector asks a part for its nearest sections."""
+    rows = content(spark, sf_dir)
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vector.search_many(rows, queries, vector.clamp_limit(None), part=3)
+    head = F.concat(F.coalesce("section_id", F.lit("Section")), F.lit(": "), F.coalesce("title", F.lit("Untitled")))
+    return found.join(rows.select("id", head.alias("head")), "id").select("query_id", "place", F.col("id").cast("int").alias("id"), "head", F.round("score", 6).alias("score"))
 
 
-@register("tool_section", sql(f"""SELECT '## Section 1' || chr(10) || chr(10) || string_agg(coalesce('### ' || title || chr(10), '') || '**Part ' || part_number || '**, ' || {_PART} || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY section_id, id) AS report
-FROM spec_content WHERE section_id LIKE '1%' AND part_number = 1""", "spec_content"))
+@register("tool_section", sql("""WITH asked AS (SELECT DISTINCT split_part(section_id, '.', 1) AS prefix FROM spec_content WHERE section_id IS NOT NULL UNION SELECT DISTINCT '_.' || part_number FROM spec_content UNION SELECT '1%2'),
+  hits AS (SELECT a.prefix, s.*, row_number() OVER (PARTITION BY a.prefix ORDER BY s.section_id, s.id) AS place, count(*) OVER (PARTITION BY a.prefix) AS n FROM asked a JOIN spec_content s ON s.section_id LIKE a.prefix || '%')
+SELECT prefix, CAST(place AS INT) AS place, id, section_id, md5(content) AS digest, CASE WHEN n > 50 AND place = 50 THEN section_id || '#' || id END AS after FROM hits WHERE place <= 50""", "spec_content"))
 def section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A prefix that many sections share, read page by page, the pages put together."""
-    engine, after, pages = Engine(spark, content=content(spark, sf_dir)), None, []
-    while True:
-        text = engine.call("section", {"section_id": "1", "part": 1, "after": after})
-        body, _, tail = text.removeprefix("## Section 1\n\n").rpartition("\n\nMore follows; ask again with after `")
-        pages.append(body or tail)
-        if not body:
-            return _report(spark, "## Section 1\n\n" + "\n\n".join(pages))
-        after = tail.removesuffix("`.")
-
-
-@register("tool_parts", sql(f"""WITH s AS (SELECT DISTINCT part_number, section_id, title FROM spec_content WHERE title IS NOT NULL AND section_id IS NOT NULL AND part_number = 2),
-  r AS (SELECT *, row_number() OVER (ORDER BY section_id, title) AS place, count(*) OVER () AS n FROM s)
-SELECT '## Part 2: ' || any_value({_PART}) || chr(10) || string_agg('- **' || section_id || '**: ' || title || CASE WHEN place = 50 AND n > 50 THEN chr(10) || '- and ' || (n - 50) || ' more' ELSE '' END, chr(10) ORDER BY place) AS report FROM r WHERE place <= 50""", "spec_content"))
+    """The first page of every chapter, and of prefixes with wildcards."""
+    rows = content(spark, sf_dir).drop("embedding")
+    chapters = rows.where("section_id IS NOT NULL").select(F.substring_index("section_id", ".", 1).alias("prefix"))
+    wild = rows.select(F.concat(F.lit("_."), F.col("part_number").cast("string"))).union(rows.limit(1).select(F.lit("1%2")))
+    found = prose.sections_of(rows, chapters.union(wild))
+    return found.select("prefix", "place", "id", "section_id", F.md5(F.col("content").cast("binary")).alias("digest"), "after")
+
+
+@register("tool_parts", sql("""WITH s AS (SELECT DISTINCT part_number, section_id, title FROM spec_content WHERE title IS NOT NULL AND section_id IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY part_number ORDER BY section_id, title) AS place, count(*) OVER (PARTITION BY part_number) AS n FROM s)
+SELECT part_number, list('- **' || section_id || '**: ' || title ORDER BY place) AS lines, CAST(greatest(max(n) - 50, 0) AS INT) AS more FROM r WHERE place <= 50 GROUP BY 1""", "spec_content"))
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(spark, Engine(spark, content=content(spark, sf_dir)).call("parts", {"part": 2}))
+    """The listing of every part."""
+    return prose.listed_parts(content(spark, sf_dir))
 
 
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument"
-_KINDS = "application/vnd.openxmlformats-officedocument."
+# What parts of the given table ask the catalog for, and, in the SQL, what it should say.
+_ASKED_TYPE = "CASE p_partkey % 7 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/xml' WHEN 2 THEN 'application/vnd.openxmlformats-officedocument.theme+xml' WHEN 3 THEN 'image/none' WHEN 4 THEN 'image/x-emf' END"
+_ASKED_RELATION = f"CASE p_partkey % 7 WHEN 0 THEN '{_OFFICE}' WHEN 5 THEN '{_OFFICE}' WHEN 6 THEN 'urn:none' END"
 
 
-@register("tool_package_part", f"""SELECT concat_ws(chr(10), '## Parts with relationship `{_OFFICE}`', '', '- Main Document Part (`wml-document`): {_KINDS}wordprocessingml.document.main+xml',
-  '- Workbook Part (`sml-workbook`): {_KINDS}spreadsheetml.sheet.main+xml', '- Presentation Part (`pml-presentation`): {_KINDS}presentationml.presentation.main+xml', '',
-  'Several kinds of package share this relationship; the part it starts from tells them apart.') AS report""")
+@register("tool_package_part", "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'image' WHEN 1 THEN 'custom-xml-data' WHEN 2 THEN 'theme' WHEN 4 THEN 'image' WHEN 5 THEN 'wml-document, sml-workbook, pml-presentation' END AS keys FROM part")
 def package_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(spark, Engine(spark).call("package_part", {"relationship_type": _OFFICE}))
+    """A part asks for a content type or a relationship; if for both, the content type decides."""
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.expr(_ASKED_TYPE).alias("content_type"), F.expr(_ASKED_RELATION).alias("relationship_type"))
+    return catalog.answers(asked, catalog.parts(spark)).select("p_partkey", F.array_join("keys", ", ").alias("keys"))
 
 
-@register("tool_preset_shape", "SELECT '## Preset shape `star5`' || chr(10) || chr(10) || '- `adj`' || chr(10) || '- `hf`' || chr(10) || '- `vf`' AS report")
+@register("tool_preset_shape", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ['adj', 'hf', 'vf'] WHEN 1 THEN [] WHEN 3 THEN ['adj1', 'adj2'] WHEN 4 THEN ['adj'] END AS guides FROM part")
 def preset_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(spark, Engine(spark).call("preset_shape", {"shape": " star5 "}))
+    """Names with blanks, in the wrong case, of shapes without guides, and of no shape."""
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.expr("CASE p_partkey % 6 WHEN 0 THEN ' star5 ' WHEN 1 THEN 'rect' WHEN 2 THEN 'Rect' WHEN 3 THEN 'wave' WHEN 4 THEN 'sun ' ELSE p_name END").alias("shape"))
+    return catalog.guides_of(asked, catalog.shapes(spark)).select("p_partkey", "guides")
 
 
 @register("vec2_index_search", f"SELECT vec_id, label, round({_COSINE}, 6) AS score FROM embeddings ORDER BY {_COSINE} DESC, vec_id LIMIT 20")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.qname import declaration_key, strip_prefix, vocabulary_of
 from lodestone.operators.graph import import_closure
+from lodestone.operators.number import numbered
 from lodestone.sources.xmlnodes import parse
 
 KINDS = ("complexType", "simpleType", "element", "group", "attributeGroup", "attribute")
@@ -23,6 +24,13 @@ def relative_path(base: str, path: str) -> str:
     return found
 
 
+def path_within(base: Column, path: Column) -> Column:
+    """`path` as seen from the folder `base`, both normalised; null if it lies outside or is the folder itself."""
+    folder, own = _plain(F.split(base, "/")), _plain(F.split(path, "/"))
+    inside = (F.size(own) > F.size(folder)) & (F.slice(own, 1, F.size(folder)) == folder) & (base.startswith("/") == path.startswith("/"))
+    return F.when(inside, F.array_join(F.slice(own, F.size(folder) + 1, F.greatest(F.size(own), F.lit(1))), "/"))
+
+
 def prefix_map(attrs: Column) -> Column:
     """Prefix to namespace from a root's attributes; the default namespace has the empty prefix, `xml` is always there."""
     own = F.map_filter(attrs, lambda k, _: (k == "xmlns") | k.startswith("xmlns:"))
@@ -31,12 +39,16 @@ def prefix_map(attrs: Column) -> Column:
     return F.map_concat(rest, F.create_map(F.lit("xml"), F.lit(XML_NAMESPACE)))
 
 
+def _plain(parts: Column) -> Column:
+    """The parts of a path with . and .. worked off."""
+    step = lambda out, x: F.when(x.isin("", "."), out).when((x == "..") & (F.size(out) > 0) & (F.element_at(out, -1) != ".."), F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x)))
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
 def _resolve(document: Column, location: Column) -> Column:
     """A schemaLocation seen from its document, with . and .. worked off."""
     folder = F.regexp_replace(document, "[^/]*$", "")
-    parts = F.split(F.concat(folder, location), "/")
-    step = lambda out, x: F.when(x.isin("", "."), out).when((x == "..") & (F.size(out) > 0) & (F.element_at(out, -1) != ".."), F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x)))
-    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.array_join(_plain(F.split(F.concat(folder, location), "/")), "/")
 
 
 def schema_set(files: DataFrame, entrypoints: list[str]) -> dict[str, DataFrame]:
@@ -63,8 +75,8 @@ def schema_set(files: DataFrame, entrypoints: list[str]) -> dict[str, DataFrame]
     target = F.try_element_at("attrs", F.lit("targetNamespace"))
     fault = F.when(F.col("tag").isNull(), "no such file: ").when(F.col("tag") != "schema", "no schema root: ").when(target.isNull(), "no targetNamespace: ")
     checked = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.col("doc")))).otherwise(target)
-    order = Window.orderBy("hops", "doc")
-    documents = root.select("doc", F.row_number().over(order).alias("ordinal"), checked.alias("target_namespace"), prefix_map(F.col("attrs")).alias("prefixes"))
+    placed = numbered(root.select("doc", "hops", checked.alias("target_namespace"), prefix_map(F.col("attrs")).alias("prefixes")), ["hops", "doc"], "ordinal")
+    documents = placed.select("doc", (F.col("ordinal") + 1).cast("int").alias("ordinal"), "target_namespace", "prefixes")
     inside = nodes.join(documents.select("doc", "ordinal", "target_namespace"), "doc")
     local = F.try_element_at("attrs", F.lit("name"))
     top = inside.where((F.size("path") == 1) & F.col("tag").isin(*KINDS) & local.isNotNull())

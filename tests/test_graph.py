@@ -71,7 +71,7 @@ def test_faulty_documents_fail(spark, xml):
 def test_ingest_counts(graph):
     n = {r.counter: r.n for r in graph["stats"].collect()}
     assert n == {
-        "documents": 2, "namespaces": 3, "symbols": 34, "memberships": 34, "inheritance_edges": 6, "inheritance_unresolved": 0, "compositors": 12,
+        "documents": 2, "namespaces": 3, "symbols": 34, "symbols_existing": 0, "memberships": 34, "inheritance_edges": 6, "inheritance_unresolved": 0, "compositors": 12,
         "child_edges": 12, "child_edges_unresolved": 1, "local_elements": 11, "group_refs": 2, "group_refs_unresolved": 0, "attr_edges": 10,
         "attr_edges_unresolved": 1, "attr_group_refs": 2, "attr_group_refs_unresolved": 1, "enums": 3,
     }
@@ -291,3 +291,19 @@ def test_deep_compositors(spark):
     got = sorted(G.compositor_tree(tables, "p").collect(), key=lambda r: r.compositor_id)
     assert [(r.owner, r.compositor_id, len(r.path)) for r in got] == [(7, i, i) for i in range(1, n + 1)]
     assert got[-1].place == [x for i in range(1, n + 1) for x in (i % 3, 2, i)]
+
+
+def test_a_second_profile_shares_the_symbols(tables, graph):
+    both = {k: cut(v) for k, v in ingest(tables, "strict", 7, {k: v for k, v in graph.items() if k != "stats"}).items()}
+    n = {r.counter: r.n for r in both["stats"].collect()}
+    assert (n["symbols"], n["symbols_existing"], n["memberships"], n["compositors"], n["inheritance_edges"]) == (0, 34, 34, 12, 6)
+    assert sorted(map(repr, both["symbols"].collect())) == sorted(map(repr, graph["symbols"].select(*both["symbols"].columns).collect()))
+    assert {r["name"]: r.id for r in both["profiles"].collect()} == {"transitional": 1, "strict": 2}
+    for name in ("compositors", "child_edges", "attr_edges", "group_edges", "inheritance_edges", "enums"):
+        assert both[name].count() == 2 * graph[name].count() == both[name].select("id").distinct().count(), name
+    assert [r for r in model.violations({k: v for k, v in both.items() if k != "stats"}).collect() if r.n] == []
+    for profile in ("transitional", "strict"):
+        got = G.content_model(both, profile, root(both, "Ordered")).orderBy("ordinal").collect()
+        assert [c.local_name for c in got] == ["a", "b", "c", "d"]
+    again = ingest(tables, "strict", 7, {k: v for k, v in both.items() if k != "stats"})
+    assert {r.counter: r.n for r in again["stats"].collect()}["memberships"] == 0 and again["child_edges"].count() == both["child_edges"].count()
