@@ -70,6 +70,20 @@ def lean(texts: DataFrame, rows: int = 1_000) -> DataFrame:
     return texts
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores, if it is read from fewer files and is too small to be split among them; else df as it is.
+
+    Work that is heavy for its bytes would else run in a task or two, as a file
+    of one row group cannot be shared. Tables of many or of large files, the
+    usual ones on a cluster, are left where they lie.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, len(df.inputFiles())
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if 0 < files < cores and size < cores * split else df
+
+
 def _bytes(field: T.StructField) -> Column:
     """What a value takes, at least a word each."""
     col, kind = F.col(f"`{field.name}`"), field.dataType

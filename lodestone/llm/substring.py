@@ -17,6 +17,7 @@ overlap or follow each other closely in a document form a passage.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import lean, saved, small, tidy
+from .store import lean, saved, small, spread, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -48,6 +49,31 @@ def _powers(n: int, base: np.uint64 = _ODD) -> np.ndarray:
         return np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(0, n - 1), base))), dtype=np.uint64)
 
 
+#: Windows are told apart modulo this prime; sums modulo a power of two are equal for words arranged to that end.
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(_PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(_PRIME), x - np.uint64(_PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product of numbers below the prime, modulo it."""
+    half, low, s31 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64(31)
+    a1, a0, b1, b0 = a >> s31, a & half, b >> s31, b & half
+    middle = a1 * b0 + a0 * b1
+    return _reduced(np.uint64(2) * (a1 * b1) + (middle >> np.uint64(30)) + ((middle & low) << s31) + a0 * b0)
+
+
+@lru_cache(maxsize=2)
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _times(out, np.uint64(pow(base, len(out), _PRIME)))])
+    return out
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -95,11 +121,21 @@ class Words:
             total = np.concatenate(([np.uint64(0)], np.cumsum(self.code * _powers(n), dtype=np.uint64)))
             return _mixed((total[k:] - total[:-k]) * _powers(n - k + 1, _INVERSE))
 
+    def runs(self, k: int) -> np.ndarray:
+        """A hash of the k words that begin at each word, across texts too; there must be k words. A polynomial modulo a prime, so unlike runs of any length share it by chance only."""
+        n = len(self.code)
+        room = 1 << (n - 1).bit_length()  # few sizes, so that powers are kept
+        terms = _times(_reduced(self.code), _prime_powers(_BASE, room)[:n])
+        low, high = (np.concatenate(([np.uint64(0)], np.cumsum(x, dtype=np.uint64))) for x in (terms & np.uint64((1 << 32) - 1), terms >> np.uint64(32)))
+        total = _reduced(_reduced(low) + _times(high, np.uint64(1 << 32)))
+        part = _reduced(total[k:] + np.uint64(_PRIME) - total[:-k])
+        return _mixed(_times(part, _prime_powers(pow(_BASE, -1, _PRIME), room)[: n - k + 1]))
+
     def stretches(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First word, number of windows of `size` words and phrase hash of each stretch; the hashes of all their windows in a row."""
+        """First word, number of windows of `size` words and phrase hash of each stretch; where all their windows begin, in a row."""
         n = len(self.code) - size + 1
         if n < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         phrase = self.grams(PHRASE_WORDS)
         least, at, width, wanted = phrase, np.arange(len(phrase)), 1, size - PHRASE_WORDS + 1
         while width < wanted:  # the last smallest of `width` phrases, at the first of them
@@ -110,7 +146,7 @@ class Words:
         inside = np.flatnonzero(self.text[:n] == self.text[size - 1 :])
         at = at[inside]
         new = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 0) | (np.diff(inside) > 1)))) if len(at) else np.zeros(0, np.int64)
-        return inside[new], np.diff(np.concatenate((new, [len(at)]))), phrase[at[new]], self.grams(size)[inside]
+        return inside[new], np.diff(np.concatenate((new, [len(at)]))), phrase[at[new]], inside
 
     def hashed(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         """A row per run: two 64-bit hashes of its words in order."""
@@ -148,16 +184,14 @@ def band_keys(shingles: np.ndarray, each: np.ndarray, bands: int = BANDS, rows:
 
 @tidy
 def _units(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[pa.RecordBatch]:
-    """A row per stretch (bands null) and per line of `least` words. whole: a second hash of all the words."""
+    """A row per stretch (bands null) and per line of `least` words. whole: a hash of all the words."""
     for batch_of in batches:
         for at in range(0, batch_of.num_rows, 500):
             batch = batch_of.slice(at, 500)
             words, ids = Words(batch.column(1)), batch.column(0)
-            first, n, key, windows = words.stretches(size)
-            begin = np.cumsum(n) - n
-            with np.errstate(over="ignore"):  # first and last window overlap: they hold every word
-                whole = _mixed(windows[begin] * _ODD + _mixed(windows[begin + n - 1] + n.astype(np.uint64)))
-            found = [(0, first, n + (size - 1), key, pa.array(whole.view(np.int64)), pa.nulls(len(first), pa.list_(pa.int64())))]
+            first, n, key, _ = words.stretches(size)
+            whole = words.hashed(first, n + (size - 1))[:, 0]
+            found = [(0, first, n + (size - 1), key, pa.array(np.ascontiguousarray(whole).view(np.int64)), pa.nulls(len(first), pa.list_(pa.int64())))]
             first, count = words.lines()
             use = count >= least
             first, count = first[use], count[use]
@@ -177,7 +211,8 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
             words = Words(batch.column(1))
-            first, n, key, windows = words.stretches(size)
+            first, n, key, inside = words.stretches(size)
+            windows = words.runs(size)[inside] if len(inside) else np.zeros(0, np.uint64)
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(windows.view(np.int64)))
             columns = [batch.column(0).take(pa.array(words.text[first])), pa.array(words.start[first].astype(np.int32)), pa.array(key.view(np.int64)), lists]
@@ -357,7 +392,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A copied run is exact: whatever two documents share in `passage_words`
     words or more (8 at least) is covered word by word, and nothing else is;
-    keep_doc_id is the first document that has its windows. Lines count from
+    keep_doc_id is the first document that has its windows. Words, and runs of
+    them, are told apart by 64-bit hashes: stretches by xxh3, windows by a
+    polynomial modulo 2^61 - 1, so two that differ are taken for equal by
+    chance only. Lines count from
     `paragraph_words` words on, each on its own, whatever stands beside it; at
     1 every line does. Lines below 13 words are alike only if equal.
     `least_words` leaves out passages that are shorter, all matches together.
@@ -366,7 +404,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     is compared, buckets yield spanning trees instead of pairs, and what is
     kept of a text between passes is its hashes.
     """
-    named = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    named = lean(spread(docs)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size, least = max(passage_words, PHRASE_WORDS), max(paragraph_words, 1)
     units = saved(named.mapInArrow(lambda batches: _units(batches, size, least), "doc_id long, kind byte, start int, words int, key long, whole long, bands array<long>"), "units")
     paragraphs = units.where("kind = 1")

@@ -162,6 +162,38 @@ def test_lines_of_equal_hash_sums_are_told_apart(spark):
         assert keys[0, 0] != keys[1, 0] and keys[0, 1] != keys[1, 1]
 
 
+def test_runs_are_told_apart_modulo_a_prime():
+    rng = np.random.default_rng(7)
+    p, base = substring._PRIME, substring._BASE
+    a, b = (rng.integers(0, p, 2000, np.uint64) for _ in range(2))
+    edge = np.array([0, 1, 2, p - 1, p - 2, (1 << 31) - 1, 1 << 31, 1 << 60], np.uint64)
+    a, b = np.concatenate([a, np.repeat(edge, 8)]), np.concatenate([b, np.tile(edge, 8)])
+    assert substring._times(a, b).tolist() == [int(x) * int(y) % p for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    words = substring.Words(__import__("pyarrow").array([" ".join(f"w{i % 17}" for i in range(300)), "a b c"]))
+    code = [int(x) % p for x in words.code.tolist()]
+    for k in (1, 8, 28, 303):
+        want = np.array([sum(c * pow(base, j, p) for j, c in enumerate(code[i : i + k])) % p for i in range(len(code) - k + 1)], np.uint64)
+        assert (words.runs(k) == substring._mixed(want)).all()
+
+
+def test_windows_of_equal_hash_sums_are_told_apart(spark):
+    """Two words in the order of the Thue-Morse sequence and the other way round: their sums modulo a power of two are equal."""
+    for n in (1024, 2048):
+        one, other = (" ".join(("alpha", "beta")[(i.bit_count() + k) % 2] for i in range(n)) for k in (0, 1))
+        docs = spark.createDataFrame([(1, f"here {one} there"), (2, f"now {other} then"), (3, "x"), (4, f"early {one}")], "doc_id long, text string")
+        found = {(r.doc_id, r.start, r.words) for r in substring.repeated_passages(docs, passage_words=n, paragraph_words=9 * n).collect()}
+        assert found == {(1, 1, n), (4, 1, n)}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    words = [f"w{i}x" for i in range(50_000)]
+    long = [rng.choice(words) for _ in range(300_000)]
+    copy = long[250_000:250_060]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(["own", *copy, "end"])), (3, " ".join(rng.choice(words) for _ in range(200)))], "doc_id long, text string")
+    assert {(r.doc_id, r.start, r.words) for r in substring.repeated_passages(docs).collect()} == {(1, 250_000, 60), (2, 1, 60)}
+
+
 def test_each_length_on_both_sides_of_its_limit(spark):
     rng = random.Random(12)
     words = [f"w{i}x" for i in range(9000)]

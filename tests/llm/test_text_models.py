@@ -13,10 +13,18 @@ def docs(spark, rows):
 
 
 def test_folding():
-    assert toxicity.fold("Тr4sh, ЅTÚPID!! 1d10t $$$ 555-7209 a@b") == " trash stupid idiot aab "
+    assert toxicity.fold("Тr4sh, ЅTÚPID!! 1d10t $$$ 555-7209 a@b") == " trash stupid idiot ldlot aab "
     assert toxicity.fold(None) == toxicity.fold(" 12 ") == "  ".replace("  ", " ") or toxicity.fold(None).strip() == ""
 
 
+def test_disguises_are_folded():
+    assert toxicity.fold("zοrgluЬ zorg\u200blub zo\u00adrglub zórglu\u0301b") == " " + "zorglub " * 4
+    assert toxicity.fold("zorg1ub 1d10t 11 z0rg") == " zorgiub zorglub idiot ldlot zorg "
+    assert toxicity.fold("һеlр ԁо ӏеt ɩt ᴢᴏʀɢ 𝐳𝐨𝐫𝐠 ｚｏｒｇ ⓩⓞⓡⓖ") == " help do let it zorg zorg zorg zorg "
+    assert toxicity.fold("see z o r g l u b now, a b c as is") == " see zorglub now a b c as is "
+    assert toxicity.fold("größe") == " große " and toxicity.fold("\u200b") == " "
+
+
 def test_matcher_boundaries_and_exceptions():
     m = toxicity.Matcher(toxicity.Model({" trash ": 2.0, " tras": 1.0, " scum": 3.0}, (0.0, 1.0, 0.0), ("trash can",)))
     assert m.weigh("trash trashed untrash") == (3.0, 3)
@@ -141,7 +149,7 @@ def test_automaton_equals_plain_matching():
             best = max((w for t, w in terms.items() if folded.startswith(t, at)), default=0.0)
             want += 0.0 if at in spared else best
         weight, words = toxicity.Matcher(toxicity.Model(terms, (0.0, 0.0, 0.0), spare)).weigh(text)
-        assert abs(weight - want) < 1e-9 and words == 30
+        assert abs(weight - want) < 1e-9 and words == len(folded.split())
 
 
 def test_predictions_equal_the_nearest_prototype(spark):
