@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -91,13 +92,13 @@ def _places(mixed: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _views(hashes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """The places of the n-grams of each view of a run of words, and the n-grams' length."""
+def _views(hashes: np.ndarray, before: int) -> Iterator[np.ndarray]:
+    """The places of the n-grams of each view of a run of words that end in its own words, which begin after `before` others."""
     word, look = hashes[:, 0], hashes[:, 1].copy()
     look[1:][word[1:] == word[:-1]] += _REPEATS
     for first, pair, view in ((_VIEWS[0], _VIEWS[1], word), (_VIEWS[2], _VIEWS[3], look)):
-        yield _places(view * first), 1
-        yield _places(view[:-1] * pair + (view[1:] ^ first)), 2
+        yield _places(view[before:] * first)
+        yield _places(view[:-1] * pair + (view[1:] ^ first))[max(before - 1, 0) :]
 
 
 class Reader:
@@ -106,27 +107,26 @@ class Reader:
     def __init__(self) -> None:
         self.words = _Words()
 
-    def runs(self, text: bytes) -> Iterator[np.ndarray]:
-        """Hashes of the words in blocks; a block begins with the last word of the block before it."""
+    def runs(self, text: bytes) -> Iterator[tuple[np.ndarray, int]]:
+        """Hashes of the words in blocks; a block begins with the last two words before it, if there are any, and how many they are."""
         if len(text) <= 4 * _BLOCK:
             blocks = [text.split()]
         else:
             found = _WORDS.finditer(text)
-            blocks = iter(lambda: [m[0] for m, _ in zip(found, range(_BLOCK), strict=False)], [])
+            blocks = iter(lambda: [m[0] for m in islice(found, _BLOCK)], [])
         last: list[bytes] = []
         for words in blocks:
             if len(self.words) > _REMEMBERED:
                 self.words = _Words()
             ids = np.fromiter(map(self.words.__getitem__, last + words), np.int64, len(last) + len(words))
-            yield self.words.hashes[ids]
-            last = words[-1:]
+            yield self.words.hashes[ids], len(last)
+            last = (last + words)[-2:]
 
     def weigh(self, text: bytes, weights: np.ndarray) -> float:
         """The dot product of a text's features with the weights, without the bias."""
         sums, counts = np.zeros(4), np.zeros(4)
-        for n, hashes in enumerate(self.runs(text)):
-            for view, (places, length) in enumerate(_views(hashes)):
-                own = places[1:] if n and length == 1 else places
+        for hashes, before in self.runs(text):
+            for view, own in enumerate(_views(hashes, before)):
                 sums[view] += weights[own].sum()
                 counts[view] += len(own)
         return float((sums / np.maximum(counts, 1)).sum())
@@ -134,9 +134,9 @@ class Reader:
     def features(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(places, values) of a text, places ascending; the bias comes last."""
         places, values, counts = [], [], np.zeros(4)
-        for n, hashes in enumerate(self.runs(text)):
-            for view, (found, length) in enumerate(_views(hashes)):
-                own, times = np.unique(found[1:] if n and length == 1 else found, return_counts=True)
+        for hashes, before in self.runs(text):
+            for view, found in enumerate(_views(hashes, before)):
+                own, times = np.unique(found, return_counts=True)
                 counts[view] += times.sum()
                 places.append(own)
                 values.append((view, times))
