@@ -112,7 +112,8 @@ def _nearest(queries: np.ndarray, limit: int, size: int) -> Callable[[Iterator[p
             own, null = np.array(ids.fill_null(0))[whole], np.array(ids.is_null())[whole]
             order = np.argsort(query, kind="stable")
             row, query, score = row[order], query[order], score[order]
-            for q, a, b in zip(*np.unique(query, return_index=True), [*np.unique(query, return_index=True)[1][1:], len(query)], strict=True):
+            some, starts = np.unique(query, return_index=True)
+            for q, a, b in zip(some, starts, np.append(starts, len(query))[1:], strict=True):
                 s, i, z = (np.concatenate(x) for x in zip(kept[q], (score[a:b], own[row[a:b]], null[row[a:b]]), strict=True))
                 first = np.lexsort((i, z, -s))[:limit]
                 kept[q] = s[first], i[first], z[first]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime
@@ -13,13 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import merge
+from lodestone.operators import merge, migrations, prose
 from lodestone.plans.derived import sql, tables
 from lodestone.plans.prose_queries import table
 from lodestone.plans.registry import register
 from lodestone.plans.tools import TOOLS, Engine, ToolError
 from lodestone.session import importable
 from lodestone.sources import files
+from lodestone.sources.schema_set import path_within
 from lodestone.staging import shared
 from lodestone.streaming import usage
 
@@ -28,13 +28,6 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid4().hex}"
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
 @register("src9_nested_archives", "SELECT CAST(page_id AS VARCHAR) AS path, sha256(coalesce(html, '')) AS sha256 FROM pages")
 def nested_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page packed into an archive within an archive, and read back."""
@@ -55,12 +48,12 @@ def nested_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.archive_entries(archives, ["inner.zip", "page.html"]).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-@register("src11_stage_scan", "SELECT CAST(n_nationkey AS VARCHAR) AS sectionId, n_name AS title, CAST(n_regionkey AS INT) AS pageStart, n_name || chr(10) || 'quoted' AS content FROM nation")
+@register("src11_stage_scan", "SELECT CAST(c_custkey AS VARCHAR) AS sectionId, c_name AS title, CAST(c_nationkey AS INT) AS pageStart, c_name || chr(10) || '\"quoted\"' AS content FROM customer")
 def stage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stage file is one JSON array; the nations make one of 25 records."""
-    rows = table(spark, sf_dir, "nation").collect()
-    path = _folder(spark, "stage") + "/sections.json"
-    _put(spark, path, json.dumps([{"sectionId": str(r["n_nationkey"]), "title": r["n_name"], "pageStart": int(r["n_regionkey"]), "content": r["n_name"] + "\nquoted"} for r in rows], indent=1))
+    """A stage file is one JSON array; the customers of each nation make one, which a task writes."""
+    name, path = F.col("c_name"), _folder(spark, "stage")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("_file"), F.col("c_custkey").alias("_at"), F.col("c_custkey").cast("string").alias("sectionId"), name.alias("title"), F.col("c_nationkey").cast("int").alias("pageStart"), F.concat(name, F.lit('\n"quoted"')).alias("content"))
+    files.write_stage_documents(rows, path, "_file", "_at")
     return files.stage(spark, path, files.SECTIONS).select("sectionId", "title", "pageStart", "content")
 
 
@@ -72,14 +65,44 @@ def stage_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(files.SECTIONS).json(path).select("sectionId", "title", "pageStart", F.md5("content").alias("digest"))
 
 
-@register("src12_migration_files", "SELECT lpad(CAST(n_nationkey AS VARCHAR), 4, '0') || '_' || lower(replace(n_name, ' ', '_')) || '.sql' AS name, sha256('-- ' || n_name || chr(10)) AS checksum FROM nation")
+@register("src12_migration_files", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '_' || lower(replace(s_name, '#', '_')) || '.sql' AS name, sha256('-- ' || s_name || chr(10)) AS checksum FROM supplier")
 def migration_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each of the 25 nations, and one that is no migration."""
-    folder = _folder(spark, "migrations")
-    for r in table(spark, sf_dir, "nation").collect():
-        _put(spark, f"{folder}/{r['n_nationkey']:04d}_{r['n_name'].lower().replace(' ', '_')}.sql", f"-- {r['n_name']}\n")
-    _put(spark, f"{folder}/README.md", "none")
-    return files.migrations(spark, folder).select("name", "checksum")
+    """A migration for each supplier, and one of another kind, written by the tasks."""
+    folder, suppliers = _folder(spark, "migrations"), table(spark, sf_dir, "supplier")
+    name = F.concat(F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), F.lit("_"), F.lower(F.replace("s_name", F.lit("#"), F.lit("_"))), F.lit(".sql"))
+    rows = suppliers.select(name.alias("name"), F.concat(F.lit("-- "), "s_name").alias("content"))
+    files.write_migrations(rows.union(suppliers.limit(1).select(F.lit("README.md"), "s_name")), folder)
+    return files.migration_folders(spark, folder).select("name", "checksum")
+
+
+@register("snk16_tracked_migrations", "SELECT n_name AS name, md5(n_name) AS checksum, n_regionkey <> 2 AS before FROM nation")
+def tracked_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger that knows the migrations of four regions; those of the fifth run, and are recorded together."""
+    path = _folder(spark, "ledger")
+    every = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.md5(F.col("n_name").cast("binary")).alias("checksum"), "n_regionkey")
+    old, new = (F.lit(x).cast("timestamp") for x in ("2020-01-01", "2021-01-01"))
+    migrations.baseline(every.where("n_regionkey <> 2"), path, old)
+    migrations.migrate(every.drop("n_regionkey"), path, lambda name: None, new)
+    return migrations.ledger(spark, path).select("name", "checksum", (F.col("applied_at") == old).alias("before"))
+
+
+@register("src8_fetch", "SELECT sha256(text || chr(10)) AS sha256, CAST(strlen(text) + 1 AS INT) AS size FROM benchmark")
+def fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text is put in a file of its own, and fetched from its URL as the manifest of all says."""
+    folder = _folder(spark, "sources")
+    table(spark, sf_dir, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(folder)
+    there = spark.read.format("binaryFile").load(folder)
+    manifest = there.select(F.col("path").alias("name"), F.col("path").alias("url"), F.sha2("content", 256).alias("sha256"))
+    return prose.fetched(manifest).select("sha256", F.length("content").alias("size"))
+
+
+@register("src6_path_guard", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'c/' || p_partkey || '.xsd' WHEN 1 THEN p_partkey || '.xsd' WHEN 2 THEN 'x/' || p_partkey || '.xsd' END AS found FROM part""")
+def path_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths within a folder, with detours or not; and those that leave it, by a parent, by another root, or as its namesake."""
+    k, name = F.col("p_partkey") % 6, F.concat(F.col("p_partkey").cast("string"), F.lit(".xsd"))
+    at = lambda x: F.concat(F.lit(x), name)
+    path = F.when(k == 0, at("/a/b/c/")).when(k == 1, at("/a/./b//")).when(k == 2, at("/a/b/y/../x/")).when(k == 3, at("/a/b/../")).when(k == 4, at("a/b/")).otherwise(at("/a/bb/"))
+    return table(spark, sf_dir, "part").select("p_partkey", path_within(F.lit("/a/b"), path).alias("found"))
 
 
 @register("snk4_clear_restart", "SELECT CAST(row_number() OVER (ORDER BY c_name, c_custkey) AS INT) AS id, c_name AS name FROM customer")
@@ -93,21 +116,19 @@ def clear_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.insert(spark.read.parquet(path), new, ["name", "c_custkey"])
 
 
-@register("snk15_usage_append", "SELECT * FROM (VALUES ('preset_shape', 'u0', CAST(4 AS BIGINT)), ('preset_shape', 'u1', 4), ('package_part', 'u0', 4)) AS v(tool, user_id, calls)")
+@register("snk15_usage_append", "SELECT 'preset_shape' AS tool, n_name AS user_id, CAST(1 + n_regionkey % 2 AS BIGINT) AS calls FROM nation")
 def usage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls that succeed are recorded, those that fail are not; a log that cannot be written loses no report."""
+    """A user per nation calls a tool; calls that succeed are recorded, those that fail are not. One call is one report, so the driver makes them."""
     path = _folder(spark, "usage")
-    with usage.recorder(spark, path, rows=5) as record:
+    with usage.recorder(spark, path, rows=8) as record:
         engine = Engine(spark, record=record, clock=lambda: datetime(2024, 1, 1))
-        for i in range(4):
-            engine.call("preset_shape", {"shape": "star5"}, user="u0")
-            engine.call("preset_shape", {"shape": f"none{i}"}, user="u1")
-            engine.call("package_part", {"query": "theme"}, user="u0")
-            for tool, args in (("no_such_tool", {}), ("section", {})):
-                try:
-                    engine.call(tool, args, user="u2")
-                except ToolError:
-                    continue
+        for r in table(spark, sf_dir, "nation").collect():
+            for shape in ("star5", "none")[: 1 + r["n_regionkey"] % 2]:
+                engine.call("preset_shape", {"shape": shape}, user=r["n_name"])
+            try:
+                engine.call("section", {}, user=r["n_name"])
+            except ToolError:
+                continue
     return spark.read.parquet(path).groupBy("tool", "user_id").agg(F.count("*").alias("calls"))
 
 

@@ -83,6 +83,24 @@ def write_stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_stage_documents(df: DataFrame, path: str, key: str, order: str) -> None:
+    """A stage file, one JSON array, for each value of `key`, its records by `order`; written by the tasks. Neither column is part of a record."""
+    record = F.struct(*[c for c in df.columns if c not in (key, order)])
+    whole = df.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), record.alias("_r"))))["_r"]).alias("value"))
+    whole.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def write_migrations(rows: DataFrame, folder: str) -> None:
+    """Write (name, content) as a folder per migration, each with one file; written by the tasks."""
+    rows.select("name", "content").write.mode("overwrite").partitionBy("name").text(folder)
+
+
+def migration_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, checksum, content) of migrations that are folders with a file, as `write_migrations` leaves them; by name."""
+    files = spark.read.text(folder, wholetext=True).where(F.col("name").endswith(".sql"))
+    return files.select("name", F.sha2("value", 256).alias("checksum"), F.col("value").alias("content")).orderBy("name")
+
+
 def migrations(spark: SparkSession, folder: str) -> DataFrame:
     """(name, checksum, content) of a folder's SQL files, by name."""
     files = spark.read.option("pathGlobFilter", "*.sql").text(folder, wholetext=True)

@@ -11,9 +11,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import embedding, lookup, vector, vector_codes, versions
+from lodestone.operators import embedding, lookup, migrations, prose, vector, vector_codes, versions
 from lodestone.plans.storage_queries import Backwards
-from lodestone.sources import shapes
+from lodestone.sources import files, shapes
 from lodestone.sources.xmlnodes import parse
 from lodestone.streaming import usage
 
@@ -269,3 +269,79 @@ def test_buckets_meet_without_a_shuffle(spark, tmp_path):
     assert lookup.exchanges(joined) == 0 and sum(r.n for r in joined.collect()) == 5000
     plain = spark.range(700).selectExpr("id AS k").hint("merge")
     assert lookup.exchanges(a.join(plain, "k")) > 0
+
+
+def test_migrations_are_tracked_locked_and_recorded_together(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    every = spark.createDataFrame([(f"{i:02d}.sql", f"c{i}") for i in range(4)], "name string, checksum string")
+    ran = []
+    with pytest.raises(migrations.Untracked):
+        migrations.migrate(every, path, ran.append)
+    migrations.baseline(every.where("name < '02'"), path)
+    with pytest.raises(ValueError, match="already"):
+        migrations.baseline(every, path)
+
+    def fails(name):
+        ran.append(name)
+        if name == "03.sql":
+            raise OSError("broken")
+
+    with pytest.raises(OSError):
+        migrations.migrate(every, path, fails)
+    names = lambda: sorted(r["name"] for r in migrations.ledger(spark, path).collect())
+    assert ran == ["02.sql", "03.sql"] and names() == ["00.sql", "01.sql"]  # the first of them ran, but nothing is recorded
+    (tmp_path / "ledger" / "lock").touch()
+    with pytest.raises(migrations.Locked):
+        migrations.migrate(every, path, ran.append, wait=0.1)
+    (tmp_path / "ledger" / "lock").unlink()
+    assert migrations.migrate(every, path, ran.append) == ["02.sql", "03.sql"] and migrations.migrate(every, path, ran.append) == []
+    assert names() == ["00.sql", "01.sql", "02.sql", "03.sql"] and not (tmp_path / "ledger" / "lock").exists()
+    for faulty in (every.withColumn("checksum", F.lit("x")), every.where("name > '00.sql'")):
+        with pytest.raises(Exception, match="has changed|is missing"):
+            migrations.migrate(faulty, path, ran.append)
+    assert not (tmp_path / "ledger" / "lock").exists()
+
+
+def test_sources_are_verified_while_they_are_fetched(spark, tmp_path):
+    import hashlib
+
+    body = bytes(range(256)) * 9000
+    (tmp_path / "a.bin").write_bytes(body)
+    at, digest = f"file://{tmp_path}/a.bin", hashlib.sha256(body).hexdigest()
+    manifest = lambda *rows: spark.createDataFrame(rows, "name string, url string, sha256 string")
+    assert [(r["name"], r.sha256, bytes(r.content)) for r in prose.fetched(manifest(("a", at, digest.upper())), chunk=1000).collect()] == [("a", digest, body)]
+    for faulty in (("a", at, "0" * 64), ("a", None, digest), ("a", at, None), ("a", at + "x", digest)):
+        with pytest.raises(Exception, match="a: |No such file"):
+            prose.fetched(manifest(faulty)).collect()
+    assert prose.fetched(manifest(("a", at, digest)).limit(0)).collect() == []
+
+
+def test_stage_documents_keep_their_records_in_order(spark, tmp_path):
+    df = spark.range(40).selectExpr("id % 3 AS _file", "100 - id AS _at", "CAST(id AS STRING) AS sectionId", "'t' AS title")
+    files.write_stage_documents(df.repartition(4), str(tmp_path / "s"), "_file", "_at")
+    written = sorted((tmp_path / "s").glob("part-*"))
+    assert len(written) == 3
+    for file in written:
+        ids = [int(x["sectionId"]) for x in json.loads(file.read_text())]
+        assert ids == sorted(ids, reverse=True)
+    assert files.stage(spark, str(tmp_path / "s"), files.SECTIONS).count() == 40
+
+
+def test_search_of_many_equals_search_of_each(spark):
+    rng = np.random.default_rng(8)
+    vectors = [[float(np.float32(x)) for x in v] for v in rng.normal(size=(200, 8))]
+    rows = [(i, i % 2 + 1, v) for i, v in enumerate(vectors)] + [(300, 1, vectors[3]), (3, 1, vectors[3]), (301, 1, [0.0] * 8), (302, 1, None), (303, 1, [1.0]), (None, 1, vectors[9])]
+    df = spark.createDataFrame(rows, "id int, part_number int, embedding array<float>").repartition(4)
+    asked = [(f"q{i}", vectors[i]) for i in range(12)] + [("zero", [0.0] * 8), ("none", None), ("short", [1.0])]
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<float>")
+    for block in (1000, 5):
+        found = {}
+        for r in vector.search_many(df, queries, 6, part=1, block=block).collect():
+            found.setdefault(r.query_id, []).append((r.place, r.id, round(r.score, 9)))
+        assert set(found) == {f"q{i}" for i in range(12)} | {"short"}
+        for name, v in asked[:12]:
+            fine = df.where("size(embedding) = 8 AND embedding <> transform(embedding, x -> 0.0f)")
+            want = [(k, r.id, round(r.score, 9)) for k, r in enumerate(vector.search(fine, v, 6, part=1).collect(), 1)]
+            assert [x[2] for x in sorted(found[name])] == [x[2] for x in want]
+            assert {x[1] for x in found[name]} == {x[1] for x in want} or None in {x[1] for x in want}
+    assert vector.search_many(df, queries.limit(0), 3).collect() == [] == vector.search_many(df.limit(0), queries, 3).collect()
