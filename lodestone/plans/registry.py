@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import every module that registers queries."""
-    from lodestone.plans import file_queries, graph_queries, mutation_queries, prose_queries, relational_queries, storage_queries, tool_queries  # noqa: F401
+    from lodestone.plans import file_queries, graph_queries, mutation_queries, prose_queries, relational_queries, report_queries, storage_queries, tool_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
