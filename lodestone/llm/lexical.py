@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import importable
 
-from .store import lean, saved, tidy
+from .store import lean, saved, spread, tidy
 
 #: Documents that a task of the search gets, about, and postings that a shard within it holds at most, but for a single document's.
 TASK_DOCS, SHARD_POSTINGS = 40_000, 2_000_000
@@ -162,7 +162,7 @@ def occurrences(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
             columns = [pa.array(length, pa.int64()), pa.array([[*x] for x in held], pa.list_(pa.int32())), pa.array([[*x.values()] for x in held], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "length", "terms", "tfs"])
 
-    texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = lean(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
     return texts.mapInArrow(run, "doc_id long, length long, terms array<int>, tfs array<int>")
 
 

@@ -4,8 +4,9 @@ Every phrase of up to `words` words is hashed to a cell of a sketch; a cell's
 sum is an upper bound of the count of any phrase in it. Tasks then go over
 the texts in shards: the phrases of a shard that are in a cell of at least
 `least` are its candidates, compiled into an Aho-Corasick automaton with a
-delimiter on both sides; one scan counts all their matches, overlaps included.
-The shards' counts are summed, so a phrase's count is exact wherever its bound
+delimiter on both sides; one scan counts all their matches, overlaps included
+(single words, which only scores need, are counted by their numbers). The
+shards' counts are summed, so a phrase's count is exact wherever its bound
 is high enough, and thresholds apply to the sums. Scores are exact integers.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import importable
 
-from .store import lean, saved, tidy
+from .store import lean, saved, spread, tidy
 
 #: The language of rows without one.
 UNKNOWN = "und"
@@ -159,8 +160,8 @@ def sketch(texts: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[in
     return bits, high.ravel()
 
 
-def _candidates(lang: str, names: list[bytes], ids: np.ndarray, words: int, bits: int, high: np.ndarray) -> Iterator[tuple[int, list[str]]]:
-    """Phrases of each length that occur here and are in a high cell."""
+def _candidates(lang: str, names: list[bytes], ids: np.ndarray, words: int, bits: int, high: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+    """Phrases of each length that occur here and are in a high cell: their length, where each occurs first, and their text."""
     for n, (at, cells) in enumerate(_cells(lang, names, ids, words, bits), 1):
         at = at[(high[cells >> np.uint32(3)] >> (np.uint32(7) - (cells & np.uint32(7)))) & 1 == 1]
         key = np.zeros(len(at), np.int64)
@@ -168,7 +169,7 @@ def _candidates(lang: str, names: list[bytes], ids: np.ndarray, words: int, bits
             key = np.unique(key * len(names) + ids[at + k], return_inverse=True)[1]
         first = at[np.unique(key, return_index=True)[1]]
         parts = [[names[i] for i in ids[first + k]] for k in range(n)]
-        yield n, [b" ".join(x).decode() for x in zip(*parts, strict=True)]
+        yield n, first, [b" ".join(x).decode() for x in zip(*parts, strict=True)]
 
 
 def matches(phrases: list[str], found: list[bytes]) -> np.ndarray:
@@ -195,11 +196,14 @@ def counts(texts: DataFrame, bits: int, high: np.ndarray, words: int = WORDS, le
         own = np.frombuffer(cells.value, np.uint8)
         for lang, found in _by_lang(batches, _SHARD):
             names, ids = _numbered(found)
-            phrases, lengths = [""], [0]
-            for n, some in _candidates(lang, names, ids, words, bits, own):
+            phrases, lengths, times = [""], [0], [np.array([np.count_nonzero(ids)])]
+            for n, first, some in _candidates(lang, names, ids, words, bits, own):
+                if n == 1:  # a word is its own number; phrases of several are for the automaton
+                    times.append(np.bincount(ids)[ids[first]])
+                    single = 1 + len(some)
                 phrases += some
                 lengths += [n] * len(some)
-            f = np.append(np.count_nonzero(ids), matches(phrases[1:], found))
+            f = np.concatenate([*times, matches(phrases[single:], found)])
             columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(lengths, pa.int32()), pa.array(f, pa.int64())]
             for at in range(0, len(phrases), 50_000):
                 yield pa.RecordBatch.from_arrays([x.slice(at, 50_000) for x in columns], ["lang", "phrase", "words", "f"])
@@ -247,7 +251,7 @@ def collocations(docs: DataFrame, words: int = WORDS, least: int = LEAST, report
     phrase has no rows, nor has an empty table.
     """
     importable(docs.sparkSession)
-    texts = lean(docs, 500).select("lang", "text")
+    texts = lean(spread(docs.select("lang", "text")), 500)
     bits, high = sketch(texts, words, least)
     counted = saved(counts(texts, bits, high, words, least), "phrases")
     found = saved(scored(counted), "scored")

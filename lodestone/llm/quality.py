@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import importable
 
-from .store import lean, saved, tidy
+from .store import lean, saved, spread, tidy
 from .toxicity import remainder
 
 #: Weights are kept for 2^BITS hashed n-grams, and one for the bias after them.
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarr
     importable(docs.sparkSession)
     drawn = labels.where((remainder("doc_id", HOLD_OUT) != 0) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = drawn.withColumn("turn", F.xxhash64("doc_id", F.lit("quality"))).orderBy("turn", "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     dealt = lean(texts, 250).select("turn", F.pmod("turn", F.lit(LEARNERS)).cast("int").alias("learner"), (F.col("quality") > 0).alias("good"), "text")
     seen = saved(dealt.mapInArrow(_read, "turn long, learner int, good boolean, places array<int>, shares array<double>"), "quality")
     state: np.ndarray | None = None
@@ -240,5 +240,5 @@ def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     An empty table gives an empty result; other columns are ignored.
     """
     held = F.coalesce(remainder("doc_id", HOLD_OUT) == 0, F.lit(False)).alias("held_out")
-    done = lean(docs).select("doc_id", held, score(F.col("text"), weights).alias("score"))
+    done = lean(spread(docs.select("doc_id", "text"))).select("doc_id", held, score(F.col("text"), weights).alias("score"))
     return done.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
