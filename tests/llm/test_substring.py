@@ -191,7 +191,7 @@ def test_a_very_long_text(spark):
     long = [rng.choice(words) for _ in range(300_000)]
     copy = long[250_000:250_060]
     docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(["own", *copy, "end"])), (3, " ".join(rng.choice(words) for _ in range(200)))], "doc_id long, text string")
-    assert {(r.doc_id, r.start, r.words) for r in substring.repeated_passages(docs).collect()} == {(1, 250_000, 60), (2, 1, 60)}
+    assert {(r.doc_id, r.passage_start, r.passage_words) for r in substring.repeated_passages(docs).collect()} == {(1, 250_000, 60), (2, 1, 60)}
 
 
 def test_each_length_on_both_sides_of_its_limit(spark):
