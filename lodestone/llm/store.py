@@ -78,10 +78,11 @@ def spread(df: DataFrame) -> DataFrame:
     usual ones on a cluster, are left where they lie.
     """
     spark = df.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, len(df.inputFiles())
+    cores = spark.sparkContext.defaultParallelism
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if 0 < files < cores and size < cores * split else df
+    # Only the files of a small table are listed.
+    return df.repartition(cores) if size < cores * split and 0 < len(df.inputFiles()) < cores else df
 
 
 def _bytes(field: T.StructField) -> Column:
