@@ -11,6 +11,8 @@ from lodestone.plans.registry import register
 
 ALL = tuple(v for v in GRAPH if v not in ("named", "owners", "pairs", "flags"))
 BASE = ("symbols", "profiles", "namespaces", "symbol_profiles", "reference_sources")
+#: What a content model and the names of its owners are made from.
+CONTENT = (*BASE, "inheritance_edges", "compositors", "child_edges", "group_edges")
 PROFILE = "transitional"
 
 _MEMBER = """
@@ -88,7 +90,7 @@ FROM chain c JOIN leaves l ON l.owner = c.type JOIN symbols s ON s.id = l.child
 
 @register("gr5_content_model", sql("WITH " + _CHAIN.format(more="e.relation = 'extension' AND") + "," + _TREE + "," + _LEAVES + "\n" + _MODEL, *ALL))
 def content_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.content_model(tables(spark, sf_dir, *ALL), PROFILE)
+    return G.content_model(tables(spark, sf_dir, *CONTENT), PROFILE)
 
 
 _WALK = """
@@ -122,7 +124,7 @@ def attribute_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("gr10_enums", sql("SELECT symbol_id, CAST(row_number() OVER (PARTITION BY symbol_id ORDER BY order_index, id) AS INT) AS ordinal, value FROM enums", "enums"))
 def enums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.enums(tables(spark, sf_dir, "enums", "profiles"), PROFILE)
+    return G.enums(tables(spark, sf_dir, "enum_uses", "enum_values", "profiles"), PROFILE)
 
 
 _SPACES = """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import graph as G
 from lodestone.operators import catalog, prose, vector, vector_index
 from lodestone.plans.derived import sql, tables
-from lodestone.plans.graph_queries import _ATTRIBUTES, _CHAIN, _LEAVES, _MEMBER, _MODEL, _TREE, _TYPES, _WALK, ALL, BASE, PROFILE
+from lodestone.plans.graph_queries import _ATTRIBUTES, _CHAIN, _LEAVES, _MEMBER, _MODEL, _TREE, _TYPES, _WALK, ALL, BASE, CONTENT, PROFILE
 from lodestone.plans.prose_queries import _COSINE, _first_vector, content, table
 from lodestone.plans.registry import register
 from lodestone.staging import shared
@@ -74,7 +74,7 @@ def _listed(graph: G.Graph, owners: DataFrame, rows: DataFrame, line: Column) ->
   listed AS (SELECT root, list(entry || ' ' || local_name || ' ' || min_occurs || '..' || coalesce(CAST(max_occurs AS VARCHAR), 'unbounded') || ' ' || source || ' ' || owner_name ORDER BY ordinal) AS lines FROM model GROUP BY 1)
 SELECT w.namespace_uri, w.local_name, {_OUTCOME}, w.via, w.owner_id, CASE WHEN w.owner_id IS NOT NULL THEN coalesce(l.lines, []) END AS lines FROM owned w LEFT JOIN listed l ON l.root = w.owner_id""", *ALL))
 def children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = tables(spark, sf_dir, *ALL)
+    graph = tables(spark, sf_dir, *CONTENT)
     owners = G.owners(graph, PROFILE, _asked(graph), groups=True)
     roots = owners.where("owner_id IS NOT NULL").select(F.col("owner_id").alias("id")).distinct()
     occurs = F.concat(F.col("min_occurs").cast("string"), F.lit(".."), F.coalesce(F.col("max_occurs").cast("string"), F.lit("unbounded")))
@@ -95,12 +95,13 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r.namespace_uri, r.local_name, t.kind IS NOT NULL AS found, CASE WHEN t.kind IS NOT NULL THEN coalesce(l.lines, []) END AS lines
 FROM resolved r LEFT JOIN types t ON t.id = r.own_id AND t.kind = 'simpleType' LEFT JOIN listed l ON l.symbol_id = t.id""", *BASE, "enums"))
 def enum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = tables(spark, sf_dir, *BASE, "enums")
+    graph = tables(spark, sf_dir, *BASE, "enum_uses", "enum_values")
     types = G.types(graph, PROFILE).where("kind = 'simpleType'").select("namespace_uri", "local_name", F.col("id").alias("symbol_id"))
-    lines = G.enums(graph, PROFILE).groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "value")))["value"].alias("lines"))
-    found = _asked(graph).join(types, ["namespace_uri", "local_name"], "left").join(lines, "symbol_id", "left")
+    uses, lists = G.enum_lists(graph, PROFILE)
+    # The lists come last: names travel with the number of their list, not with its values.
+    found = _asked(graph).join(types, ["namespace_uri", "local_name"], "left").join(uses, "symbol_id", "left").join(lists, "list_id", "left")
     known = F.col("symbol_id").isNotNull()
-    return found.select("namespace_uri", "local_name", known.alias("found"), F.when(known, F.coalesce("lines", F.array().cast("array<string>"))).alias("lines"))
+    return found.select("namespace_uri", "local_name", known.alias("found"), F.when(known, F.coalesce("values", F.array().cast("array<string>"))).alias("lines"))
 
 
 _FOUR = ("symbols", "profiles", "namespaces", "symbol_profiles")
