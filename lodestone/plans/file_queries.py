@@ -41,7 +41,9 @@ def nested_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "content": [packed("inner.zip", packed("page.html", (x or "").encode())) for x in batch["html"]]})
+            for at in range(0, len(batch), 100):
+                part = batch.iloc[at : at + 100]
+                yield pd.DataFrame({"path": part["path"], "content": [packed("inner.zip", packed("page.html", (x or "").encode())) for x in part["html"]]})
 
     importable(spark)
     archives = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), "html").mapInPandas(run, "path string, content binary")
