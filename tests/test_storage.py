@@ -7,6 +7,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -345,3 +346,25 @@ def test_search_of_many_equals_search_of_each(spark):
             assert [x[2] for x in sorted(found[name])] == [x[2] for x in want]
             assert {x[1] for x in found[name]} == {x[1] for x in want} or None in {x[1] for x in want}
     assert vector.search_many(df, queries.limit(0), 3).collect() == [] == vector.search_many(df.limit(0), queries, 3).collect()
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_search_of_many_holds_a_slice_of_the_pairs(copies):
+    """Before, the first batch's pairs were all summed at once: a gigabyte here."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    n, asked, size = 4000, 500, 64
+    vectors = np.repeat(rng.normal(size=(1, size)), n, axis=0) if copies else rng.normal(size=(n, size))
+    q = rng.normal(size=(asked, size))
+    rows = pa.table({"id": pa.array(range(n, 0, -1), pa.int64()), "v": pa.array(list(vectors))})
+    queries = pa.table({"query_id": pa.array(range(asked), pa.int64()), "q": pa.array(list(q))})
+    tracemalloc.start()
+    found = vector._nearest(5)(rows, queries)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    near = (vectors @ q.T) / np.linalg.norm(vectors, axis=1)[:, None] / np.linalg.norm(q, axis=1)
+    for k, name in enumerate(sorted(found["query_id"].unique().to_pylist())):
+        ids = {i for j, i in zip(found["query_id"].to_pylist()[5 * k : 5 * k + 5], found["id"].to_pylist()[5 * k : 5 * k + 5], strict=True) if j == name}
+        assert ids == (set(range(1, 6)) if copies else {n - int(i) for i in np.argsort(-near[:, name])[:5]})
