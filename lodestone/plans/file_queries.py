@@ -69,12 +69,12 @@ def stage_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("src12_migration_files", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '_' || lower(replace(s_name, '#', '_')) || '.sql' AS name, sha256('-- ' || s_name || chr(10)) AS checksum FROM supplier")
 def migration_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A migration for each supplier, and one of another kind, written by the tasks."""
+    """A migration for each supplier, and a file of another kind, packed into archives by the tasks and read from them."""
     folder, suppliers = _folder(spark, "migrations"), table(spark, sf_dir, "supplier")
     name = F.concat(F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), F.lit("_"), F.lower(F.replace("s_name", F.lit("#"), F.lit("_"))), F.lit(".sql"))
-    rows = suppliers.select(name.alias("name"), F.concat(F.lit("-- "), "s_name").alias("content"))
+    rows = suppliers.select(name.alias("name"), F.concat(F.lit("-- "), "s_name", F.lit("\n")).alias("content"))
     files.write_migrations(rows.union(suppliers.limit(1).select(F.lit("README.md"), "s_name")), folder)
-    return files.migration_folders(spark, folder).select("name", "checksum")
+    return files.archived_migrations(spark, folder).select("name", "checksum")
 
 
 @register("snk16_tracked_migrations", "SELECT n_name AS name, md5(n_name) AS checksum, n_regionkey <> 2 AS before FROM nation")

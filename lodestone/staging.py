@@ -64,3 +64,16 @@ def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str, int]
     seen = Observation()
     out = cut(df.observe(seen, *[x.alias(name) for name, x in metrics.items()]))
     return out, {name: value or 0 for name, value in seen.get.items()}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores, if it is read from fewer files and is too small to be split among them; else df as it is.
+
+    A file of one row group cannot be shared, so work that is heavy for its
+    bytes would run in a task or two, and take longer the larger the file.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split and 0 < len(df.inputFiles()) < cores else df

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import zipfile
@@ -57,6 +58,17 @@ def test_migrations_by_name(spark, tmp_path):
     assert [r.name for r in files.migrations(spark, str(tmp_path)).collect()] == ["0001_a.sql", "0002_b.sql"]
 
 
+def test_migrations_written_are_not_a_file_each(spark, tmp_path):
+    """Before, each was a folder with a file, made and listed one by one."""
+    bodies = {f"{i:04d}_x.sql": f"-- é {i}\nSELECT {i};" if i % 7 else None for i in range(2500)} | {"README.md": "no migration"}
+    files.write_migrations(spark.createDataFrame(list(bodies.items()), "name string, content string").coalesce(2), str(tmp_path / "m"))
+    assert len([x for x in (tmp_path / "m").rglob("*") if x.is_file() and not x.name.startswith((".", "_"))]) <= 2
+    assert spark.read.parquet(str(tmp_path / "m")).count() >= 3
+    found = files.archived_migrations(spark, str(tmp_path / "m")).collect()
+    assert [(r.name, r.content) for r in found] == [(k, v or "") for k, v in sorted(bodies.items()) if k.endswith(".sql")]
+    assert {r.checksum for r in found} == {hashlib.sha256((v or "").encode()).hexdigest() for k, v in bodies.items() if k.endswith(".sql")}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     rows = [(i, f"u{i % 3}", "search" if i % 2 else "type", t0 + timedelta(minutes=7 * i)) for i in range(60)]
