@@ -11,6 +11,7 @@ from lodestone.functions.qname import declaration_key, strip_prefix, vocabulary_
 from lodestone.operators.graph import import_closure
 from lodestone.operators.number import numbered
 from lodestone.sources.xmlnodes import parse
+from lodestone.staging import saved
 
 KINDS = ("complexType", "simpleType", "element", "group", "attributeGroup", "attribute")
 XML_NAMESPACE = "http://www.w3.org/XML/1998/namespace"
@@ -61,7 +62,8 @@ def schema_set(files: DataFrame, entrypoints: list[str]) -> dict[str, DataFrame]
     missing file, an import that leaves the folder and an unknown target
     namespace are errors.
     """
-    nodes = parse(files).withColumn("tag", strip_prefix(F.col("tag")))
+    # Written once: every table below reads the nodes, and each would parse the files again.
+    nodes = saved(parse(files).withColumn("tag", strip_prefix(F.col("tag"))))
     roots = nodes.where(F.size("path") == 0)
     imports = nodes.where((F.size("path") == 1) & (F.col("tag") == "import")).select(
         F.col("doc").alias("document"), F.try_element_at("attrs", F.lit("namespace")).alias("namespace"),

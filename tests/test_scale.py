@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.functions import text as X
+from lodestone.functions.qname import DEFAULT_NAMESPACE
 from lodestone.operators import graph as G
 from lodestone.plans.derived import tables
+from lodestone.sources.schema_set import schema_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +60,11 @@ def test_sections_of_one_file_are_the_work_of_all_cores(spark, tmp_path):
     found = X.sections(spark.read.parquet(str(tmp_path / "docs"))).select("doc_id", "title", F.spark_partition_id().alias("task")).collect()
     assert sorted((r.doc_id, r.title) for r in found) == [(i, f"T{i}") for i in range(400)]
     assert len({r.task for r in found}) > 1
+
+
+def test_schemas_are_parsed_once(spark):
+    """Before, every table that reads the nodes parsed the files again."""
+    text = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="%s"><xs:complexType name="T"/></xs:schema>' % DEFAULT_NAMESPACE
+    found = schema_set(spark.createDataFrame([("a.xsd", text)], "path string, xml string"), ["a.xsd"])
+    assert [r.local_name for r in found["declarations"].collect()] == ["T"]
+    assert not any("MapInPandas" in plan(df) for df in found.values())
