@@ -83,23 +83,33 @@ def delete_unreferenced(old: DataFrame, condition: Column, references: DataFrame
     return old.join(doomed, F.col(key) == F.col("_doomed"), "left_anti")
 
 
+#: Most keys that a join broadcasts; more of them are hashed by partition.
+BROADCAST_KEYS = 1_000_000
+
+
+def _hashed(keys: DataFrame) -> DataFrame:
+    """keys, written and counted, as the side of a join that is hashed, so that the rows they meet stream past and are not sorted."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("shuffle_hash")
+
+
 def fallen(tables: dict[str, DataFrame], doomed: DataFrame, of: str = "symbols") -> dict[str, DataFrame]:
     """(id) per table that others refer to: the rows that go with the rows of `of` in doomed (id).
 
     A fixpoint over the references of the model that take rows along: every
     round finds the rows that refer to those of the round before and have not
     been found yet, so there are as many rounds as levels, and cycles end.
+    Only keys are held by a task; the tables, however large, pass by.
     """
     gone = {of: cut(doomed.select("id").where("id IS NOT NULL").distinct())}
     new = dict(gone)
     targets = {target for refs in REFERENCES.values() for target, falls in refs.values() if falls}
     while new:
-        step = {}
+        step, asked = {}, {table: _hashed(rows) for table, rows in new.items()}
         for table in targets & tables.keys():
             over = [c for c, (target, falls) in REFERENCES.get(table, {}).items() if falls and target in new and c in tables[table].columns]
             if not over:
                 continue
-            found = [tables[table].join(new[REFERENCES[table][c][0]].select(F.col("id").alias("_key")), F.col(c) == F.col("_key"), "left_semi").select("id") for c in over]
+            found = [tables[table].join(asked[REFERENCES[table][c][0]].select(F.col("id").alias("_key")), F.col(c) == F.col("_key"), "left_semi").select("id") for c in over]
             rows = reduce(DataFrame.union, found).distinct()
             rows = cut(rows.join(gone[table], "id", "left_anti") if table in gone else rows)
             if not rows.isEmpty():
@@ -118,7 +128,7 @@ def cascade(tables: dict[str, DataFrame], doomed: DataFrame, of: str = "symbols"
     would stay. A null reference holds nothing; ids that do not exist are
     passed over; tables the model does not know stay as they are.
     """
-    gone = fallen(tables, doomed, of)
+    gone = {table: _hashed(rows) for table, rows in fallen(tables, doomed, of).items()}
     out = {}
     for table, df in tables.items():
         refs = {c: x for c, x in REFERENCES.get(table, {}).items() if x[0] in gone and c in df.columns}

@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from lodestone.functions import text as X
 from lodestone.functions.qname import DEFAULT_NAMESPACE
 from lodestone.operators import graph as G
+from lodestone.operators import merge
 from lodestone.plans.derived import tables
 from lodestone.sources.schema_set import schema_set
 
@@ -68,3 +69,21 @@ def test_schemas_are_parsed_once(spark):
     found = schema_set(spark.createDataFrame([("a.xsd", text)], "path string, xml string"), ["a.xsd"])
     assert [r.local_name for r in found["declarations"].collect()] == ["T"]
     assert not any("MapInPandas" in plan(df) for df in found.values())
+
+
+@pytest.mark.parametrize("most", [merge.BROADCAST_KEYS, 0])
+def test_a_cascade_sorts_no_table(spark, monkeypatch, most):
+    """Before, every table was sorted by every reference it holds, once its keys were too many to be broadcast unasked."""
+    monkeypatch.setattr(merge, "BROADCAST_KEYS", most)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        symbols = spark.range(60).selectExpr("CAST(id AS INT) AS id", "CASE WHEN id % 3 <> 0 THEN CAST(id - 1 AS INT) END AS parent_symbol_id")
+        edges = spark.range(60).selectExpr("CAST(id AS INT) AS id", "CAST(id AS INT) AS parent_symbol_id", "CAST((id * 7) % 60 AS INT) AS child_symbol_id")
+        left = merge.cascade({"symbols": symbols, "child_edges": edges}, spark.range(0, 30, 3).select("id"))
+        assert not any("SortMergeJoin" in plan(df) for df in left.values())
+        assert sorted(r.id for r in left["symbols"].collect()) == list(range(30, 60))
+        assert sorted(r.id for r in left["child_edges"].collect()) == [i for i in range(30, 60) if i * 7 % 60 >= 30]
+    finally:
+        spark.conf.set(key, before)
